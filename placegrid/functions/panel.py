@@ -32,7 +32,7 @@ PRICE_SINGLE = r"(?U)([A-Z]{3})\s*([\d,]+)"
 PRICE_LINE = r"(?U)^[A-Z]{3}\s[\d,]+(\s*[–\-—]\s*[\d,]+)?\s*\+?\s*…?$"
 REPORTED = r"(?U)(?i)Reported by\s+([\d,]+)"
 NEGATIVE = r"(?i)^(Does not|Doesn't|No |Not |Isn't|Is not)"
-ICON_PREFIX = "(?U)^[\ue000-\uf8ff\s]+"
+ICON_PREFIX = "(?U)^[\ue000-\uf8ff\\s]+"
 CLOSE_ICON = "\ue5cd"
 MENU_PRICE = r"(?U)^[A-Z]{3}\s*[\d,]+(\.\d+)?$"
 COPY_HOURS = r"(?U)(?i),?\s*Copy open hours\.?$"

@@ -67,11 +67,11 @@ def sliding_rate(
     began = samples.filter("v > 0").groupBy(key).agg(F.min("at").alias("_began"))
     samples = samples.join(began, key).filter("at >= _began").drop("_began")
     chunk = F.floor(F.col("at") / (chunk_seconds * _MICROS))
-    stepped = previous(samples, [key], chunk, ["at"], F.col("v"), "_prev")
+    stepped = previous(samples, [key], chunk, ["at", "v"], F.col("v"), "_prev")
     changes = stepped.filter(F.col("_prev").isNull() | (F.col("v") != F.col("_prev"))).drop("_prev")
-    anchored = previous(changes, [key], chunk, ["at"], F.struct("at", "v"), "_before")
-    rows, look_back, own = trailing(anchored, [key], F.col("at"), window * _MICROS, ["at"])
-    first = F.first(F.struct("at", "v")).over(look_back)
+    anchored = previous(changes, [key], chunk, ["at", "v"], F.struct("at", "v"), "_before")
+    rows, look_back, own = trailing(anchored, [key], F.col("at"), window * _MICROS)
+    first = F.min(F.struct("at", "v")).over(look_back)
     anchor = F.when(F.count(F.lit(1)).over(look_back) > 1, first).otherwise(F.col("_before"))
     seconds = (F.col("at") - F.col("_anchor.at")) / _MICROS
     gain = F.col("v") - F.col("_anchor.v")
@@ -93,7 +93,7 @@ def completion_rate_1m(
     chunk = F.floor(F.col("at") / (chunk_seconds * _MICROS))
     counted = row_index(rows, [key], chunk, ["at", tie], "done")
     began = rows.groupBy(key).agg(F.min("at").alias("_began")).join(totals, key)
-    wide, look_back, own = trailing(counted, [key], F.col("at"), COMPLETION_WINDOW * _MICROS, ["at"])
+    wide, look_back, own = trailing(counted, [key], F.col("at"), COMPLETION_WINDOW * _MICROS)
     recent = wide.withColumn("_n", F.count(F.lit(1)).over(look_back)).filter(own).join(began, key)
     elapsed = (F.col("at") - F.col("_began")) / _MICROS
     span = F.least(F.lit(float(COMPLETION_WINDOW)), F.greatest(F.lit(1.0), elapsed))

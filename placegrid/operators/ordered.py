@@ -71,19 +71,20 @@ def previous(df, keys, chunk, order, value: Column, out: str) -> DataFrame:
 
 
 def trailing(
-    df: DataFrame, keys: Sequence[str], seconds: Column, width: int, order: Sequence[str]
+    df: DataFrame, keys: Sequence[str], at: Column, width: int
 ) -> tuple[DataFrame, WindowSpec, Column]:
-    """Rows placed in time buckets of `width` seconds, each also handed to the next bucket.
+    """Rows placed in buckets `width` wide along the whole number `at`, and in the next bucket.
 
-    The returned window looks back `width` seconds inside one bucket of one key;
-    the returned condition keeps the rows that belong to the bucket.
+    The returned window looks back `width` inside one bucket of one key; the
+    returned condition keeps the rows that belong to their bucket.
     """
-    bucket = F.floor(seconds / width)
-    rows = df.withColumn("_at", seconds).select(
-        "*", F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")),
-                               F.struct((bucket + 1).alias("b"), F.lit(False).alias("own")))).alias("_slot")
+    bucket = F.floor(at / width)
+    slots = F.array(
+        F.struct(bucket.alias("b"), F.lit(True).alias("own")),
+        F.struct((bucket + 1).alias("b"), F.lit(False).alias("own")),
     )
+    rows = df.withColumn("_at", at).select("*", F.explode(slots).alias("_slot"))
     look_back = (
-        Window.partitionBy(*keys, F.col("_slot.b")).orderBy("_at").rangeBetween(-float(width), Window.currentRow)
+        Window.partitionBy(*keys, F.col("_slot.b")).orderBy("_at").rangeBetween(-width, Window.currentRow)
     )
     return rows, look_back, F.col("_slot.own")

@@ -108,7 +108,7 @@ def write_job_status(status: DataFrame, path: str) -> None:
     status.write.mode("overwrite").partitionBy("client", "dataset").json(path)
 
 
-def results_payload(gated: DataFrame) -> DataFrame:
+def results_payload(gated: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """What a worker submits: JSON data and image URLs when done, the error when not.
 
     gated: place_id, attempts, outcome, error, image_urls and the listing columns.
@@ -116,7 +116,7 @@ def results_payload(gated: DataFrame) -> DataFrame:
     fields = [c for c in gated.columns if c in LISTING_COLUMNS or c == "horeca"]
     done = F.col("outcome") == "done"
     return gated.select(
-        "place_id", "attempts", "outcome",
+        *keep, "place_id", "attempts", "outcome",
         F.when(done, F.to_json(F.struct(*fields))).alias("data"),
         F.when(done, split_image_urls("image_urls")).alias("image_urls"),
         F.when(~done, F.col("error")).alias("error"),

@@ -133,10 +133,8 @@ def stream_throttle(
         rows.write.mode("overwrite").parquet(target)
         written = spark.read.parquet(target)
         at = F.struct(*order)
-        resets = (F.col("status") != 429) & ~F.col("auth_failed")
         latest = written.groupBy("alias").agg(
-            F.max_by(F.struct(F.when(resets, 0).otherwise(F.col("streak")).alias("streak"),
-                              F.col("rate_limit_hits").alias("hits")), at).alias("r")
+            F.max_by(F.struct("streak", F.col("rate_limit_hits").alias("hits")), at).alias("r")
         ).select("alias", "r.*")
         if old is not None:
             kept = old.select("alias", "streak", "hits").join(latest.select("alias"), "alias", "left_anti")
