@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from placegrid.functions.values import col, filled, strip
+from placegrid.functions.values import col, filled, let, strip
 
 # Query parameters that only track, and hosts with a kind of their own.
 TRACKING = (
@@ -58,27 +58,28 @@ def query_pairs(query: Column) -> Column:
 
 def unwrap_url(c: Column | str) -> Column:
     """The real http(s) target of a possibly wrapped link, without tracking or fragment."""
-    raw = F.regexp_replace(strip(c), r"[\t\r\n]", "")
-    wrapped = raw.startswith("/url?") | raw.contains("google.com/url?")
-    inner = F.filter(query_pairs(F.regexp_extract(raw, _QUERY, 1)), lambda p: p["k"] == "q")
-    url = F.when(wrapped, F.get(inner, 0)["v"]).otherwise(raw)
-    kept = F.filter(
-        query_pairs(F.substring(F.regexp_extract(url, _URL, 4), 2, 1 << 30)),
-        lambda p: ~p["k"].isin(*TRACKING),
-    )
-    query = F.array_join(
-        F.transform(kept, lambda p: F.concat(form_encode(p["k"]), F.lit("="), form_encode(p["v"]))), "&"
-    )
-    return F.when(
-        url.rlike(_URL),
-        F.concat(
-            F.lower(F.regexp_extract(url, _URL, 1)),
-            F.lit(":"),
-            F.regexp_extract(url, _URL, 2),
-            F.regexp_extract(url, _URL, 3),
-            F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        ),
-    )
+    def inner(raw: Column) -> Column:
+        wrapped = raw.startswith("/url?") | raw.contains("google.com/url?")
+        targets = F.filter(query_pairs(F.regexp_extract(raw, _QUERY, 1)), lambda p: p["k"] == "q")
+        return F.when(wrapped, F.get(targets, 0)["v"]).otherwise(raw)
+
+    def query(url: Column) -> Column:
+        kept = F.filter(
+            query_pairs(F.substring(F.regexp_extract(url, _URL, 4), 2, 1 << 30)),
+            lambda p: ~p["k"].isin(*TRACKING),
+        )
+        pairs = F.transform(kept, lambda p: F.concat(form_encode(p["k"]), F.lit("="), form_encode(p["v"])))
+        return F.array_join(pairs, "&")
+
+    def rebuilt(url: Column) -> Column:
+        stem = F.concat(
+            F.lower(F.regexp_extract(url, _URL, 1)), F.lit(":"),
+            F.regexp_extract(url, _URL, 2), F.regexp_extract(url, _URL, 3),
+        )
+        tail = let(query(url), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+        return F.when(url.rlike(_URL), F.concat(stem, tail))
+
+    return let(let(F.regexp_replace(strip(c), r"[\t\r\n]", ""), inner), rebuilt)
 
 
 def url_host(c: Column | str) -> Column:
@@ -87,11 +88,13 @@ def url_host(c: Column | str) -> Column:
 
 
 def classify_link(c: Column | str) -> Column:
-    host = url_host(c)
-    kind = F.lit(None).cast("string")
-    for known, label in reversed(HOST_KINDS.items()):
-        kind = F.when((host == known) | host.endswith(f".{known}"), label).otherwise(kind)
-    return F.coalesce(kind, F.lit("website"))
+    def kind(host: Column) -> Column:
+        found = F.lit("website")
+        for known, label in reversed(HOST_KINDS.items()):
+            found = F.when((host == known) | host.endswith(f".{known}"), label).otherwise(found)
+        return found
+
+    return F.when(col(c).isNull(), "website").otherwise(let(url_host(c), kind))
 
 
 def is_own_link(c: Column | str) -> Column:

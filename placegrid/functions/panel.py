@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from placegrid.functions.links import LINK_LIMIT, classify_link, is_own_link, unwrap_url
-from placegrid.functions.values import blank, col, filled, strip
+from placegrid.functions.values import blank, col, filled, let, strip
 
 # Weekday names, known currencies and the text patterns of the panel.
 DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -54,38 +54,48 @@ def _amount(c: Column) -> Column:
 
 def keep_first(rows: Column, key: Callable[[Column], Column]) -> Column:
     """The rows of an array whose key has not appeared earlier in it."""
-    keys = F.transform(rows, key)
-    return F.filter(rows, lambda r, i: F.array_position(keys, key(r)) == i + 1)
+    def pick(bound: Column) -> Column:
+        return let(
+            F.transform(bound, key),
+            lambda keys: F.filter(bound, lambda r, i: F.array_position(keys, F.get(keys, i)) == i + 1),
+        )
+
+    return let(rows, pick)
 
 
 def parse_price(lines: Column | str) -> Column:
     """struct<price_range_text,price_min,price_max,price_currency,price_reported_by>."""
-    tidy = F.transform(col(lines), _tidy)
-    reliable = F.filter(
-        tidy,
-        lambda t: F.lower(t).contains("per person")
-        & t.rlike(r"(?U)\d")
-        & ~(t.rlike(UNKNOWN_PREFIX) & ~F.substring(t, 1, 3).isin(*CURRENCIES)),
-    )
-    whole = F.filter(
-        tidy, lambda t: t.rlike(PRICE_LINE) & F.substring(t, 1, 3).isin(*CURRENCIES)
-    )
-    text = F.coalesce(F.get(reliable, 0), F.get(whole, 0))
-    is_range = text.rlike(PRICE_RANGE)
-    single = _amount(F.regexp_extract(text, PRICE_SINGLE, 2))
-    currency = F.when(is_range, F.regexp_extract(text, PRICE_RANGE, 1)).otherwise(
-        F.regexp_extract(text, PRICE_SINGLE, 1)
-    )
+    def band(tidy: Column) -> Column:
+        reliable = F.filter(
+            tidy,
+            lambda t: F.lower(t).contains("per person")
+            & t.rlike(r"(?U)\d")
+            & ~(t.rlike(UNKNOWN_PREFIX) & ~F.substring(t, 1, 3).isin(*CURRENCIES)),
+        )
+        whole = F.filter(
+            tidy, lambda t: t.rlike(PRICE_LINE) & F.substring(t, 1, 3).isin(*CURRENCIES)
+        )
+        return F.coalesce(F.get(reliable, 0), F.get(whole, 0))
+
     reported = F.get(F.filter(col(lines), lambda t: t.rlike(REPORTED)), 0)
-    return F.struct(
-        text.alias("price_range_text"),
-        F.when(is_range, _amount(F.regexp_extract(text, PRICE_RANGE, 2)))
-        .otherwise(single).alias("price_min"),
-        F.when(is_range, _amount(F.regexp_extract(text, PRICE_RANGE, 3)))
-        .otherwise(single).alias("price_max"),
-        filled(F.upper(F.substring(currency, 1, 3))).alias("price_currency"),
-        _amount(F.regexp_extract(reported, REPORTED, 1)).cast("bigint").alias("price_reported_by"),
-    )
+
+    def parsed(text: Column) -> Column:
+        is_range = text.rlike(PRICE_RANGE)
+        single = _amount(F.regexp_extract(text, PRICE_SINGLE, 2))
+        currency = F.when(is_range, F.regexp_extract(text, PRICE_RANGE, 1)).otherwise(
+            F.regexp_extract(text, PRICE_SINGLE, 1)
+        )
+        return F.struct(
+            text.alias("price_range_text"),
+            F.when(is_range, _amount(F.regexp_extract(text, PRICE_RANGE, 2)))
+            .otherwise(single).alias("price_min"),
+            F.when(is_range, _amount(F.regexp_extract(text, PRICE_RANGE, 3)))
+            .otherwise(single).alias("price_max"),
+            filled(F.upper(F.substring(currency, 1, 3))).alias("price_currency"),
+            _amount(F.regexp_extract(reported, REPORTED, 1)).cast("bigint").alias("price_reported_by"),
+        )
+
+    return let(let(F.transform(col(lines), _tidy), band), parsed)
 
 
 def parse_bar(label: Column | str) -> Column:
@@ -96,7 +106,7 @@ def parse_bar(label: Column | str) -> Column:
     ).cast("int")
     noon = F.when(F.upper(F.regexp_extract(text, CLOCK, 2)) == "PM", 12).otherwise(0)
     hour = filled(F.regexp_extract(text, CLOCK, 1)).cast("int") % 12 + noon
-    return F.when(pct.isNotNull(), F.struct(hour.alias("hour"), pct.alias("pct")))
+    return F.when(text.rlike(BUSY), F.struct(hour.alias("hour"), pct.alias("pct")))
 
 
 def weekday(label: Column | str) -> Column:
@@ -105,24 +115,32 @@ def weekday(label: Column | str) -> Column:
 
 def fill_hours(bars: Column) -> Column:
     """Give a bar without an hour the one after its predecessor's, within one day."""
-    hours = F.transform(bars, lambda b: b["hour"])
-
-    def at(bar: Column, i: Column) -> Column:
+    def at(hours: Column, bar: Column, i: Column) -> Column:
         known = F.array_max(
             F.transform(F.slice(hours, 1, i + 1), lambda h, j: F.when(h.isNotNull(), j))
         )
+        hour = let(known, lambda k: (F.get(hours, k) + i - k) % 24)
         return F.struct(
-            ((F.get(hours, known) + i - known) % 24).alias("hour"), bar["pct"].alias("pct")
+            F.coalesce(bar["hour"], hour).alias("hour"), bar["pct"].alias("pct")
         )
 
-    return F.transform(bars, at)
+    def all_of(bound: Column) -> Column:
+        return let(
+            F.transform(bound, lambda b: b["hour"]),
+            lambda hours: F.transform(bound, lambda b, i: at(hours, b, i)),
+        )
+
+    return let(bars, all_of)
 
 
 def _bar_rows(day: Column, bars: Column) -> Column:
-    return F.transform(
-        bars,
-        lambda b: F.struct(
-            day.alias("dow"), b["hour"].alias("hour_24"), b["pct"].alias("busy_pct")
+    return let(
+        day,
+        lambda d: F.transform(
+            bars,
+            lambda b: F.struct(
+                d.alias("dow"), b["hour"].alias("hour_24"), b["pct"].alias("busy_pct")
+            ),
         ),
     )
 
@@ -134,19 +152,22 @@ def popular_days(popular: Column | str) -> Column:
     """
     block = col(popular)
     sunday_first = F.array(*[F.lit(d) for d in (DAYS[-1], *DAYS[:-1])])
-    selected = weekday(block["selected"])
     anchor = F.when(
-        selected.isNotNull() & (block["visible"] >= 0),
-        F.array_position(sunday_first, selected).cast("int") - 1 - block["visible"],
+        block["visible"] >= 0,
+        F.array_position(sunday_first, weekday(block["selected"])).cast("int") - 1 - block["visible"],
     )
-    shift = F.coalesce(anchor, F.lit(0))
 
-    def one_day(labels: Column, i: Column) -> Column:
-        found = F.filter(F.transform(labels, parse_bar), lambda b: b.isNotNull())
+    def one_day(shift: Column, labels: Column, i: Column) -> Column:
+        found = F.transform(F.filter(labels, lambda a: a.rlike(BUSY)), parse_bar)
         day = F.get(sunday_first, F.pmod(i + shift, F.lit(7)))
         return F.coalesce(_bar_rows(day, fill_hours(found)), _no_bars())
 
-    bars = F.flatten(F.transform(F.slice(block["days"], 1, 7), one_day))
+    bars = let(
+        F.coalesce(anchor, F.lit(0)),
+        lambda shift: F.flatten(
+            F.transform(F.slice(block["days"], 1, 7), lambda labels, i: one_day(shift, labels, i))
+        ),
+    )
     return F.coalesce(bars, _no_bars())
 
 
@@ -157,14 +178,17 @@ def _no_bars() -> Column:
 def popular_flat(aria: Column | str, selected: Column) -> Column:
     """Bars of a flat label list; the day comes from the bar's own label or the selector."""
     labels = F.filter(col(aria), lambda a: a.rlike(BUSY))
-    return F.transform(
-        labels,
-        lambda a: F.struct(
-            F.coalesce(weekday(a), selected).alias("dow"),
-            parse_bar(a)["hour"].alias("hour_24"),
-            parse_bar(a)["pct"].alias("busy_pct"),
-        ),
-    )
+
+    def one(label: Column) -> Column:
+        return let(
+            parse_bar(label),
+            lambda b: F.struct(
+                F.coalesce(weekday(label), selected).alias("dow"),
+                b["hour"].alias("hour_24"), b["pct"].alias("busy_pct"),
+            ),
+        )
+
+    return F.transform(labels, one)
 
 
 def selected_day(lines: Column | str, aria: Column | str) -> Column:
@@ -200,10 +224,13 @@ def normalize_amenities(rows: Column | str) -> Column:
     def one(row: Column) -> Column:
         raw = strip(blank(row["label"]))
         item = F.substring(strip(F.regexp_replace(raw, ICON_PREFIX, "")), 1, 120)
-        return F.struct(
-            F.substring(strip(blank(row["section"])), 1, 60).alias("section"),
-            item.alias("item"),
-            (~(raw.startswith(CLOSE_ICON) | item.rlike(NEGATIVE))).alias("present"),
+        return let(
+            item,
+            lambda text: F.struct(
+                F.substring(strip(blank(row["section"])), 1, 60).alias("section"),
+                text.alias("item"),
+                (~(raw.startswith(CLOSE_ICON) | text.rlike(NEGATIVE))).alias("present"),
+            ),
         )
 
     whole = F.filter(F.transform(col(rows), one), lambda r: (r["section"] != "") & (r["item"] != ""))
@@ -216,41 +243,52 @@ def about_items(html: Column | str) -> Column:
         return strip(F.regexp_replace(F.regexp_replace(c, "(?s)<[^>]*>", ""), r"(?U)\s+", " "))
 
     def one(block: Column) -> Column:
-        section = plain(F.regexp_extract(block, "(?is)^(.*?)</h2>", 1))
         items = F.regexp_extract_all(block, F.lit("(?is)(<li[ >].*?</li>)"), F.lit(1))
-        return F.transform(
-            items,
-            lambda li: F.struct(
-                section.alias("section"),
-                F.coalesce(
-                    filled(plain(F.regexp_extract(li, '(?is)^<li[^>]*aria-label="([^"]*)"', 1))),
-                    plain(li),
-                ).alias("label"),
+        return let(
+            plain(F.regexp_extract(block, "(?is)^(.*?)</h2>", 1)),
+            lambda section: F.transform(
+                items,
+                lambda li: F.struct(
+                    section.alias("section"),
+                    F.coalesce(
+                        filled(plain(F.regexp_extract(li, '(?is)^<li[^>]*aria-label="([^"]*)"', 1))),
+                        plain(li),
+                    ).alias("label"),
+                ),
             ),
         )
 
-    blocks = F.split(col(html), "(?i)<h2[^>]*>")
-    pairs = F.flatten(F.transform(F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))), one))
+    def below(blocks: Column) -> Column:
+        return F.flatten(
+            F.transform(F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))), one)
+        )
+
+    pairs = let(F.split(col(html), "(?i)<h2[^>]*>"), below)
     return F.filter(pairs, lambda p: (p["section"] != "") & (p["label"] != ""))
 
 
 def menu_rows(lines: Column | str) -> Column:
     """array<struct<price,name,description>> from stacked name / description / price lines."""
-    tidy = F.filter(F.transform(col(lines), _tidy), lambda t: t != "")
-    ends = F.filter(
-        F.transform(tidy, lambda t, i: F.when(t.rlike(MENU_PRICE), i)), lambda i: i.isNotNull()
-    )
-
-    def one(end: Column, k: Column) -> Column:
+    def one(tidy: Column, ends: Column, end: Column, k: Column) -> Column:
         start = F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1)
-        above = F.slice(tidy, start + 1, end - start)
-        return F.struct(
-            F.get(tidy, end).alias("price"),
-            F.get(above, 0).alias("name"),
-            F.get(above, 1).alias("description"),
+        return let(
+            F.slice(tidy, start + 1, end - start),
+            lambda above: F.struct(
+                F.get(tidy, end).alias("price"),
+                F.get(above, 0).alias("name"),
+                F.get(above, 1).alias("description"),
+            ),
+        )
+
+    def all_of(tidy: Column) -> Column:
+        places = F.transform(tidy, lambda t, i: F.when(t.rlike(MENU_PRICE), i))
+        return let(
+            F.filter(places, lambda i: i.isNotNull()),
+            lambda ends: F.transform(ends, lambda end, k: one(tidy, ends, end, k)),
         )
 
-    named = F.filter(F.transform(ends, one), lambda r: r["name"].isNotNull())
+    rows = let(F.filter(F.transform(col(lines), _tidy), lambda t: t != ""), all_of)
+    named = F.filter(rows, lambda r: r["name"].isNotNull())
     return keep_first(named, lambda r: F.struct(r["name"], r["price"]))
 
 
@@ -259,12 +297,14 @@ def normalize_menu(rows: Column | str) -> Column:
     begins = r"(?U)^([A-Z]{3})\s*([\d,]+)"
 
     def one(row: Column) -> Column:
-        price = _tidy(blank(row["price"]))
-        return F.struct(
-            F.substring(strip(blank(row["name"])), 1, 200).alias("name"),
-            filled(F.substring(strip(blank(row["description"])), 1, 500)).alias("description"),
-            F.regexp_extract(price, begins, 1).alias("currency"),
-            _amount(F.regexp_extract(price, begins, 2)).alias("price_amount"),
+        return let(
+            _tidy(blank(row["price"])),
+            lambda price: F.struct(
+                F.substring(strip(blank(row["name"])), 1, 200).alias("name"),
+                filled(F.substring(strip(blank(row["description"])), 1, 500)).alias("description"),
+                F.regexp_extract(price, begins, 1).alias("currency"),
+                _amount(F.regexp_extract(price, begins, 2)).alias("price_amount"),
+            ),
         )
 
     return F.filter(

@@ -14,10 +14,10 @@ from placegrid.sources.writers import results_payload
 
 _URLS = "list_filter(list_transform(string_split(image_urls, '{0}'), lambda x: trim(x)), lambda x: x <> '')"
 _DEDUPED = f"""
-pieces AS (SELECT place_id, o1, o2, o3, content_type, {_URLS.format(';')} AS urls FROM v_listings WHERE image_urls NOT IN ('', 'N/A')),
+pieces AS (SELECT place_id, o1, o2, o3, o4, o5, o6, o7, content_type, {_URLS.format(';')} AS urls FROM v_listings WHERE image_urls NOT IN ('', 'N/A')),
 each AS (SELECT * EXCLUDE (urls), unnest(urls) AS url, generate_subscripts(urls, 1) AS i FROM pieces),
-deduped AS (SELECT *, row_number() OVER (PARTITION BY place_id, o1, o2, o3 ORDER BY i) AS seq FROM (SELECT * FROM each
-  QUALIFY row_number() OVER (PARTITION BY place_id, o1, o2, o3, split_part(url, '=', 1) ORDER BY i) = 1))"""
+deduped AS (SELECT *, row_number() OVER (PARTITION BY place_id, o1, o2, o3, o4, o5, o6, o7 ORDER BY i) AS seq FROM (SELECT * FROM each
+  QUALIFY row_number() OVER (PARTITION BY place_id, o1, o2, o3, o4, o5, o6, o7, split_part(url, '=', 1) ORDER BY i) = 1))"""
 
 
 @query("I11 G8", f"WITH {_DEDUPED} SELECT place_id, o1, CAST(seq - 1 AS INTEGER) AS pos, url FROM deduped WHERE seq <= 50")
