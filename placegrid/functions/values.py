@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Texts that mean "no cap" in a quota cell, and the dash used for a missing number.
+# Texts that mean "no cap" in a quota cell.
 UNLIMITED = ("", "0", "unlimited", "none", "inf", "infinite", "-", "na", "n/a")
-DASH = "—"
+# The white-space characters of Unicode and the four ASCII separators.
+WHITE_SPACE = (
+    " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 _NUMBER = (
     r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
@@ -29,7 +33,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(WHITE_SPACE))
 
 
 def blank(c: Column | str) -> Column:

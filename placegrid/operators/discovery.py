@@ -85,32 +85,31 @@ def page_ids(responses: DataFrame) -> DataFrame:
     )
 
 
+def call_pages(responses: DataFrame) -> DataFrame:
+    """Parsed pages within the page cap, one copy of each, so that a call holds few rows."""
+    return (
+        parse_pages(responses.filter(F.col("page") <= MAX_PAGES))
+        .groupBy(*CALL, "page")
+        .agg(*[F.first(c).alias(c) for c in ("status", "auth_failed", "results", "ids", "has_next")])
+    )
+
+
 def last_attempt(pages: DataFrame) -> DataFrame:
     """Only the final key's pages: a later attempt replaces the earlier ones."""
     whole = Window.partitionBy("cell_id", "query")
     return (
-        _one_copy(pages)
-        .filter(F.col("attempt") <= MAX_ATTEMPTS)
+        pages.filter(F.col("attempt") <= MAX_ATTEMPTS)
         .withColumn("_last", F.max("attempt").over(whole))
         .filter(F.col("attempt") == F.col("_last"))
         .drop("_last")
     )
 
 
-def _one_copy(pages: DataFrame) -> DataFrame:
-    """One row per (call, page) within the page cap, so that a call holds few rows."""
-    return (
-        pages.filter(F.col("page") <= MAX_PAGES)
-        .groupBy(*CALL, "page")
-        .agg(*[F.first(c).alias(c) for c in ("status", "auth_failed", "results", "ids", "has_next")])
-    )
-
-
 def page_novelty(pages: DataFrame) -> DataFrame:
-    """Adds the number of ids not seen on an earlier page of the same call."""
+    """Adds the number of ids not seen on an earlier page of the same call (of `call_pages`)."""
     earlier = Window.partitionBy(*CALL).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.flatten(F.collect_list("ids").over(earlier))
-    return _one_copy(pages).withColumn("new_ids", F.size(F.array_except("ids", seen)))
+    return pages.withColumn("new_ids", F.size(F.array_except("ids", seen)))
 
 
 def _streak(condition: Column, position: Column, window) -> Column:

@@ -58,7 +58,7 @@ calls AS (SELECT cell_id, query, count(*) FILTER (status = 200) AS ok_count, min
 
 
 def _last(t):
-    return C.last_attempt(C.parse_pages(t.calls_pages))
+    return C.last_attempt(C.call_pages(t.calls_pages))
 
 
 @query("A18", f"""WITH {_PAGES}
@@ -75,7 +75,7 @@ def last_attempt(t):
 
 @query("F3", f"WITH {_PAGES}{_NOVEL.format('pages')} SELECT cell_id, query, attempt, page, results, new_ids FROM novel")
 def page_novelty(t):
-    return C.page_novelty(C.parse_pages(t.calls_pages)).select(
+    return C.page_novelty(C.call_pages(t.calls_pages)).select(
         "cell_id", "query", "attempt", "page", "results", "new_ids"
     )
 

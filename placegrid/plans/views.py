@@ -1,7 +1,8 @@
 """The driver tables shaped into listings data, as text both engines run.
 
 `@name` is a base table; `@arr(…)`, `@struct(k = v; …)` and `@each(col; from; to)`
-stand for the array, struct and row-generating forms of the engine.
+stand for the array, struct and row-generating forms of the engine. `@spread(key)`
+spreads rows over the cores before each becomes many.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ SELECT doc_id, 'ts-' || doc_id AS ts, 'INFO' AS level, source AS name, text AS m
   'CELL_' || (doc_id % 97) AS cell_id, '' AS place_id
 FROM @documents""",
     "v_panel": """
-SELECT 'ChIJ' || p_partkey AS place_id,
+SELECT @spread(p_partkey) 'ChIJ' || p_partkey AS place_id,
   CASE WHEN p_partkey % 4 = 0 THEN 'https://maps.app.goo.gl/' || p_partkey END AS share_link,
   @arr('Place ' || p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'SAR ' || p_size || '–' || (p_size + 20) || ' per person'
     WHEN 1 THEN 'SAR 1-20' WHEN 2 THEN 'BUS ' || p_size WHEN 3 THEN 'XYZ 10 per person' WHEN 4 THEN 'USD 1,200+…'
@@ -174,7 +175,7 @@ FROM (SELECT o_orderkey, o_orderpriority, attempt, page, n_pages,
     CASE WHEN page < n_pages THEN 200 WHEN attempt < n_att THEN CASE WHEN o_custkey % 2 = 0 THEN 429 ELSE 403 END
       WHEN o_orderkey % 11 = 0 THEN 500 WHEN o_orderkey % 13 = 0 THEN 429 ELSE 200 END AS status
   FROM (SELECT *, 1 + (o_custkey + attempt) % 8 AS n_pages
-    FROM (SELECT *, CASE WHEN o_orderkey % 50 = 0 THEN 5 ELSE 1 + o_orderkey % 3 END AS n_att FROM @orders) a
+    FROM (SELECT @spread(o_orderkey) *, CASE WHEN o_orderkey % 50 = 0 THEN 5 ELSE 1 + o_orderkey % 3 END AS n_att FROM @orders) a
     @each(attempt; 1; n_att)) b @each(page; 1; n_pages)) c""",
     "v_chips": """
 SELECT 'S' || l_suppkey AS place_id, l_linenumber AS chip_pos,
@@ -269,10 +270,12 @@ def _text(view: str, spark: bool) -> str:
         text = _JOIN.sub(
             r"array_join(CASE WHEN \1 > 0 THEN transform(sequence(1, CAST(\1 AS INT)), \2 -> \3) ELSE array() END, ',')", text
         )
+        text = re.sub(r"@spread\((\w+)\)", r"/*+ REPARTITION(\1) */", text)
         text = re.sub(r"@ms\((\w+)\)", r"timestamp_micros(unix_micros(CAST(\1 AS TIMESTAMP)) div 1000)", text)
         return _BASE.sub(r"pg_\1", text)
     text = _EACH.sub(r", unnest(range(\2, \3 + 1)) AS t_\1(\1)", text)
     text = _JOIN.sub(r"array_to_string(list_transform(range(1, \1 + 1), lambda \2: \3), ',')", text)
+    text = re.sub(r"@spread\((\w+)\)", "", text)
     text = re.sub(r"@ms\((\w+)\)", r"make_timestamp(epoch_us(\1) // 1000)", text)
     return _BASE.sub(r"\1", text)
 

@@ -74,15 +74,13 @@ def write_leads_csv(df: DataFrame, path: str) -> None:
 
 
 def ledger_document(ledger: DataFrame) -> DataFrame:
-    """One JSON object per billing day; days of a ledger are few and keys are pre-added."""
-    days = ledger.groupBy("day").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("alias", "calls")))).alias("m")
-    )
-    return days.select("day", F.to_json(F.create_map("day", "m")).alias("value"))
+    """`{day: {alias: n}}` per key and day; the lines of a day add up to its document."""
+    entry = F.create_map("day", F.create_map("alias", "calls"))
+    return ledger.select("day", F.to_json(entry).alias("value"))
 
 
 def write_ledger(ledger: DataFrame, path: str) -> None:
-    """Per-day totals as JSON, one document per day."""
+    """Per-day totals as JSON lines."""
     ledger_document(ledger).select("value").write.mode("overwrite").text(path)
 
 
