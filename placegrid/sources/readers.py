@@ -104,6 +104,7 @@ def boundary_rings(documents: DataFrame, text: str = "value") -> DataFrame:
     """
     doc = F.parse_json(text)
     kind = F.try_variant_get(doc, "$.type", "string")
+    one_ring = F.try_variant_get(doc, "$[0][0]", "double").isNotNull()
     bare = F.try_variant_get(doc, "$", "array<array<double>>")
     bare_rings = F.try_variant_get(doc, "$", "array<array<array<double>>>")
     as_points = lambda ring: F.transform(ring, lambda p: _point(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
@@ -118,7 +119,7 @@ def boundary_rings(documents: DataFrame, text: str = "value") -> DataFrame:
         F.when(kind == "FeatureCollection", collected)
         .when(kind == "Feature", _rings(F.try_variant_get(doc, "$.geometry", "variant")))
         .when(kind.isin("Polygon", "MultiPolygon"), _rings(doc))
-        .when(bare.isNotNull() & (F.size(bare) > 0), F.array(as_points(bare)))
+        .when(one_ring, F.array(as_points(bare)))
         .otherwise(F.transform(bare_rings, as_points))
     )
     staged = documents.withColumn("rings", rings)
