@@ -39,7 +39,7 @@ def key_inventory(rows: DataFrame, position: str, chunk: int = 4096) -> DataFram
         (strip(F.coalesce(_first_column(rows, KEY_COLUMNS), F.lit(""))) != "").alias("has_key"),
         (~active.isin(*INACTIVE)).alias("is_active"),
         quota.alias("quota"),
-    )
+    ).filter("has_key or alias <> ''")
 
 
 def active_keys(inventory: DataFrame) -> DataFrame:

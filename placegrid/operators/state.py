@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placegrid.functions.links import place_url
 from placegrid.functions.outcomes import classify_error
 from placegrid.functions.values import blank, coerce_int, filled, strip
 from placegrid.operators.dedupe import distinct_ids
@@ -209,12 +210,14 @@ def scraped_gate(rows: DataFrame) -> DataFrame:
     )
 
 
-def dead_letters(gated: DataFrame, exhausted_after: int = MAX_ATTEMPTS) -> DataFrame:
-    """Failure rows to append; a transient error that used up its attempts says so."""
-    label = F.when(
-        (F.col("error_class") == "transient") & (F.col("attempts") >= exhausted_after), "RetryExhausted"
-    ).when(F.col("error_class") == "permanent", "PermanentError").otherwise("TransientError")
+def dead_letters(gated: DataFrame) -> DataFrame:
+    """Failure rows to append, labelled by class; a transient one has used up its retries."""
+    label = (
+        F.when(F.col("error_class") == "permanent", "PermanentError")
+        .when(F.col("error_class") == "transient", "RetryExhausted")
+        .otherwise("Unhandled")
+    )
     return gated.filter(F.col("outcome") == "failed").select(
-        "place_id", F.col("source_url").alias("url"), label.alias("error_class"),
+        "place_id", place_url("place_id").alias("url"), label.alias("error_class"),
         F.substring(blank("error"), 1, ERROR_TEXT_LIMIT).alias("error_msg"), "attempted_at",
     )

@@ -171,12 +171,8 @@ def search_page_file(t):
 @query("A19", "SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT lang, sum(strlen(text) + 1) AS bytes FROM documents GROUP BY ALL)")
 def media_files(t):
     path = _path(t, "media")
-    docs = t.base("documents").select("lang", F.encode("text", "UTF-8").alias("b"))
-    rows = docs.select("lang", F.unbase64(F.base64("b")).cast("string").alias("value"))
-    rows.write.partitionBy("lang").text(path)
-    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.txt"
-    ).load(path)
+    t.base("documents").select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(path)
+    files = R.read_media(t.spark, path, "*.txt")
     by_lang = files.groupBy(F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang")).agg(F.sum("length").alias("n"))
     return by_lang.agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("bytes"))
 
@@ -192,7 +188,7 @@ def snapshot_table(t):
 
 
 @query("B5 A2", f"""WITH {state_queries._GATE}
-SELECT place_id, source_url AS url, err AS error_msg FROM gated WHERE outcome = 'failed'""")
+SELECT place_id, 'https://www.google.com/maps/place/?q=place_id:' || place_id AS url, err AS error_msg FROM gated WHERE outcome = 'failed'""")
 def dead_letter_file(t):
     path = _path(t, "dead")
     O.write_dead_letter(W.scraped_gate(t.listings), path)

@@ -176,8 +176,8 @@ def scraped_gate(t):
 
 
 @query("B5", f"""WITH {_GATE}
-SELECT place_id, source_url AS url, CASE WHEN error_class = 'transient' AND attempts >= 2 THEN 'RetryExhausted'
-  WHEN error_class = 'permanent' THEN 'PermanentError' ELSE 'TransientError' END AS error_class,
+SELECT place_id, 'https://www.google.com/maps/place/?q=place_id:' || place_id AS url,
+  CASE error_class WHEN 'permanent' THEN 'PermanentError' ELSE 'RetryExhausted' END AS error_class,
   left(err, 500) AS error_msg, attempted_at FROM gated WHERE outcome = 'failed'""")
 def dead_letters(t):
-    return S.dead_letters(S.scraped_gate(t.listings), exhausted_after=2)
+    return S.dead_letters(S.scraped_gate(t.listings))

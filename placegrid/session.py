@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -26,13 +27,14 @@ def build_session(name: str = "placegrid", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="placegrid-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where the cluster names none."""
-    root = spark.conf.get("spark.checkpoint.dir", "")
-    if not root:
-        root = tempfile.mkdtemp(prefix="placegrid-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """The folder all executors see; one of our own only where the session names none, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", "") or _own_dir()).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -202,10 +202,10 @@ def read_search_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_media(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Bytes by file name."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "content"
+    """Bytes by path and file name, folders included."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    return files.option("recursiveFileLookup", "true").load(path).select(
+        "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "content"
     )
 
 
