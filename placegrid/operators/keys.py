@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placegrid.functions.outcomes import billing_day
-from placegrid.functions.values import blank, first_filled, parse_quota, strip
+from placegrid.functions.values import first_filled, parse_quota, strip
 from placegrid.operators.ordered import row_index
 
 # Tokens of a switched-off key, its column aliases, throttle and ledger limits.

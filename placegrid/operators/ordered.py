@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
+PARTS = 1 << 16
 
 
 def carried(
@@ -26,8 +27,10 @@ def carried(
 ) -> tuple[DataFrame, WindowSpec]:
     """Rows with the carried columns, and the window over one chunk of one key.
 
-    `chunk` must not decrease along `order`. `summaries` are aggregates over a
-    chunk; each carry is an expression over the summaries of earlier chunks.
+    `chunk` must not decrease along `order`, and neither it nor a key may be null.
+    Cut so that a key has some ten thousand chunks at most (`even_chunks` does).
+    `summaries` are aggregates over a chunk; each carry is an expression over the
+    summaries of earlier chunks.
     """
     base = df.withColumn(CHUNK, chunk)
     per_chunk = base.groupBy(*keys, CHUNK).agg(*[e.alias(n) for n, e in summaries.items()])
@@ -37,6 +40,12 @@ def carried(
     return base.join(carry, [*keys, CHUNK]), inside
 
 
+def even_chunks(df: DataFrame, position: str, parts: int = PARTS) -> Column:
+    """At most `parts` chunks over a position that starts near zero, whatever the table's size."""
+    top = df.agg(F.max(position)).scalar()
+    return F.floor(F.col(position) / ((top + 1) / parts))
+
+
 def running_sum(df, keys, chunk, order, value: Column, out: str, before: bool = False) -> DataFrame:
     """Running total of `value` up to the row, or up to the row before it."""
     rows, inside = carried(

@@ -161,7 +161,7 @@ def page_snapshots(t):
     return R.read_pages(t.spark, f"{t.sf_dir}/pages.parquet").select("page_id", "url", F.md5("html").alias("digest"))
 
 
-@query("A18", "SELECT cell_id, query, attempt, page, status, body FROM v_calls_pages")
+@query("A18", "SELECT cell_id, query, CAST(attempt AS INTEGER) AS attempt, CAST(page AS INTEGER) AS page, status, body FROM v_calls_pages")
 def search_page_file(t):
     path = _path(t, "search")
     t.calls_pages.write.json(path)

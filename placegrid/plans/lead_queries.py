@@ -8,6 +8,7 @@ from placegrid.functions import media as M
 from placegrid.functions import values as V
 from placegrid.operators import dedupe as D
 from placegrid.operators import leads as L
+from placegrid.operators.ordered import even_chunks
 from placegrid.plans.registry import query
 from placegrid.plans.views import LINE_ORDER
 from placegrid.schemas import PROFILES
@@ -107,7 +108,8 @@ def lead_page(t):
 SELECT place_id, cell_id, o1, (SELECT count(*) FROM v_discovered) AS total FROM v_discovered
 ORDER BY {ORDER} LIMIT 1000 OFFSET 20000""")
 def deep_page(t):
-    return L.page(t.discovered, LINE_ORDER, 20, 5000, chunk=F.floor(F.col("o1") / 256)).select(
+    rows = t.discovered
+    return L.page(rows, LINE_ORDER, 20, 1000, chunk=even_chunks(rows, "o1")).select(
         "place_id", "cell_id", "o1", "total"
     )
 
