@@ -120,15 +120,15 @@ def walk_menu(chips: DataFrame) -> DataFrame:
         .select("place_id", "name", "price_amount", "f.*")
     )
     fresh = (
-        walked.select("place_id", "chip_pos", "chip", F.lit(0).alias("n"))
-        .unionByName(first.select("place_id", "chip_pos", "chip", F.lit(1).alias("n")))
+        walked.select("place_id", "chip_pos", landing.alias("landing"), F.lit(0).alias("n"))
+        .unionByName(first.select("place_id", "chip_pos", landing.alias("landing"), F.lit(1).alias("n")))
         .groupBy("place_id", "chip_pos")
-        .agg(F.sum("n").alias("fresh"), F.max("chip").alias("chip"))
+        .agg(F.sum("n").alias("fresh"), F.max("landing").alias("landing"))
     )
     so_far = Window.partitionBy("place_id").orderBy("chip_pos").rowsBetween(Window.unboundedPreceding, 0)
     earlier = so_far.rowsBetween(Window.unboundedPreceding, -1)
     at = F.count(F.lit(1)).over(so_far)
-    brings = (F.col("fresh") > 0) | F.col("chip").isNull()
+    brings = (F.col("fresh") > 0) | F.col("landing")
     stops = (
         fresh.withColumn("_at", at)
         .withColumn("_run", F.col("_at") - F.coalesce(F.max(F.when(brings, F.col("_at"))).over(so_far), F.lit(0)))
