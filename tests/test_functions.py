@@ -97,6 +97,33 @@ def test_amenities(spark):
     ]
 
 
+def test_icon_glyphs_carry_the_polarity(spark):
+    rows = F.array(*[
+        F.struct(F.lit(" Service ").alias("section"), F.lit(label).alias("label"))
+        for label in ("\ue5cd Delivery", "\ue5ca\ue033 Wi-fi", "\ue5ca", "Isn't open late", "  ")
+    ])
+    got = one(spark, P.normalize_amenities(rows))
+    assert [(r.section, r.item, r.present) for r in got] == [
+        ("Service", "Delivery", False), ("Service", "Wi-fi", True), ("Service", "Isn't open late", False)
+    ]
+
+
+def test_no_break_spaces(spark):
+    assert one(spark, P.parse_price(texts("\u00a0SAR\u00a020–40 per person"))).price_range_text == "SAR 20–40 per person"
+    assert one(spark, P.clean_hours_text(F.lit("Friday, 9\u202fam to 5\u00a0pm,  Copy open hours."))) == "Friday, 9 am to 5 pm"
+    assert one(spark, P.normalize_menu(F.array(F.struct(
+        F.lit("SAR\u00a012").alias("price"), F.lit("Tea ").alias("name"), F.lit(" ").alias("description")
+    )))) == [("Tea", None, "SAR", 12.0)]
+
+
+def test_outbound_links_are_distinct_and_external(spark):
+    rows = one(spark, P.outbound_links(texts(
+        "https://a.com/?x=1&ved=2", "/url?q=https://a.com/%3Fx%3D1&sa=U", "https://maps.google.com/x", "https://b.com/maps/y",
+        "https://www.google.co.in/", "https://linktr.ee/z",
+    )))
+    assert [(r.kind, r.url) for r in rows] == [("website", "https://a.com/?x=1"), ("linktree", "https://linktr.ee/z")]
+
+
 def test_menu(spark):
     lines = texts("Burger", "tasty", "SAR 10", "Fries", "SAR 5.50", "SAR 6", "Burger", "SAR 10", "Bad", "USD ,")
     rows = one(spark, P.normalize_menu(P.menu_rows(lines)))
