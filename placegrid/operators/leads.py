@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from placegrid.functions.media import first_image
 from placegrid.functions.values import blank, coerce_float, coerce_int, first_filled, strip
 from placegrid.operators.dedupe import first_seen, with_id
+from placegrid.operators.ordered import PARTS, even_chunks
 from placegrid.schemas import LISTING_FIELDS, PROFILES
 
 # Page size limits.
@@ -137,14 +138,16 @@ def page(
 ) -> DataFrame:
     """One page of an ordered table plus `total`.
 
-    Early pages are a plain top-n. A deep page with a `chunk` (a number that grows
-    with the order) counts rows per chunk and sorts only the chunks it touches.
+    Early pages are a plain top-n. A deep page needs a `chunk`, a number that grows
+    with the order: it counts rows per chunk and sorts only the chunks it touches.
     """
     limit = max(1, min(int(limit), PAGE_MAX))
     start = max(0, int(number)) * limit
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    if start + limit <= TOP_ROWS or chunk is None:
+    if start + limit <= TOP_ROWS:
         return df.orderBy(*order).offset(start).limit(limit).withColumn("total", total)
+    if chunk is None:
+        raise ValueError(f"a page beyond row {TOP_ROWS} needs a chunk")
     rows = df.withColumn("_chunk", chunk)
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = (
@@ -160,3 +163,9 @@ def page(
         .withColumn("total", total)
         .drop("_chunk", "_n", "_before", "_at")
     )
+
+
+def lead_page(leads: DataFrame, number: int = 0, limit: int = PAGE_DEFAULT) -> DataFrame:
+    """A page of the lead table in its own order: scraped rows, then the rest."""
+    chunk = F.col("side") * PARTS + even_chunks(leads, "seq")
+    return page(leads, ["side", "seq", "id"], number, limit, chunk)

@@ -101,7 +101,7 @@ def search_leads(t):
 @query("G1", f"""WITH {_LEADS}
 SELECT id, name, side, seq, (SELECT count(*) FROM leads) AS total FROM leads ORDER BY side, seq, id LIMIT 200 OFFSET 200""")
 def lead_page(t):
-    return L.page(_leads(t), ["side", "seq", "id"], 1, 200).select("id", "name", "side", "seq", "total")
+    return L.lead_page(_leads(t), 1, 200).select("id", "name", "side", "seq", "total")
 
 
 @query("G1", f"""

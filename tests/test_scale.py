@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from placegrid.operators import batches as B
@@ -53,6 +54,19 @@ def test_early_page_is_a_top_n_and_deep_page_sorts_only_its_chunks(spark, sf_dir
     assert sorted(map(tuple, early.collect())) == sorted(map(tuple, deep.collect()))
 
 
+def test_deep_lead_pages_match_the_whole_order(spark, sf_dir, monkeypatch):
+    t = Tables(spark, sf_dir)
+    leads = L.build_leads(t.listings, t.discovered, LINE_ORDER, LINE_ORDER).select("id", "side", "seq")
+    whole = [tuple(r) for r in leads.orderBy("side", "seq", "id").collect()]
+    monkeypatch.setattr(L, "TOP_ROWS", 0)
+    for number in (0, 2, 4, 9):
+        rows = L.lead_page(leads, number, 40).orderBy("side", "seq", "id").collect()
+        assert [tuple(r)[:3] for r in rows] == whole[number * 40 : number * 40 + 40]
+        assert all(r.total == len(whole) for r in rows)
+    with pytest.raises(ValueError):
+        L.page(leads, ["seq"], 3, 10)
+
+
 def test_copies_of_one_id_keep_the_first(spark):
     rows = spark.range(30_000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("place_id"), F.col("id").alias("seq")
