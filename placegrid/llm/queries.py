@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placegrid.llm import decontaminate
+from placegrid.llm import decontaminate, pieces
 
 
 @dataclass(frozen=True)
@@ -33,6 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def piece_model() -> bytes:
+    """The public BPE vocabulary of this box; any other path may be given to the operator."""
+    import public_tokenizers
+
+    return pieces.load_blob(public_tokenizers.path("piece_bpe_32k.model"))
+
+
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP9_SQL = rf"""
@@ -68,3 +75,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+@query()
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
