@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placegrid.llm import decontaminate, pieces
+from placegrid.llm import decontaminate, pieces, warc
 
 
 @dataclass(frozen=True)
@@ -80,3 +80,28 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), q AS (
+  SELECT page_id, octet_length(b) AS n, sha256(b) AS d FROM p
+), r AS (
+  SELECT page_id, n, d, min(page_id) OVER (PARTITION BY d) AS first FROM q
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+FROM r
+"""
+
+
+@query(OP8_SQL)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(table(spark, sf_dir, "pages"))
+    # a record that is not whole must not pass for one: its digest comes back null
+    return warc.read_archive(archive).select(
+        F.col("record_id").alias("page_id"), "payload_bytes",
+        F.when(F.col("whole"), F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to",
+    )
