@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placegrid.llm import decontaminate, pieces, warc
+from placegrid.llm import decontaminate, neardup, pieces, warc
 
 
 @dataclass(frozen=True)
@@ -105,3 +105,31 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("record_id").alias("page_id"), "payload_bytes",
         F.when(F.col("whole"), F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to",
     )
+
+
+OP1_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM d WHERE len(w) > 0
+), e AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), c AS (
+  SELECT a, min(b) AS first FROM reach GROUP BY a
+)
+SELECT d.doc_id, CAST(coalesce(len(s.s), 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(c.first, d.doc_id)) AS component_id,
+  d.doc_id <= coalesce(c.first, d.doc_id) AS kept
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
+"""
+
+
+@query(OP1_SQL)
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
