@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placegrid.llm import decontaminate, neardup, pieces, warc
+from placegrid.llm import decontaminate, lines, neardup, pieces, quality_rules, warc
 
 
 @dataclass(frozen=True)
@@ -133,3 +133,72 @@ FROM d LEFT JOIN s USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 @query(OP1_SQL)
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
+OP2_SQL = r"""
+WITH x AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents
+), y AS (
+  SELECT rid, source, i, ls[i] AS raw, trim(ls[i], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line
+  FROM (SELECT rid, source, ls, unnest(range(1, len(ls) + 1)) AS i FROM x)
+), t AS (
+  SELECT source, count(*) AS total FROM documents GROUP BY source
+), over AS (
+  SELECT y.source, line FROM y JOIN t ON y.source IS NOT DISTINCT FROM t.source WHERE line <> ''
+  GROUP BY y.source, line, total HAVING count(DISTINCT rid) >= 5 AND count(DISTINCT rid) > total * 0.1
+), kept AS (
+  SELECT rid, string_agg(raw, chr(10) ORDER BY i) FILTER (over.line IS NULL) AS text, count(over.line) AS n_dropped
+  FROM y LEFT JOIN over ON y.source IS NOT DISTINCT FROM over.source AND y.line = over.line GROUP BY rid
+)
+SELECT x.doc_id, x.source, CASE WHEN x.text IS NOT NULL THEN coalesce(kept.text, '') END AS text,
+  CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped
+FROM x LEFT JOIN kept USING (rid)
+"""
+
+
+@query(OP2_SQL)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
+), g AS (
+  SELECT rid, p, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS p FROM w)
+), r AS (
+  SELECT rid, count(DISTINCT q) AS n FROM (
+    SELECT rid, unnest(range(p, p + 8)) AS q FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, g) AS k FROM g) WHERE k > 1
+  ) GROUP BY rid
+), m AS (
+  SELECT w.rid, doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(len(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN r ON r.rid = w.rid
+), f AS (
+  SELECT source, rule, count(*) AS n, sum(CAST(bad AS BIGINT)) AS fails FROM (
+    SELECT source, unnest(['few_words', 'repeated', 'symbols', 'dup_lines', 'word_length']) AS rule,
+      unnest([n_words < 20, n_repeat_words * 100 > n_words * 30, n_symbols * 10 > n_words, n_dup_lines * 10 > n_lines * 3,
+        word_chars < n_words * 2 OR word_chars > n_words * 15]) AS bad FROM m
+  ) GROUP BY source, rule
+), p AS (
+  SELECT rule, m, CASE WHEN v <= 1e-12 THEN 1000 ELSE least(1000, greatest(1, m * (1 - m) / v - 1)) END AS s
+  FROM (SELECT rule, avg(fails / n) AS m, var_pop(fails / n) AS v FROM f GROUP BY rule)
+), h AS (
+  SELECT source, bool_or((fails + m * s) / (n + s) > 0.5) AS rejected FROM f JOIN p USING (rule) GROUP BY source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected AS host_rejected,
+  NOT base_failed AND NOT rejected AS kept
+FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m) m
+JOIN h ON m.source IS NOT DISTINCT FROM h.source
+"""
+
+
+@query(OP3_SQL)
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents")).drop("host", "n_lines")
