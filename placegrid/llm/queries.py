@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placegrid.llm import decontaminate, lines, neardup, pieces, quality_rules, warc
+from placegrid.llm import decontaminate, lines, neardup, pieces, pii, quality_rules, warc
 
 
 @dataclass(frozen=True)
@@ -202,3 +202,13 @@ JOIN h ON m.source IS NOT DISTINCT FROM h.source
 @query(OP3_SQL)
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("host", "n_lines")
+
+
+@query()
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.redactions(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"),
+    )
