@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placegrid.llm.common import add_columns, texts
+from placegrid.llm.common import add_columns, share, texts
 
 WINDOW = 10
 SHARD_WORDS = 500_000
@@ -168,13 +168,13 @@ def _shards(benchmark: DataFrame, window: int, shard_words: int) -> list[Automat
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS,
          keep_text: bool = True) -> DataFrame:
     """`docs` with n_words, hits (runs of hit words, end exclusive, by start) and items (sorted ids)."""
-    sc, out = docs.sparkSession.sparkContext, docs
+    out = docs
     shards = _shards(benchmark, window, shard_words)
     for k, automaton in enumerate(shards):
-        shared, again = sc.broadcast(automaton), k > 0
+        shared, again = share(docs.sparkSession, automaton), k > 0
 
         def start(shared=shared, again=again):
-            scan = shared.value.scan
+            scan = shared().scan
 
             def one(batch):
                 before = ([batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("_hits", "_items")]

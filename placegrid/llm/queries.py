@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placegrid.llm import decontaminate, lines, neardup, pieces, pii, quality_rules, warc
+from placegrid.llm import decontaminate, langid, lines, neardup, pieces, pii, quality_rules, warc
 
 
 @dataclass(frozen=True)
@@ -212,3 +212,12 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS],
         F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"),
     )
+
+
+@query()
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    # learned from remainders 0 and 1, temperature from 3; 2 is held out
+    model = langid.train(docs.select("doc_id", "text", "lang").where(rest != 2), rest < 2)
+    return langid.predicted(docs.select("doc_id", (rest == 2).alias("held_out"), "text"), model)
