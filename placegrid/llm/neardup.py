@@ -8,11 +8,11 @@ filled and long documents need a round or two. Two sets agree in a coordinate wi
 similarity J, concentrated as for independent hashes, and meet in a band of r rows with J^r. With the default 48 bands
 of 6 rows a pair at exactly J = 0.8 is missed with probability 5e-7, at 0.85 with 1e-10.
 
-Equal sets are collapsed first, so copies of one text cost one vertex. Bands are grouped in two steps that between them
-test every pair of a band that could still join two classes, without making all pairs of a band:
-  1. each member of a band against the band's smallest id (a star), verified on the full sets;
-  2. in bands whose members still lie in several classes, the members outside the band's largest class against the
-     members of other classes. A band that step 1 has joined makes no pair here, whatever its size.
+Equal sets are collapsed first, so copies of one text cost one vertex. A band that holds many sets never makes all its
+pairs. Its hub is the member that meets most others over all bands (the text that variants were made from):
+  1. each member is verified against the hub on the full sets, and links are joined to classes;
+  2. where members are left outside the hub's class, pairs beside the hub are found by a join on the elements in which
+     members differ from the hub, under an exact bound on how many two linked members share (`beside_hub`).
 Links are joined to classes by label spreading with pointer jumping on stored tables.
 
 Defined results: texts without a word (null, empty, white space) are linked with nothing; rows without an id take the
@@ -176,13 +176,62 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                        drop=["text"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of which 100 * intersection >= percent * union, on the full sets."""
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with the full sets of both as sa and sb."""
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    return pairs.join(left, "a").join(right, "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of which 100 * intersection >= percent * union, on the full sets."""
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "a").join(right, "b").where(both * 100 >= union * percent).select("a", "b")
+    return with_sets(pairs, sets).where(both * 100 >= union * percent).select("a", "b")
+
+
+def beside_hub(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) among the members of a hub, of which one at least is not in the hub's class. Loses none.
+
+    With h the hub's set, D(x) the elements in which x and h differ, and s = |x| + |y|: x and y are linked if and only
+    if they differ in no more than r * s elements, r = (100 - percent) / (100 + percent), that is, if D(x) and D(y)
+    share t = (|D(x)| + |D(y)| - r * s) / 2 elements or more. So, with each D in order of rarity among the hub's
+    members, the first |D| - t + 1 elements of both must have one in common. As x is no link of the hub, t is at least
+    (1 - r) / 2 * |D(y)|, which bounds how much of each D has to be joined at all. Variants of one text differ from it
+    in elements of their own, which come first, so a band of such variants makes hardly a pair.
+    """
+    r = (100 - percent) / (100 + percent)
+    label = labels.withColumnRenamed("label", "l")
+    told = (
+        stars.join(label.toDF("b", "lb"), "b", "left").join(label.toDF("a", "la"), "a", "left")
+        .withColumns({"lb": F.coalesce("lb", "b"), "la": F.coalesce("la", "a")}).withColumn("stray", F.col("la") != F.col("lb")))
+    mixed = told.groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.bool_or("stray").alias("any")).where("k > 1 AND any").select("a")
+    wide = with_sets(told.select("a", "b", "lb", "stray").join(mixed, "a", "left_semi"), sets)
+    delta = stored(wide.select(
+        F.col("a").alias("hub"), F.col("b").alias("rep"), F.col("lb").alias("label"), "stray",
+        F.size("sa").alias("nh"), F.size("sb").alias("n"),
+        F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb")).alias("d")), "delta")
+    tokens = delta.select("hub", "rep", F.explode("d").alias("e"))
+    shared = tokens.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = tokens.join(shared, ["hub", "e"]).groupBy("hub", "rep").agg(
+        F.sort_array(F.collect_list(F.struct("df", "e"))).alias("s"))
+    # elements of no other member come first and need not be joined; they only count for the position
+    size = F.size("d")
+    least = lambda t: F.greatest(F.lit(1), F.ceil(t - 1e-9).cast("int"))
+    placed = stored(
+        delta.select("hub", "rep", "label", "stray", "n", size.alias("k"), least((size - r * (F.col("n") + F.col("nh"))) / 2).alias("tx"),
+                     least((1 - r) / 2 * size).alias("ty"))
+        .join(ranked, ["hub", "rep"]).select("*", F.posexplode("s").alias("i", "x"))
+        .select("hub", "rep", "label", "stray", "n", "k", F.col("x.e").alias("e"),
+                (F.col("k") - F.size("s") + F.col("i")).alias("pos"), "tx", "ty"), "placed")
+    x = placed.where(F.col("stray") & (F.col("pos") <= F.col("k") - F.col("tx"))).select(
+        "hub", "e", *[F.col(c).alias(f"x_{c}") for c in ("rep", "label", "n", "k", "pos")])
+    y = placed.where(F.col("pos") <= F.col("k") - F.col("ty")).select(
+        "hub", "e", *[F.col(c).alias(f"y_{c}") for c in ("rep", "label", "n", "k", "pos")])
+    t = least((F.col("x_k") + F.col("y_k") - r * (F.col("x_n") + F.col("y_n"))) / 2)
+    near = x.join(y, ["hub", "e"]).where(
+        (F.col("x_label") != F.col("y_label")) & (F.col("x_pos") <= F.col("x_k") - t) & (F.col("y_pos") <= F.col("y_k") - t))
+    return near.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
 def classes(edges: DataFrame, name: str) -> DataFrame:
@@ -207,36 +256,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id)."""
     table = stored(sketched(docs, k, bands, rows), "sketches")
     reps = table.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
-    members = reps.select("rep", "n", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("top")).where("first < top")
+        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    members = reps.select("rep", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     # only members of bands that hold two sets or more go on
-    met = stored(members.join(shared.drop("top"), "band"), "bands")
-    size_ok = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
-    ends = met.select("rep", "n").distinct()
-    star = met.where("rep > first").select(F.col("first").alias("a"), F.col("rep").alias("b"), "n").distinct()
-    star = star.join(ends.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").where(size_ok(F.col("na"), F.col("n")))
+    met = stored(members.join(shared, "band"), "bands")
+
+    # the hub of a band is its member that meets most others over all bands: the text that the others were made from
+    ends = met.groupBy("rep").agg(F.sum("size").alias("weight"))
+    hubs = stored(met.select("band", "rep").join(ends, "rep").groupBy("band").agg(
+        F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub")), "hubs")
+    star = met.join(hubs, "band").where(F.col("rep") != F.col("hub"))
+    star = stored(star.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "star")
     wanted = docs.join(ends.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
     sets = stored(full_sets(wanted.dropDuplicates(["doc_id", "text"]), k).withColumnRenamed("doc_id", "rep"), "sets")
-    links = stored(verified(star.select("a", "b"), sets, percent), "links")
+    links = stored(verified(star, sets, percent), "links")
     labels = classes(links, "first")
 
-    # bands whose members lie in several classes
-    placed = met.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "band", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    sizes = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("band").agg(F.max_by("label", F.struct("size", "label")).alias("main"),
-                                        F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
-    split = stored(placed.join(largest, "band"), "split")
-    outside = split.where("label <> main").select("band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    others = split.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    rest = (
-        outside.join(others, "band")
-        .where((F.col("la") != F.col("lb")) & size_ok(F.col("na"), F.col("nb")))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        .join(star.select("a", "b"), ["a", "b"], "left_anti")
-    )
+    rest = beside_hub(star, labels, sets, percent)
     more = stored(verified(rest, sets, percent), "links")
     if not more.isEmpty():
         labels = classes(links.union(more), "second")
