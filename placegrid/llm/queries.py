@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placegrid.llm import decontaminate, langid, lines, neardup, pieces, pii, quality_rules, warc
+from placegrid.llm import decontaminate, kneser_ney, langid, lines, neardup, pieces, pii, quality_rules, warc
 
 
 @dataclass(frozen=True)
@@ -221,3 +221,8 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     # learned from remainders 0 and 1, temperature from 3; 2 is held out
     model = langid.train(docs.select("doc_id", "text", "lang").where(rest != 2), rest < 2)
     return langid.predicted(docs.select("doc_id", (rest == 2).alias("held_out"), "text"), model)
+
+
+@query()
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
