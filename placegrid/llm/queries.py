@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placegrid.llm import decontaminate, kneser_ney, langid, lines, neardup, pieces, pii, quality_rules, warc
+from placegrid.llm import decontaminate, kneser_ney, langid, lines, lm_score, neardup, pieces, pii, quality_rules, warc
 
 
 @dataclass(frozen=True)
@@ -226,3 +226,8 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
+
+
+@query()
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"))
