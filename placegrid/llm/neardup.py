@@ -132,7 +132,7 @@ def _set_key(s: np.ndarray) -> bytes | None:
 
 
 def sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for texts without a word) and the `bands` hashes of the sketch."""
+    """doc_id, text_key, n_shingles, set_key (null for texts without a word) and the `bands` hashes of the sketch."""
     from placegrid.llm.common import texts
 
     t = bands * rows
@@ -156,7 +156,7 @@ def sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()),
               T.StructField("bands", T.ArrayType(T.LongType()))]
-    return add_columns(docs.select("doc_id", "text"), fields, start, drop=["text"])
+    return add_columns(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), fields, start, drop=["text"])
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -253,7 +253,7 @@ def classes(edges: DataFrame, name: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id)."""
+    """doc_id, text_key (hash of the text), n_shingles, component_id (smallest id reachable), kept (doc_id = component_id)."""
     table = stored(sketched(docs, k, bands, rows), "sketches")
     reps = table.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
@@ -280,6 +280,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
 
     of_set = reps.select("set_key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "set_key", F.coalesce("label", "rep").alias("component"))
-    return table.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
+    return table.drop("bands").join(of_set, "set_key", "left").select(
+        "doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"))

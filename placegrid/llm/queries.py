@@ -132,7 +132,7 @@ FROM d LEFT JOIN s USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 
 @query(OP1_SQL)
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2).drop("text_key")
 
 
 OP2_SQL = r"""
