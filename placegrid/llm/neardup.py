@@ -90,6 +90,8 @@ def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
     """Fast similarity sketch of each set, t coordinates each; the rows of empty sets are not to be used."""
+    if 2 * t > 1 << 10:
+        raise ValueError("a sketch has at most 512 coordinates: ten bits hold the round")
     docs = len(sets)
     out = np.full(docs * t, np.iinfo(np.uint64).max, np.uint64)
     sizes = np.array([len(s) for s in sets])
