@@ -9,10 +9,6 @@ from placegrid.functions.values import blank, col
 from placegrid.schemas import ERROR_TEXT_LIMIT
 
 # Error texts, auth markers, job states, the billing day's first hour.
-TRANSIENT_HINTS = (
-    "timeout", "navigation", "interrupted", "rate limited",
-    "429", "503", "504", "502", "connection", "network",
-)
 PERMANENT_HINTS = (
     "not found", "no longer exists", "invalid place_id", "404", "permanently closed",
 )
@@ -47,10 +43,6 @@ def classify_error(c: Column | str) -> Column:
     return F.when(_mentions(F.lower(blank(c)), PERMANENT_HINTS), "permanent").otherwise("transient")
 
 
-def has_transient_hint(c: Column | str) -> Column:
-    return _mentions(F.lower(blank(c)), TRANSIENT_HINTS)
-
-
 def is_auth_error(status: Column | str, body: Column | str) -> Column:
     return F.coalesce(
         col(status).isin(*AUTH_STATUS) & _mentions(F.lower(blank(body)), AUTH_MARKERS), F.lit(False)

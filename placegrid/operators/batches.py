@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from placegrid.functions.outcomes import BAD_STATES, SUCCEEDED, effective_state, job_error
 from placegrid.functions.values import blank
 from placegrid.operators.dedupe import first_seen
-from placegrid.operators.ordered import running_sum
+from placegrid.operators.ordered import even_chunks, running_sum
 
 # Upload budget in bytes, mime type, fetch failures that only drop an image.
 FILES_BUDGET = 17_000_000_000
@@ -18,11 +18,13 @@ IMAGE_MIME = "image/jpeg"
 DROPPABLE = ("truncated", "cannot identify", "decoder", "http 404")
 
 
-def attach_images(skeleton: DataFrame, media: DataFrame) -> DataFrame:
+def attach_images(skeleton: DataFrame, media: DataFrame, salts: int = 32, hot: int = 1000) -> DataFrame:
     """Requests with their images in order, `n_images`, and `error` where a required one failed.
 
     media: url, content (binary, null on failure), error. Only (key, position, url)
-    goes through the image join; prompts are shuffled once.
+    goes through the image join; prompts are shuffled once. References are dealt over
+    `salts` copies of an image that more than `hot` of them name, so a logo that every
+    request shows does not meet all of them in one task.
     """
     refs = skeleton.select(
         "key", F.posexplode("images").alias("pos", "url"), "optional_images"
@@ -35,8 +37,14 @@ def attach_images(skeleton: DataFrame, media: DataFrame) -> DataFrame:
     for hint in DROPPABLE:
         dropped = dropped | failure.contains(hint)
     got = F.col("content").isNotNull()
+    busy = refs.groupBy("url").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot).select(
+        "url", F.lit(salts).alias("_salts"))
+    spread = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    copies = media.join(busy, "url", "left").withColumn("_salt", spread).drop("_salts")
+    dealt = refs.join(busy, "url", "left").withColumn(
+        "_salt", F.pmod(F.xxhash64("key", "pos"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
     images = (
-        refs.join(media, "url", "left")
+        dealt.join(copies, ["url", "_salt"], "left")
         .groupBy("key")
         .agg(
             F.sort_array(
@@ -88,10 +96,10 @@ def shard_stub(requests: DataFrame, order: str) -> DataFrame:
 
 
 def admit_by_budget(
-    shards: DataFrame, position: str, active: int = 0, budget: int = FILES_BUDGET, chunk: int = 4096
+    shards: DataFrame, position: str, active: int = 0, budget: int = FILES_BUDGET
 ) -> DataFrame:
     """Shard files in order while they fit beside what is already uploaded."""
-    rows = running_sum(shards, [], F.floor(F.col(position) / chunk), [position], F.col("size_bytes"), "total_bytes")
+    rows = running_sum(shards, [], even_chunks(shards, position), [position], F.col("size_bytes"), "total_bytes")
     return rows.filter(F.col("total_bytes") + active <= budget)
 
 
@@ -124,29 +132,45 @@ def attach_input_file(jobs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def uncollected(jobs: DataFrame, results: DataFrame) -> DataFrame:
-    """Succeeded jobs that have no result file yet."""
-    won = jobs.filter(F.col("state") == SUCCEEDED)
+    """Succeeded jobs that have no result file yet; inline jobs, which name none to fetch, publish their own."""
+    won = jobs.filter((F.col("state") == SUCCEEDED) & (blank("dest_file") != ""))
     return won.join(results.select("client", "dataset", "shard"), ["client", "dataset", "shard"], "left_anti")
 
 
-def sweep(jobs: DataFrame, files: DataFrame, results: DataFrame) -> DataFrame:
-    """Status rows of the newest job per name: effective state, input file, error, flags."""
+def sweep(
+    jobs: DataFrame, files: DataFrame, results: DataFrame, container: str = "", now: Column | None = None
+) -> DataFrame:
+    """Status rows of the newest job per name: effective state, input file, error, flags.
+
+    `skipped` marks succeeded inline jobs without results: they are seen, but get no status
+    file (`status_rows`) and are not collected.
+    """
+    checked = F.date_format(F.current_timestamp() if now is None else now, "yyyy-MM-dd'T'HH:mm:ssXXX")
     newest = newest_job(batch_jobs(jobs)).withColumn(
         "state", effective_state("state", "request_count", "pending_request_count")
     )
     stored = results.select("client", "dataset", "shard", F.lit(True).alias("_had")).distinct()
     rows = attach_input_file(newest, files).join(stored, ["client", "dataset", "shard"], "left")
     won, bad = F.col("state") == SUCCEEDED, F.col("state").isin(*BAD_STATES)
+    skipped = won & F.col("_had").isNull() & (blank("dest_file") == "")
+    kept = won & ~skipped
+    url = F.concat(F.lit(f"{container}/llm-batch/"), F.concat_ws("/", "client", "dataset"), F.lit("/results/"), "shard", F.lit(".jsonl"))
     return rows.select(
-        "client", "dataset", "shard", "name", "display_name", "state", "src_file", "create_time",
+        "client", "dataset", "shard", "name", "display_name", "state", "model", "src_file", "create_time", "update_time",
         "request_count", "pending_request_count",
+        checked.alias("checked_at"), F.when(kept, url).alias("results_url"), F.when(kept, checked).alias("collected_at"),
         job_error(F.col("state"), F.col("error")).alias("error"),
-        (won & F.col("_had").isNull()).alias("newly_collected"),
+        (kept & F.col("_had").isNull()).alias("newly_collected"), skipped.alias("skipped"),
         bad.alias("failed"), (~won & ~bad).alias("unfinished"),
         ((won | bad) & F.col("src_file").isNull()).alias("input_deleted"),
     )
 
 
+def status_rows(swept: DataFrame) -> DataFrame:
+    """What is written as status: all but the skipped jobs."""
+    return swept.filter(~F.col("skipped")).drop("skipped")
+
+
 def sweep_summary(status: DataFrame) -> DataFrame:
     return status.agg(
         F.count(F.lit(1)).alias("jobs_seen"),

@@ -13,7 +13,7 @@ from placegrid.functions.links import (
 from placegrid.functions.outcomes import cell_outcome, is_auth_error
 from placegrid.functions.values import fmt_coord
 from placegrid.operators.dedupe import first_seen
-from placegrid.operators.ordered import running_sum
+from placegrid.operators.ordered import even_chunks, running_sum
 from placegrid.schemas import SEARCH_BODY
 
 # The pagination stop rules, key attempts per search, scroll rounds.
@@ -86,19 +86,23 @@ def page_ids(responses: DataFrame) -> DataFrame:
 
 
 def call_pages(responses: DataFrame) -> DataFrame:
-    """Parsed pages within the page cap, one copy of each, so that a call holds few rows."""
+    """Parsed pages, one of each: of a repeated page the least (status, results, ids), so good answers win."""
     return (
-        parse_pages(responses.filter(F.col("page") <= MAX_PAGES))
+        parse_pages(responses)
         .groupBy(*CALL, "page")
-        .agg(*[F.first(c).alias(c) for c in ("status", "auth_failed", "results", "ids", "has_next")])
+        .agg(F.min(F.struct("status", "results", "ids", "auth_failed", "has_next")).alias("r"))
+        .select(*CALL, "page", "r.status", "r.auth_failed", "r.results", "r.ids", "r.has_next")
     )
 
 
-def last_attempt(pages: DataFrame) -> DataFrame:
-    """Only the final key's pages: a later attempt replaces the earlier ones."""
+def last_attempt(pages: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """Only the final key's pages: a later attempt replaces the earlier ones.
+
+    Of stored responses as well as of parsed pages; taken first, what it drops need not be parsed.
+    """
     whole = Window.partitionBy("cell_id", "query")
     return (
-        pages.filter(F.col("attempt") <= MAX_ATTEMPTS)
+        pages.filter(F.col("attempt") <= max_attempts)
         .withColumn("_last", F.max("attempt").over(whole))
         .filter(F.col("attempt") == F.col("_last"))
         .drop("_last")
@@ -116,11 +120,11 @@ def _streak(condition: Column, position: Column, window) -> Column:
     return position - F.coalesce(F.max(F.when(~condition, position)).over(window), F.lit(0))
 
 
-def paginate(pages: DataFrame) -> DataFrame:
+def paginate(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """Pages up to the stop of their call, with `stop_page` and `stop_reason`.
 
     The rules look only at the page and those before it, so the first page that
-    meets one is where the call ends.
+    meets one is where the call ends; page `max_pages` always does.
     """
     so_far = Window.partitionBy(*CALL).orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*CALL)
@@ -129,13 +133,13 @@ def paginate(pages: DataFrame) -> DataFrame:
     why = (
         F.when(F.col("status") != 200, "error")
         .when(~F.col("has_next"), "end")
-        .when(F.col("page") >= MAX_PAGES, "max_pages")
+        .when(F.col("page") >= max_pages, "max_pages")
         .when(F.col("_empty") >= EMPTY_IN_A_ROW, "empty_streak")
         .when((F.col("page") >= LOW_YIELD_FROM) & (F.col("_low") >= LOW_YIELD_IN_A_ROW), "low_yield")
         .when(F.col("_saturated") >= SATURATED_IN_A_ROW, "saturation")
     )
     return (
-        page_novelty(pages)
+        page_novelty(pages.filter(F.col("page") <= max_pages))
         .withColumn("_pos", F.count(F.lit(1)).over(so_far))
         .withColumns(
             {
@@ -244,34 +248,38 @@ def parse_discovery(pages: DataFrame, key: str, html: str) -> DataFrame:
     )
 
 
-def scroll_plateau(harvest: DataFrame) -> DataFrame:
+def scroll_plateau(harvest: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Ids harvested before the list stopped growing twice in a row.
 
     Ids are first reduced to their first round; the few round counters of a
-    search are then plain conditional sums.
+    search are then plain conditional sums. Rounds count from a search's first one.
     """
+    whole = Window.partitionBy("cell_id", "query")
     first_round = (
-        harvest.filter(F.col("round") < MAX_ROUNDS)
-        .groupBy("cell_id", "query", "place_id")
-        .agg(F.min("round").alias("round"))
+        harvest.groupBy("cell_id", "query", "place_id").agg(F.min("round").alias("round"))
+        .withColumn("_from", F.min("round").over(whole))
+        .withColumn("_n", F.col("round") - F.col("_from"))
+        .filter(F.col("_n") < max_rounds)
     )
-    per_round = [F.count_if(F.col("round") == r) for r in range(MAX_ROUNDS)]
+    per_round = [F.count_if(F.col("_n") == r) for r in range(max_rounds)]
     grown = first_round.groupBy("cell_id", "query").agg(F.array(*per_round).alias("_new"))
     stop = F.least(
         *[
             F.when((F.get("_new", F.lit(r)) == 0) & (F.get("_new", F.lit(r - 1)) == 0), r)
-            for r in range(2, MAX_ROUNDS)
+            for r in range(2, max_rounds)
         ]
     )
-    stops = grown.select("cell_id", "query", F.coalesce(stop, F.lit(MAX_ROUNDS - 1)).alias("stop_round"))
-    return first_round.join(stops, ["cell_id", "query"]).filter(F.col("round") <= F.col("stop_round"))
+    stops = grown.select("cell_id", "query", F.coalesce(stop, F.lit(max_rounds - 1)).alias("_stop"))
+    return (
+        first_round.join(stops, ["cell_id", "query"]).filter(F.col("_n") <= F.col("_stop"))
+        .withColumn("stop_round", (F.col("_from") + F.col("_stop")).cast("int")).drop("_from", "_n", "_stop")
+    )
 
 
-def cap_places(cells: DataFrame, cap: int, position: str, chunk: int = 4096) -> DataFrame:
-    """Cells issued before the running number of places reached the cap."""
-    rows = running_sum(
-        cells, [], F.floor(F.col(position) / chunk), [position], F.col("place_count"), "_before", before=True
-    )
+def cap_places(cells: DataFrame, cap: int, position: str, chunk: Column | None = None) -> DataFrame:
+    """Cells issued before the running number of places reached the cap; cells without a position come first."""
+    cut = even_chunks(cells, position) if chunk is None else chunk
+    rows = running_sum(cells, [], cut, [position], F.col("place_count"), "_before", before=True)
     return rows.filter(F.col("_before") < cap).drop("_before")
 
 

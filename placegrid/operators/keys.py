@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placegrid.functions.outcomes import billing_day
 from placegrid.functions.values import first_filled, parse_quota, strip
-from placegrid.operators.ordered import row_index
+from placegrid.operators.ordered import even_chunks, join_same, row_index
 
 # Tokens of a switched-off key, its column aliases, throttle and ledger limits.
 INACTIVE = ("0", "false", "no", "n")
@@ -24,12 +24,12 @@ def _first_column(df: DataFrame, names) -> Column:
     return first_filled(*found) if found else F.lit(None).cast("string")
 
 
-def key_inventory(rows: DataFrame, position: str, chunk: int = 4096) -> DataFrame:
+def key_inventory(rows: DataFrame, position: str) -> DataFrame:
     """alias, activity, quota (null means no cap); the secret is not carried on.
 
     Keys without an alias are named after their 1-based line.
     """
-    numbered = row_index(rows, [], F.floor(F.col(position) / chunk), [position], "_line")
+    numbered = row_index(rows, [], even_chunks(rows, position), [position], "_line")
     active = F.lower(strip(F.coalesce("is_active", F.lit("1")))) if "is_active" in rows.columns else F.lit("1")
     quota = parse_quota("daily_quota") if "daily_quota" in rows.columns else F.lit(None).cast("bigint")
     line = F.col("_line") + 1
@@ -120,14 +120,18 @@ def call_cost(calls: DataFrame, price_per_1k: float = PRICE_PER_1K) -> DataFrame
     return calls.agg(n.alias("api_calls"), (n * float(price_per_1k) / 1000).alias("cost_usd"))
 
 
-def throttle_streaks(calls: DataFrame, order: list[str], chunk: Column, carry: DataFrame | None = None) -> DataFrame:
+def throttle_streaks(
+    calls: DataFrame, order: list[str], chunk: Column | None = None, carry: DataFrame | None = None
+) -> DataFrame:
     """Consecutive rate-limit answers per key; every second one parks the key.
 
     Any other answer ends a streak, except an auth error, which neither counts nor
-    ends it. A busy key's calls are cut into chunks: each chunk reports its resets
-    and the hits after its last one, and only those reports are scanned per key.
+    ends it. A busy key's calls are cut into chunks, even ones of the first order column
+    unless `chunk` is given: each chunk reports its resets and the hits after its last
+    one, and only those reports are scanned per key. Calls without a key are one key.
     `carry` (alias, streak, hits) continues from an earlier batch.
     """
+    cut = even_chunks(calls, order[0]) if chunk is None else chunk
     hit = F.col("status") == 429
     reset = ~hit & ~F.col("auth_failed")
     part = Window.partitionBy("alias", "_chunk")
@@ -136,7 +140,7 @@ def throttle_streaks(calls: DataFrame, order: list[str], chunk: Column, carry: D
         Window.unboundedPreceding, 0
     )
     rows = (
-        calls.withColumn("_chunk", chunk)
+        calls.withColumn("_chunk", F.coalesce(cut.cast("bigint"), F.lit(-(1 << 62))))
         .withColumn("_resets", F.count_if(reset).over(so_far))
         .withColumns({"_in": F.count_if(hit).over(streak_part), "_hits": F.count_if(hit).over(so_far)})
     )
@@ -156,13 +160,13 @@ def throttle_streaks(calls: DataFrame, order: list[str], chunk: Column, carry: D
         F.coalesce(F.sum("_hits").over(all_before), F.lit(0)).alias("_had"),
     )
     if carry is not None:
-        carried = carried.join(carry, "alias", "left").select(
+        carried = join_same(carried, carry, ["alias"], "left").select(
             "alias", "_chunk", "_since",
             (F.col("_from") + F.when(F.col("_since") == 0, F.coalesce("streak", F.lit(0))).otherwise(0)).alias("_from"),
             (F.col("_had") + F.coalesce("hits", F.lit(0))).alias("_had"),
         )
     streak = F.col("_in") + F.when(F.col("_resets") == 0, F.col("_from")).otherwise(0)
-    return rows.join(carried, ["alias", "_chunk"]).select(
+    return join_same(rows, carried, ["alias", "_chunk"]).select(
         *calls.columns,
         streak.alias("streak"),
         (hit & (streak % PARK_EVERY == 0)).alias("parked"),

@@ -15,7 +15,6 @@ from placegrid.schemas import LISTING_FIELDS, PROFILES
 
 # Page size limits.
 PAGE_DEFAULT, PAGE_MAX = 200, 1000
-TOP_ROWS = 10_000
 
 _FROM_DISCOVERY = ("lat", "lng", "query")
 
@@ -134,25 +133,26 @@ def export_leads(listings: DataFrame, q: str, order: Sequence[str]) -> DataFrame
 
 
 def page(
-    df: DataFrame, order: Sequence[str], number: int = 0, limit: int = PAGE_DEFAULT, chunk: Column | None = None
+    df: DataFrame, order: Sequence[str], number: int = 0, limit: int = PAGE_DEFAULT, chunk: Column | None = None,
+    max_limit: int = PAGE_MAX,
 ) -> DataFrame:
     """One page of an ordered table plus `total`.
 
-    Early pages are a plain top-n. A deep page needs a `chunk`, a number that grows
-    with the order: it counts rows per chunk and sorts only the chunks it touches.
+    With a `chunk`, a number that grows with the order, rows are counted per chunk and only
+    the chunks that the page touches are sorted, whatever its depth. Without one it is a top-n.
     """
-    limit = max(1, min(int(limit), PAGE_MAX))
+    limit = max(1, min(int(limit), max_limit))
     start = max(0, int(number)) * limit
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    if start + limit <= TOP_ROWS:
-        return df.orderBy(*order).offset(start).limit(limit).withColumn("total", total)
     if chunk is None:
-        raise ValueError(f"a page beyond row {TOP_ROWS} needs a chunk")
-    rows = df.withColumn("_chunk", chunk)
+        total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+        return df.orderBy(*order).offset(start).limit(limit).withColumn("total", total)
+    rows = df.withColumn("_chunk", F.coalesce(chunk, F.lit(-1)))
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # the few counts give both the offsets and the total
     counts = (
         rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)),
+                      "total": F.sum("_n").over(Window.partitionBy())})
         .filter((F.col("_before") < start + limit) & (F.col("_before") + F.col("_n") > start))
     )
     inside = Window.partitionBy("_chunk").orderBy(*order)
@@ -160,7 +160,6 @@ def page(
         rows.join(counts, "_chunk")
         .withColumn("_at", F.col("_before") + F.row_number().over(inside) - 1)
         .filter((F.col("_at") >= start) & (F.col("_at") < start + limit))
-        .withColumn("total", total)
         .drop("_chunk", "_n", "_before", "_at")
     )
 

@@ -15,11 +15,13 @@ STALE_STEPS = 3
 def walk_gallery(items: DataFrame, cap: int = M.GALLERY_CAP) -> DataFrame:
     """Emitted gallery items of each place, at most `cap`, ending after three repeats in a row.
 
-    A walk takes at most twice `cap` steps; later ones are dropped first, which
-    bounds the rows of a place.
+    A walk takes at most twice `cap` items by position, whatever their step numbers; later
+    ones are dropped first, which bounds the rows of a place. Items of one step follow
+    each other in the order of their fields.
     """
     src = F.when(~M.is_video("cap"), F.col("img"))
-    place = Window.partitionBy("place_id").orderBy("step")
+    place = Window.partitionBy("place_id").orderBy("_at")
+    walk = Window.partitionBy("place_id").orderBy("step", "img", "vid", "cap", "attr")
     so_far = place.rowsBetween(Window.unboundedPreceding, 0)
     earlier = place.rowsBetween(Window.unboundedPreceding, -1)
     signature = F.concat_ws(
@@ -27,14 +29,14 @@ def walk_gallery(items: DataFrame, cap: int = M.GALLERY_CAP) -> DataFrame:
     )
     over = (F.col("_stale") >= STALE_STEPS) | (F.col("_emitted") >= cap)
     return (
-        _one_step(items, cap)
+        items.withColumn("_at", F.row_number().over(walk))
+        .filter(F.col("_at") <= 2 * cap)
         .withColumn("_src", src)
         .withColumn("_sig", signature)
         .withColumns(
             {
                 "_new": ~F.array_contains(F.collect_list("_sig").over(earlier), F.col("_sig")),
                 "kind": M.photo_kind("_src", "cap", "attr"),
-                "_at": F.row_number().over(place),
             }
         )
         .withColumn("_out", F.col("_new") & F.col("kind").isNotNull())
@@ -54,14 +56,6 @@ def walk_gallery(items: DataFrame, cap: int = M.GALLERY_CAP) -> DataFrame:
     )
 
 
-def _one_step(items: DataFrame, cap: int) -> DataFrame:
-    return (
-        items.filter(F.col("step") < 2 * cap)
-        .groupBy("place_id", "step")
-        .agg(*[F.first(c).alias(c) for c in ("img", "vid", "cap", "attr")])
-    )
-
-
 def imagery_class(places: DataFrame, photos: DataFrame) -> DataFrame:
     """photos, street_view_only or none; unknown only where the capture failed with no photos."""
     found = photos.groupBy("place_id").agg(

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from placegrid.functions.outcomes import eta, projected_remaining
 from placegrid.functions.values import blank, filled
-from placegrid.operators.ordered import previous, row_index, trailing
+from placegrid.operators.ordered import even_chunks, join_same, previous, row_index, trailing
 
-# Rate windows in seconds, log tail limits, log levels and the anomaly pattern.
+# Rate windows in seconds, log tail limits, log levels, the anomaly pattern and the log line format.
 RATE_WINDOW, RATE_MIN_SECONDS = 15, 3
 COMPLETION_WINDOW = 60
 TAIL_ROWS, TAIL_BYTES, MESSAGE_LIMIT = 500, 262144, 2000
@@ -34,6 +34,11 @@ COUNTERS = (
     "cells_done", "cells_failed", "cells_partial", "cells_in_flight", "cells_total",
     "grid_cells_total", "placeids_done", "placeids_failed", "placeids_pending",
 )
+LIVE_ARRAYS = ("workers", "api_keys")
+STATE_COUNTERS = (
+    "cells_done", "cells_total", "grid_cells_touched", "grid_cells_total", "queries_total",
+    "placeids_total", "placeids_done", "placeids_failed", "placeids_pending",
+)
 GAUGES = ("rps_inst", "elapsed_s", "cost_usd", "discovery_rps")
 _MICROS = 1_000_000
 
@@ -54,19 +59,24 @@ def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def _time_chunk(rows: DataFrame, seconds: int | None) -> Column:
+    return even_chunks(rows, "at") if seconds is None else F.floor(F.col("at") / (seconds * _MICROS))
+
+
 def sliding_rate(
     beats: DataFrame, key: str, ts: str, value: str,
-    window: int = RATE_WINDOW, min_seconds: int = RATE_MIN_SECONDS, chunk_seconds: int = 86_400,
+    window: int = RATE_WINDOW, min_seconds: int = RATE_MIN_SECONDS, chunk_seconds: int | None = None,
 ) -> DataFrame:
     """Growth per second at every change of `value`, over the trailing window.
 
     Samples before the first positive one are skipped; with nothing else in the
-    window the previous change is the anchor. Long runs are cut by time.
+    window the previous change is the anchor. Long runs are cut by time, evenly over
+    all samples unless `chunk_seconds` says otherwise.
     """
     samples = beats.select(key, _micros(ts).alias("at"), F.coalesce(value, F.lit(0)).alias("v"))
     began = samples.filter("v > 0").groupBy(key).agg(F.min("at").alias("_began"))
-    samples = samples.join(began, key).filter("at >= _began").drop("_began")
-    chunk = F.floor(F.col("at") / (chunk_seconds * _MICROS))
+    samples = join_same(samples, began, [key]).filter("at >= _began").drop("_began")
+    chunk = _time_chunk(samples, chunk_seconds)
     stepped = previous(samples, [key], chunk, ["at", "v"], F.col("v"), "_prev")
     changes = stepped.filter(F.col("_prev").isNull() | (F.col("v") != F.col("_prev"))).drop("_prev")
     anchored = previous(changes, [key], chunk, ["at", "v"], F.struct("at", "v"), "_before")
@@ -83,18 +93,19 @@ def sliding_rate(
 
 
 def completion_rate_1m(
-    events: DataFrame, key: str, ts: str, tie: str, totals: DataFrame, chunk_seconds: int = 86_400
+    events: DataFrame, key: str, ts: str, tie: str, totals: DataFrame, chunk_seconds: int | None = None
 ) -> DataFrame:
     """Completions in the trailing minute per second, and the time left at that rate.
 
     `totals` holds `total` per run.
     """
     rows = events.select(key, _micros(ts).alias("at"), tie)
-    chunk = F.floor(F.col("at") / (chunk_seconds * _MICROS))
+    chunk = _time_chunk(rows, chunk_seconds)
     counted = row_index(rows, [key], chunk, ["at", tie], "done")
-    began = rows.groupBy(key).agg(F.min("at").alias("_began")).join(totals, key)
+    began = join_same(rows.groupBy(key).agg(F.min("at").alias("_began")), totals, [key])
     wide, look_back, own = trailing(counted, [key], F.col("at"), COMPLETION_WINDOW * _MICROS)
-    recent = wide.withColumn("_n", F.count(F.lit(1)).over(look_back)).filter(own).join(began, key)
+    recent = wide.withColumn("_n", F.count(F.lit(1)).over(look_back)).filter(own)
+    recent = join_same(recent, began, [key])
     elapsed = (F.col("at") - F.col("_began")) / _MICROS
     span = F.least(F.lit(float(COMPLETION_WINDOW)), F.greatest(F.lit(1.0), elapsed))
     remaining = F.greatest(F.lit(0), F.col("total") - F.col("done") - 1)
@@ -114,16 +125,26 @@ def reconcile_counters(latest: DataFrame, counts: DataFrame, key: str = "run_id"
     )
 
 
-def run_summary(config: DataFrame, live: DataFrame, active: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """One wide row per configured run, with defaults; `counts` adds the detail columns.
+def run_summary(
+    config: DataFrame, live: DataFrame, active: DataFrame, counts: DataFrame | None = None, arrays: bool = False
+) -> DataFrame:
+    """One wide row per configured run, with defaults; `arrays` adds the live arrays, `counts` the detail columns.
 
-    counts: run_id, placeids_total/done/failed and phase1_rows, phase2_rows, failure_rows.
+    counts: run_id, phase1_rows, phase2_rows, failure_rows and what the state tables show
+    (any of STATE_COUNTERS), which replaces the heartbeat's counters.
     """
-    beats = live.select("run_id", *COUNTERS, *GAUGES, "queries_total")
+    shown = [c for c in LIVE_ARRAYS if arrays and c in live.columns]
+    beats = live.select("run_id", *COUNTERS, *GAUGES, "queries_total", *shown)
     rows = config.join(beats, "run_id", "left").join(active.select("run_id", "exit_code", F.lit(True).alias("_managed")), "run_id", "left")
     planned = F.greatest(F.coalesce(F.size("queries"), F.lit(0)), F.lit(0)).cast("bigint")
+    nothing = F.array().cast("array<string>")
+    relation = F.col("osm_relation_id") if "osm_relation_id" in config.columns else F.lit(None)
     columns = {
         "run_id": F.col("run_id"), "started_at": F.col("started_at"), "city": F.col("city_name"),
+        "queries": F.coalesce("queries", nothing),
+        "selected_columns": F.coalesce("selected_columns", nothing) if "selected_columns" in config.columns else nothing,
+        "osm_relation_id": relation.cast("bigint"),
+        **{c: F.coalesce(c, F.array().cast(live.schema[c].dataType)) for c in shown},
         **{c: F.coalesce(c, F.lit(d)) for c, d in RUN_DEFAULTS.items()},
         "active": F.coalesce(F.col("_managed") & F.col("exit_code").isNull(), F.lit(False)),
         "exit_code": F.col("exit_code"),
@@ -144,6 +165,7 @@ def run_summary(config: DataFrame, live: DataFrame, active: DataFrame, counts: D
         "errors": F.greatest(columns["errors"], seen("placeids_failed"), seen("failure_rows")),
         "phase1_csv_rows": seen("phase1_rows"), "phase2_csv_rows": seen("phase2_rows"),
         "failures_rows": seen("failure_rows"),
+        **{c: seen(c) for c in STATE_COUNTERS if c in counts.columns},
     }
     return rows.select(*[e.alias(n) for n, e in columns.items()])
 
@@ -247,17 +269,25 @@ def tail_logs(logs: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 
 def bounded_tail(
-    events: DataFrame, order: Sequence[str], rows: int = TAIL_ROWS, size: int = TAIL_BYTES
+    events: DataFrame, order: Sequence[str], rows: int = TAIL_ROWS, size: int = TAIL_BYTES,
+    id: str = "id", within: Sequence[str] = (), message_limit: int = MESSAGE_LIMIT,
 ) -> DataFrame:
-    """The newest events that fit both limits, long messages cut; at most `rows` are scanned."""
-    fields = ("ts", "level", "name", "msg", "phase", "cell_id", "place_id")
+    """The newest events that fit both limits, long messages cut; with `within`, of each of its groups.
+
+    The size of an event is that of its record, its `id` included.
+    """
+    fields = (F.col(id).alias("id"), "ts", "level", "name", "msg", "phase", "cell_id", "place_id")
     message = F.when(
-        F.length("msg") > MESSAGE_LIMIT, F.concat(F.substring("msg", 1, MESSAGE_LIMIT), F.lit("..."))
+        F.length("msg") > message_limit, F.concat(F.substring("msg", 1, message_limit), F.lit("..."))
     ).otherwise(F.col("msg"))
-    newest = Window.orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    turn = Window.partitionBy(*within).orderBy(*[F.col(c).desc() for c in order])
+    newest = turn.rowsBetween(Window.unboundedPreceding, 0)
+    if within:
+        tail = events.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= rows).drop("_turn")
+    else:
+        tail = tail_logs(events, order, rows)
     return (
-        tail_logs(events, order, rows)
-        .withColumn("msg", message)
+        tail.withColumn("msg", message)
         .withColumn("bytes", F.octet_length(F.to_json(F.struct(*fields))).cast("bigint"))
         .withColumn("tail_bytes", F.sum("bytes").over(newest))
         .filter(F.col("tail_bytes") <= size)

@@ -9,9 +9,12 @@ key may hold any share of the table: its rows spread over (key, chunk).
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 CHUNK = "_chunk"
 PARTS = 1 << 16
@@ -27,23 +30,33 @@ def carried(
 ) -> tuple[DataFrame, WindowSpec]:
     """Rows with the carried columns, and the window over one chunk of one key.
 
-    `chunk` must not decrease along `order`, and neither it nor a key may be null.
-    Cut so that a key has some ten thousand chunks at most (`even_chunks` does).
+    `chunk` must not decrease along `order`; rows whose chunk is null come first, as nulls
+    do in the order, and null keys are one key. Cut so that a key has some ten thousand
+    chunks at most (`even_chunks` does).
     `summaries` are aggregates over a chunk; each carry is an expression over the
     summaries of earlier chunks.
     """
-    base = df.withColumn(CHUNK, chunk)
+    base = df.withColumn(CHUNK, F.coalesce(chunk.cast("bigint"), F.lit(-(1 << 62))))
     per_chunk = base.groupBy(*keys, CHUNK).agg(*[e.alias(n) for n, e in summaries.items()])
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_chunk.select(*keys, CHUNK, *[f(earlier).alias(n) for n, f in carries.items()])
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    return base.join(carry, [*keys, CHUNK]), inside
+    return join_same(base, carry, [*keys, CHUNK]), inside
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join in which null keys are equal."""
+    there = {k: f"_same_{k}" for k in keys}
+    named = right.withColumnsRenamed(there)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in there.items()])
+    return left.join(named, same, how).drop(*there.values())
 
 
 def even_chunks(df: DataFrame, position: str, parts: int = PARTS) -> Column:
-    """At most `parts` chunks over a position that starts near zero, whatever the table's size."""
-    top = df.agg(F.max(position)).scalar()
-    return F.floor(F.col(position) / ((top + 1) / parts))
+    """At most `parts` chunks of equal width from the least to the greatest position, which may be a timestamp."""
+    at = F.unix_micros(position) if isinstance(df.schema[position].dataType, TimestampType) else F.col(position)
+    low, high = df.agg(F.min(at)).scalar(), df.agg(F.max(at)).scalar()
+    return F.floor((at - low) / ((high - low + 1) / parts))
 
 
 def running_sum(df, keys, chunk, order, value: Column, out: str, before: bool = False) -> DataFrame:

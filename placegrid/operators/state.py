@@ -160,6 +160,21 @@ def merge_results(state: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def with_claims(state: DataFrame, claimed: DataFrame) -> DataFrame:
+    """The state after a claim: claimed ids with their new status and attempts."""
+    taken = claimed.select("place_id", F.col("status").alias("_status"), F.col("attempts").alias("_attempts"))
+    return state.join(taken, "place_id", "left").withColumns({
+        "status": F.coalesce("_status", "status"),
+        "attempts": F.coalesce("_attempts", attempts_of()).cast(state.schema["attempts"].dataType),
+    }).select(*state.columns)
+
+
+def apply_results(state: DataFrame, merged: DataFrame) -> DataFrame:
+    """The state after a flush: accepted outcomes become statuses (done, if an id came back both ways), stale ones do nothing."""
+    outcome = merged.filter("accepted").groupBy("place_id").agg(F.min("outcome").alias("_outcome"))
+    return state.join(outcome, "place_id", "left").withColumn("status", F.coalesce("_outcome", "status")).select(*state.columns)
+
+
 def flush_totals(merged: DataFrame, batch: Sequence[str], seconds: Column | None = None) -> DataFrame:
     done = F.count_if(F.col("outcome") == "done")
     failed = F.count_if(F.col("outcome") == "failed")
@@ -172,6 +187,21 @@ def flush_totals(merged: DataFrame, batch: Sequence[str], seconds: Column | None
     )
 
 
+def latest_cells(updates: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Last write per cell; a null place count or error text keeps the earlier value."""
+    turn = F.struct(*order)
+
+    def last_given(c: str) -> Column:
+        return F.max_by(c, F.when(F.col(c).isNotNull(), turn))
+
+    return updates.groupBy(*key).agg(
+        F.max_by("status", turn).alias("status"),
+        F.max_by("last_attempted_at", turn).alias("last_attempted_at"),
+        F.coalesce(last_given("place_count"), F.lit(0)).alias("place_count"),
+        F.coalesce(F.substring(last_given("error_msg"), 1, ERROR_TEXT_LIMIT), F.lit("")).alias("error_msg"),
+    )
+
+
 def latest_state(updates: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Last write per key; attempts add up and an absent error keeps the earlier one."""
     turn = F.struct(*order)
@@ -189,11 +219,12 @@ def latest_state(updates: DataFrame, key: Sequence[str], order: Sequence[str]) -
 
 
 def seed_markers(state: DataFrame, markers: DataFrame) -> DataFrame:
-    """Markers plus one seed row for every id done before markers were kept."""
+    """The markers; where none were ever kept, a seed row for every id done before they were."""
     seeds = done_places(state).select(
         "place_id", F.lit("").alias("expected"), F.lit("").alias("saved"), F.lit("seed").alias("completed_at")
     )
-    return markers.select(*seeds.columns).unionByName(seeds)
+    none_kept = markers.agg(F.count(F.lit(1)) == 0).scalar()
+    return markers.select(*seeds.columns).unionByName(seeds.filter(none_kept))
 
 
 def scraped_gate(rows: DataFrame) -> DataFrame:
@@ -212,11 +243,7 @@ def scraped_gate(rows: DataFrame) -> DataFrame:
 
 def dead_letters(gated: DataFrame) -> DataFrame:
     """Failure rows to append, labelled by class; a transient one has used up its retries."""
-    label = (
-        F.when(F.col("error_class") == "permanent", "PermanentError")
-        .when(F.col("error_class") == "transient", "RetryExhausted")
-        .otherwise("Unhandled")
-    )
+    label = F.when(F.col("error_class") == "permanent", "PermanentError").otherwise("RetryExhausted")
     return gated.filter(F.col("outcome") == "failed").select(
         "place_id", place_url("place_id").alias("url"), label.alias("error_class"),
         F.substring(blank("error"), 1, ERROR_TEXT_LIMIT).alias("error_msg"), "attempted_at",

@@ -60,7 +60,7 @@ def admit_by_budget(t):
     shards = t.base("documents").groupBy(F.floor(F.col("doc_id") / 16).alias("pos")).agg(
         (F.sum("n_chars") * 1000).alias("size_bytes")
     )
-    return B.admit_by_budget(shards, "pos", active=100_000_000, budget=1_000_000_000, chunk=8)
+    return B.admit_by_budget(shards, "pos", active=100_000_000, budget=1_000_000_000)
 
 
 _JOBS = """
@@ -71,18 +71,25 @@ newest AS (SELECT *, CASE WHEN state = 'JOB_STATE_SUCCEEDED' AND request_count >
     THEN 'JOB_STATE_CANCELLED' ELSE state END AS eff FROM jobs
   QUALIFY row_number() OVER (PARTITION BY display_name ORDER BY create_time DESC, name DESC) = 1),
 files AS (SELECT display_name AS f, max(name) AS src_file FROM v_job_files GROUP BY ALL),
-status AS (SELECT n.client, n.dataset, n.shard, n.name, n.display_name, n.eff AS state, f.src_file, create_time, request_count, pending_request_count,
+swept AS (SELECT n.client, n.dataset, n.shard, n.name, n.display_name, n.eff AS state, model, f.src_file, create_time, update_time, request_count, pending_request_count,
+    '2026-01-02T03:04:05Z' AS checked_at,
+    CASE WHEN eff = 'JOB_STATE_SUCCEEDED' AND (r.client IS NOT NULL OR dest_file <> '')
+      THEN 'https://store/llm-batch/' || n.client || '/' || n.dataset || '/results/' || n.shard || '.jsonl' END AS results_url,
+    CASE WHEN eff = 'JOB_STATE_SUCCEEDED' AND (r.client IS NOT NULL OR dest_file <> '') THEN '2026-01-02T03:04:05Z' END AS collected_at,
     CASE WHEN eff IN ('JOB_STATE_FAILED', 'JOB_STATE_EXPIRED', 'JOB_STATE_CANCELLED') THEN coalesce(left(n.error, 500), eff) END AS error,
-    eff = 'JOB_STATE_SUCCEEDED' AND r.client IS NULL AS newly_collected,
+    eff = 'JOB_STATE_SUCCEEDED' AND r.client IS NULL AND dest_file <> '' AS newly_collected,
+    eff = 'JOB_STATE_SUCCEEDED' AND r.client IS NULL AND dest_file = '' AS skipped,
     eff IN ('JOB_STATE_FAILED', 'JOB_STATE_EXPIRED', 'JOB_STATE_CANCELLED') AS failed,
     eff NOT IN ('JOB_STATE_SUCCEEDED', 'JOB_STATE_FAILED', 'JOB_STATE_EXPIRED', 'JOB_STATE_CANCELLED') AS unfinished,
     eff <> 'JOB_STATE_RUNNING' AND f.src_file IS NULL AS input_deleted
   FROM newest n LEFT JOIN files f ON f.f = n.client || '_' || n.dataset || '_' || n.shard || '.jsonl'
-  LEFT JOIN v_job_results r ON r.client = n.client AND r.dataset = n.dataset AND r.shard = n.shard)"""
+  LEFT JOIN v_job_results r ON r.client = n.client AND r.dataset = n.dataset AND r.shard = n.shard),
+status AS (SELECT * EXCLUDE (skipped) FROM swept WHERE NOT skipped)"""
 
 
 def _sweep(t):
-    return B.sweep(t.jobs, t.job_files, t.job_results)
+    now = F.lit("2026-01-02 03:04:05").cast("timestamp")
+    return B.sweep(t.jobs, t.job_files, t.job_results, "https://store", now)
 
 
 @query("C15", f"WITH {_JOBS} SELECT name, client, dataset, shard FROM jobs WHERE client = 'c3'")
@@ -102,7 +109,7 @@ def effective_states(t):
     return t.jobs.select("name", B.effective_state("state", "request_count", "pending_request_count").alias("state"))
 
 
-@query("D13", f"WITH {_NEWEST} SELECT display_name, src_file FROM status")
+@query("D13", f"WITH {_NEWEST} SELECT display_name, src_file FROM swept")
 def attach_input_file(t):
     jobs = B.newest_job(B.batch_jobs(t.jobs))
     return B.attach_input_file(jobs, t.job_files).select("display_name", "src_file")
@@ -118,11 +125,11 @@ def uncollected(t):
 
 @query("B13 I32 D13 F7 C15", f"WITH {_NEWEST} SELECT * FROM status")
 def job_status(t):
-    return _sweep(t)
+    return B.status_rows(_sweep(t))
 
 
 @query("E12", f"""WITH {_NEWEST}
 SELECT count(*) AS jobs_seen, count(*) FILTER (newly_collected) AS newly_collected, count(*) FILTER (failed) AS failed,
-  count(*) FILTER (unfinished) AS unfinished FROM status""")
+  count(*) FILTER (unfinished) AS unfinished FROM swept""")
 def sweep_summary(t):
     return B.sweep_summary(_sweep(t))

@@ -28,11 +28,11 @@ last_pages AS (SELECT * FROM pages WHERE attempt <= 4
 """
 # First appearance of every id in a call, found through the exploded ids.
 _NOVEL = """,
-flat AS (SELECT cell_id, query, attempt, page, unnest(ids) AS id FROM {0} WHERE page <= 6),
+flat AS (SELECT cell_id, query, attempt, page, unnest(ids) AS id FROM {0} WHERE {1}),
 firsts AS (SELECT cell_id, query, attempt, id, min(page) AS page FROM flat GROUP BY ALL),
 news AS (SELECT cell_id, query, attempt, page, count(*) AS n FROM firsts GROUP BY ALL),
 novel AS (SELECT s.*, CAST(coalesce(n.n, 0) AS INTEGER) AS new_ids FROM {0} s LEFT JOIN news n
-  ON s.cell_id = n.cell_id AND s.query = n.query AND s.attempt = n.attempt AND s.page = n.page WHERE s.page <= 6)
+  ON s.cell_id = n.cell_id AND s.query = n.query AND s.attempt = n.attempt AND s.page = n.page WHERE {1})
 """
 # Two pages in a row: the flag now and on the page before (a call's first page has none before).
 _STOPS = """,
@@ -50,7 +50,7 @@ kept AS (SELECT w.* EXCLUDE (why), coalesce(s.stop_page, max(w.page) OVER (PARTI
   FROM whys w LEFT JOIN stops s ON w.cell_id = s.cell_id AND w.query = s.query AND w.attempt = s.attempt
   WHERE s.stop_page IS NULL OR w.page <= s.stop_page)
 """
-_KEPT = _LAST + _NOVEL.format("last_pages") + _STOPS
+_KEPT = _LAST + _NOVEL.format("last_pages", "s.page <= 6").replace("WHERE s.page <= 6),", "WHERE page <= 6),") + _STOPS
 _CALLS = _KEPT + """,
 calls AS (SELECT cell_id, query, count(*) FILTER (status = 200) AS ok_count, min(CASE WHEN status <> 200 THEN status END) AS fail_code,
     max(stop_page) AS stop_page, max(stop_reason) AS stop_reason, CAST(sum(new_ids) AS BIGINT) AS found FROM kept GROUP BY ALL)
@@ -58,7 +58,8 @@ calls AS (SELECT cell_id, query, count(*) FILTER (status = 200) AS ok_count, min
 
 
 def _last(t):
-    return C.last_attempt(C.call_pages(t.calls_pages))
+    # superseded attempts are dropped unparsed
+    return C.call_pages(C.last_attempt(t.calls_pages))
 
 
 @query("A18", f"""WITH {_PAGES}
@@ -68,12 +69,12 @@ def page_ids(t):
     return C.page_ids(t.calls_pages)
 
 
-@query("F17", f"WITH {_LAST} SELECT cell_id, query, attempt, page, status FROM last_pages WHERE page <= 6")
+@query("F17", f"WITH {_LAST} SELECT cell_id, query, attempt, page, status FROM last_pages")
 def last_attempt(t):
     return _last(t).select("cell_id", "query", "attempt", "page", "status")
 
 
-@query("F3", f"WITH {_PAGES}{_NOVEL.format('pages')} SELECT cell_id, query, attempt, page, results, new_ids FROM novel")
+@query("F3", f"WITH {_PAGES}{_NOVEL.format('pages', 'true')} SELECT cell_id, query, attempt, page, results, new_ids FROM novel")
 def page_novelty(t):
     return C.page_novelty(C.call_pages(t.calls_pages)).select(
         "cell_id", "query", "attempt", "page", "results", "new_ids"
@@ -155,7 +156,7 @@ SELECT pos, place_count FROM (SELECT *, coalesce(sum(place_count) OVER (ORDER BY
   AS before FROM c) WHERE before < 9000""")
 def cap_places(t):
     cells = t.base("orders").groupBy(F.col("o_custkey").alias("pos")).agg(F.count(F.lit(1)).alias("place_count"))
-    return C.cap_places(cells, 9000, "pos", chunk=64)
+    return C.cap_places(cells, 9000, "pos")
 
 
 @query("C5", """

@@ -10,7 +10,6 @@ from placegrid.operators import keys as K
 from placegrid.plans.registry import query
 
 DAY = "2024-01-15"
-_HOURS_6 = 6 * 3600 * 1_000_000
 
 _INVENTORY = """
 lines AS (SELECT *, row_number() OVER (ORDER BY pos) AS key_id FROM v_keys),
@@ -28,7 +27,7 @@ status AS (SELECT key_id, alias, is_active, n AS day_count, coalesce(quota, 0) A
 
 
 def _inventory(t):
-    return K.key_inventory(t.keys, "pos", chunk=256)
+    return K.key_inventory(t.keys, "pos")
 
 
 def _usage(t):
@@ -117,7 +116,7 @@ s AS (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY alias, grp ORDER BY ts,
 
 @query("F11", f"WITH {_THROTTLE} SELECT event_id, alias, streak, hit AND streak % 2 = 0 AS parked, rate_limit_hits FROM s")
 def throttle_streaks(t):
-    chunk = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / _HOURS_6)
-    return K.throttle_streaks(t.calls, ["ts", "event_id"], chunk).select(
+    calls = t.calls.withColumn("ts", F.col("ts").cast("timestamp"))
+    return K.throttle_streaks(calls, ["ts", "event_id"]).select(
         "event_id", "alias", "streak", "parked", "rate_limit_hits"
     )

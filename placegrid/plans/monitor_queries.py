@@ -42,7 +42,7 @@ f AS (SELECT n.run_id, n.at_us, n.v, any_value(n.pat) AS pat, any_value(n.pv) AS
 a AS (SELECT run_id, at_us, v, CASE WHEN k > 1 THEN first[1] ELSE pat END AS a_at, CASE WHEN k > 1 THEN first[2] ELSE pv END AS a_v FROM f)
 SELECT run_id, at_us, v, round(coalesce(CASE WHEN at_us - a_at >= 3000000 AND v > a_v THEN (v - a_v) / ((at_us - a_at) / 1000000.0) ELSE 0.0 END, 0.0), 6) AS rate FROM a""")
 def sliding_rate(t):
-    rates = M.sliding_rate(t.beats, "run_id", "ts", "cells_done", chunk_seconds=600)
+    rates = M.sliding_rate(t.beats, "run_id", "ts", "cells_done")
     return rates.withColumn("rate", F.round("rate", 6)).withColumnRenamed("at", "at_us")
 
 
@@ -55,7 +55,7 @@ r AS (SELECT *, n / least(60.0, greatest(1.0, (at_us - began) / 1000000.0)) AS r
 SELECT run_id, at_us, event_id, done, round(rate, 6) AS rate_1m, round((total - done) / rate, 4) AS eta_s FROM r""")
 def completion_rate_1m(t):
     totals = t.beats.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
-    rows = M.completion_rate_1m(t.beats, "run_id", "ts", "event_id", totals, chunk_seconds=600)
+    rows = M.completion_rate_1m(t.beats, "run_id", "ts", "event_id", totals)
     rounded = {"rate_1m": F.round("rate_1m", 6), "eta_s": F.round("eta_s", 4)}
     return rows.withColumns(rounded).withColumnRenamed("at", "at_us")
 
@@ -84,7 +84,8 @@ def reconcile_counters(t):
 
 
 _RUNS = f"""{_LATEST},
-runs AS (SELECT r.run_id, started_at, city_name AS city, coalesce(osm_type, 'relation') AS osm_type,
+runs AS (SELECT r.run_id, started_at, city_name AS city, list_transform(range(n_queries), lambda i: 'q') AS queries,
+  CAST([] AS VARCHAR[]) AS selected_columns, CAST(NULL AS BIGINT) AS osm_relation_id, coalesce(osm_type, 'relation') AS osm_type,
   coalesce(grid_size_meters, 250) AS grid_size_meters, coalesce(num_consumer_threads, 8) AS num_consumer_threads,
   coalesce(discovery_backend, 'places_api') AS discovery_backend, coalesce(places_tier, 'ESSENTIALS') AS places_tier,
   c_custkey % 5 = 1 AS active, CASE WHEN c_custkey % 5 = 2 THEN 0 END AS exit_code,
@@ -111,13 +112,26 @@ def run_summary(t):
 @query("D11 D10", f"""WITH {_RUNS}, {_COUNTS}
 SELECT r.* REPLACE (greatest(discovered, coalesce(phase1_rows, 0)) AS discovered,
     greatest(scraped, coalesce(c.placeids_done, 0), coalesce(phase2_rows, 0)) AS scraped,
-    greatest(errors, coalesce(c.placeids_failed, 0), coalesce(failure_rows, 0)) AS errors),
+    greatest(errors, coalesce(c.placeids_failed, 0), coalesce(failure_rows, 0)) AS errors,
+    coalesce(c.placeids_done, 0) AS placeids_done, coalesce(c.placeids_failed, 0) AS placeids_failed),
+  coalesce(c.placeids_total, 0) AS placeids_total,
   coalesce(phase1_rows, 0) AS phase1_csv_rows, coalesce(phase2_rows, 0) AS phase2_csv_rows, coalesce(failure_rows, 0) AS failures_rows
 FROM runs r LEFT JOIN counts c ON r.run_id = c.run_id""")
 def run_detail(t):
     return _summary(t, _counts(t))
 
 
+@query("D11 A6", f"""WITH {_RUNS}
+SELECT r.run_id, r.scraped, CASE WHEN l.run_id IS NULL THEN CAST([] AS VARCHAR[]) ELSE ['p1-0'] END AS workers, 0 AS api_keys
+FROM runs r LEFT JOIN latest l ON r.run_id = l.run_id""")
+def run_live(t):
+    worker = F.struct(F.lit("p1-0").alias("id"), F.lit(1).alias("phase"), F.lit("busy").alias("state"), F.lit("").alias("task"))
+    live = _latest(t).withColumns({"workers": F.array(worker), "api_keys": F.array().cast("array<struct<alias:string>>")})
+    config = t.runs.withColumn("queries", F.lit(None).cast("array<string>"))
+    rows = M.run_summary(config, live, t.runs.select("run_id", F.lit(0).alias("exit_code")), arrays=True)
+    return rows.select("run_id", "scraped", F.transform("workers", lambda w: w["id"]).alias("workers"), F.size("api_keys").alias("api_keys"))
+
+
 @query("E4 D11", f"""WITH {_RUNS}
 SELECT count(*) AS total_runs, CAST(sum(scraped) AS BIGINT) AS total_places, round(sum(cost_usd), 2) AS total_spend,
   CAST(coalesce(sum(api_calls) FILTER (started_at LIKE '2024-01-03%'), 0) AS BIGINT) AS api_calls_today,
@@ -192,12 +206,12 @@ def tail_logs(t):
 @query("F10", """
 WITH n AS (SELECT doc_id, ts, CASE WHEN length(msg) > 2000 THEN left(msg, 2000) || '...' ELSE msg END AS msg, level, name, phase, cell_id, place_id
   FROM v_events_log ORDER BY doc_id DESC LIMIT 500),
-b AS (SELECT doc_id, msg, CAST(strlen(to_json({'ts': ts, 'level': level, 'name': name, 'msg': msg, 'phase': phase, 'cell_id': cell_id,
+b AS (SELECT doc_id, msg, CAST(strlen(to_json({'id': doc_id, 'ts': ts, 'level': level, 'name': name, 'msg': msg, 'phase': phase, 'cell_id': cell_id,
   'place_id': place_id})) AS BIGINT) AS bytes FROM n),
 r AS (SELECT *, CAST(sum(bytes) OVER (ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tail_bytes FROM b)
 SELECT doc_id, bytes, tail_bytes, md5(msg) AS digest FROM r WHERE tail_bytes <= 262144""")
 def bounded_tail(t):
-    return M.bounded_tail(t.events_log, ["doc_id"]).select("doc_id", "bytes", "tail_bytes", F.md5("msg").alias("digest"))
+    return M.bounded_tail(t.events_log, ["doc_id"], id="doc_id").select("doc_id", "bytes", "tail_bytes", F.md5("msg").alias("digest"))
 
 
 @query("E9", "SELECT lang AS file, count(*) AS rows FROM documents GROUP BY ALL")

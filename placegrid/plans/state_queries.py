@@ -153,14 +153,15 @@ def latest_state(t):
 
 
 @query("H3", """
-SELECT place_id, '' || length(place_id) AS expected, '1' AS saved, 'earlier' AS completed_at FROM v_known
-UNION ALL SELECT place_id, '', '', 'seed' FROM v_state_places WHERE status = 'done'""")
+SELECT 'kept' AS run, place_id, '' || length(place_id) AS expected, '1' AS saved, 'earlier' AS completed_at FROM v_known
+UNION ALL SELECT 'first', place_id, '', '', 'seed' FROM v_state_places WHERE status = 'done'""")
 def seed_markers(t):
     markers = t.known.select(
         "place_id", F.length("place_id").cast("string").alias("expected"), F.lit("1").alias("saved"),
         F.lit("earlier").alias("completed_at"),
     )
-    return S.seed_markers(t.state_places, markers)
+    kept = S.seed_markers(t.state_places, markers).withColumn("run", F.lit("kept"))
+    return kept.unionByName(S.seed_markers(t.state_places, markers.filter("false")).withColumn("run", F.lit("first")))
 
 
 _GATE = """
@@ -181,3 +182,31 @@ SELECT place_id, 'https://www.google.com/maps/place/?q=place_id:' || place_id AS
   left(err, 500) AS error_msg, attempted_at FROM gated WHERE outcome = 'failed'""")
 def dead_letters(t):
     return S.dead_letters(S.scraped_gate(t.listings))
+
+
+@query("G9", """
+SELECT cell_id, query, arg_max(status, seq) AS status, arg_max('t' || seq, seq) AS last_attempted_at,
+  coalesce(arg_max(n, seq) FILTER (n IS NOT NULL), 0) AS place_count,
+  coalesce(arg_max('err ' || seq, seq) FILTER (seq % 3 = 0), '') AS error_msg
+FROM (SELECT *, try_cast(place_count AS BIGINT) AS n FROM v_state_cells) GROUP BY ALL""")
+def latest_cells(t):
+    updates = t.state_cells.withColumns({
+        "place_count": F.col("place_count").try_cast("bigint"),
+        "last_attempted_at": F.concat(F.lit("t"), F.col("seq").cast("string")),
+        "error_msg": F.when(F.col("seq") % 3 == 0, F.concat(F.lit("err "), F.col("seq").cast("string"))),
+    })
+    return S.latest_cells(updates, ["cell_id", "query"], ["seq"])
+
+
+# A whole lease: claim, write the claims back, merge what workers return, apply the accepted results.
+@query("G5 B4 D9 G9", """
+WITH due AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY seq) AS turn FROM v_state_places WHERE status = 'queued'),
+after AS (SELECT s.place_id, CASE WHEN d.turn <= 40 THEN 'scraping' ELSE s.status END AS status,
+  CAST(s.attempts AS BIGINT) + CASE WHEN d.turn <= 40 THEN 1 ELSE 0 END AS attempts
+  FROM v_state_places s LEFT JOIN due d ON s.place_id = d.place_id),
+won AS (SELECT a.place_id, min(r.outcome) AS outcome FROM after a JOIN v_results r ON r.place_id = a.place_id AND r.attempts = a.attempts GROUP BY ALL)
+SELECT a.place_id, coalesce(outcome, status) AS status, a.attempts FROM after a LEFT JOIN won w ON a.place_id = w.place_id""")
+def lease_cycle(t):
+    state = t.state_places.withColumn("attempts", S.attempts_of().cast("bigint"))
+    held = S.with_claims(state, S.claim_batch(state, "shard", 40, ["seq"]))
+    return S.apply_results(held, S.merge_results(held, t.results)).select("place_id", "status", "attempts")

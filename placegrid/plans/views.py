@@ -49,7 +49,7 @@ SELECT CASE WHEN l_partkey % 199 = 0 THEN '' ELSE 'ChIJ' || l_partkey END AS pla
   CASE l_orderkey % 3 WHEN 0 THEN 'HTTP 404 timeout' WHEN 1 THEN 'Navigation Timeout' ELSE '' END AS error,
   l_linenumber AS attempts, '' || CAST(l_shipdate AS DATE) AS attempted_at,
   {_LINE_ORDER}
-FROM @lineitem WHERE l_partkey % 3 <> 0 AND l_linenumber <= 2""",
+FROM @lineitem WHERE l_partkey % 3 <> 0""",
     "v_state_cells": """
 SELECT CASE WHEN o_custkey % 89 = 7 THEN '' ELSE 'CELL_' || (o_custkey % 5000) END AS cell_id,
   o_orderpriority AS query,
@@ -192,7 +192,8 @@ SELECT 'jobs/' || o_orderkey AS name, CASE WHEN o_orderkey % 23 = 0 THEN 'c' ||
     ELSE 'c' || (o_custkey % 7) || '/ds' || (o_custkey % 3) || '/shard_' || (o_custkey % 500) END AS display_name,
   CASE o_orderstatus WHEN 'F' THEN 'JOB_STATE_SUCCEEDED' WHEN 'O' THEN 'JOB_STATE_RUNNING'
     ELSE 'JOB_STATE_FAILED' END AS state,
-  '' || CAST(o_orderdate AS DATE) || 'T00:00:00Z' AS create_time,
+  '' || CAST(o_orderdate AS DATE) || 'T00:00:00Z' AS create_time, '' || CAST(o_orderdate AS DATE) || 'T01:00:00Z' AS update_time,
+  'model-' || (o_custkey % 3) AS model, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'files/out-' || o_orderkey END AS dest_file,
   o_orderkey % 10 AS request_count, o_custkey % 10 AS pending_request_count,
   CASE WHEN o_orderkey % 2 = 0 THEN 'boom ' || o_orderkey END AS error
 FROM @orders""",

@@ -64,7 +64,7 @@ SKELETON = (
     "generation_config string"
 )
 JOBS = (
-    "name string, display_name string, state string, create_time string, "
-    "request_count bigint, pending_request_count bigint, error string"
+    "name string, display_name string, state string, model string, create_time string, update_time string, "
+    "request_count bigint, pending_request_count bigint, dest_file string, error string"
 )
 JOB_FILES = "name string, display_name string, size_bytes bigint"

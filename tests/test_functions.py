@@ -24,11 +24,16 @@ def texts(*values):
 
 
 @pytest.mark.parametrize("line, band", [
+    # The accepted and rejected texts of the golden check, as they are.
     ("SAR 20–40 per person", (20, 40)), ("SAR 1-20 per person", (1, 20)), ("SAR 20–40", (20, 40)),
-    ("SAR 120–140…", (120, 140)), ("SAR 200+…", (200, 200)), ("SAR 1,000 — 2,500", (1000, 2500)),
-    ("BUS 253", None), ("FOX 16", None), ("NSK 2022", None), ("MBS 1", None), ("TOP100", None), ("BDR222", None),
-    ("MPH6+GJ Old Town, Harbour Road", None), ("OYO 165 Garden Inn", None),
-    ("XYZ 10-20 per person", None), ("from 10 – 20 per person", (10, 20)),
+    ("SAR 120–140…", (120, 140)), ("SAR 200+…", (200, 200)),
+    ("BUS 253", None), ("FOX 16", None), ("NSK 2022", None), ("MBS 1", None),
+    ("MPH6+GJ Al Wizarat, Riyadh Saudi Arabia", None),
+    ("HQV4+3X9, Al Aziziyah, Riyadh 14512, Saudi Arabia", None),
+    ("OYO 165 Orchida Al Hamra", None), ("TOP100", None), ("BDR222", None),
+    ("JHR4+RGQ, Dhahrat Laban, Riyadh 13782, Saudi Arabia", None),
+    # Further cases.
+    ("SAR 1,000 — 2,500", (1000, 2500)), ("XYZ 10-20 per person", None), ("from 10 – 20 per person", (10, 20)),
 ])
 def test_price(spark, line, band):
     got = one(spark, P.parse_price(texts("Overview", line)))
