@@ -36,7 +36,7 @@ def stream_heartbeats(t):
 def stream_dedupe(t):
     out, check = _paths(t, "out", "check")
     ids = _stream(t, "lineitem").select(F.concat(F.lit("ChIJ"), F.col("l_partkey").cast("string")).alias("place_id"))
-    J.drain(O.stream_append(J.stream_dedupe(ids, t.known), out, check, drain=True))
+    J.drain(O.stream_append(J.stream_dedupe(ids, t.known, event_time=None), out, check, drain=True))
     return t.spark.read.parquet(out)
 
 
@@ -86,8 +86,7 @@ def stream_throttle(t):
         .otherwise(200).alias("status"),
         auth.alias("auth_failed"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
     )
-    chunk = lambda: F.floor(F.unix_micros("ts") / key_queries._HOURS_6)
-    J.drain(J.stream_throttle(calls, out, root, check, ["ts", "event_id"], chunk, every=None))
+    J.drain(J.stream_throttle(calls, out, root, check, ["ts", "event_id"], every=None))
     return t.spark.read.parquet(out).select("event_id", "alias", "streak", "parked", "rate_limit_hits")
 
 
@@ -121,7 +120,8 @@ def _streamed_results(t):
 @query("K6 D9", f"WITH {state_queries._MERGED} SELECT place_id, attempts, outcome, o1, accepted FROM merged")
 def stream_results(t):
     out, _ = _streamed_results(t)
-    return t.spark.read.parquet(out).select("place_id", "attempts", "outcome", "o1", "accepted")
+    rows = t.spark.read.parquet(out).withColumn("accepted", F.col("accepted").cast("boolean"))
+    return rows.select("place_id", "attempts", "outcome", "o1", "accepted")
 
 
 @query("K6 E16", f"""WITH {state_queries._MERGED}
@@ -133,18 +133,26 @@ def stream_flush_totals(t):
     return flushed.agg(*[F.sum(c).alias(c) for c in ("done", "failed", "accepted", "stale")])
 
 
+# One event in 25 ms: 1,200 fall into an interval of 30 seconds, of which the limits keep the newest.
 @query("K9 F10", """
-WITH n AS (SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 2000) || '...' ELSE text END AS msg, source FROM documents ORDER BY doc_id DESC LIMIT 500),
-b AS (SELECT doc_id, CAST(strlen(to_json({'ts': 'ts', 'level': 'INFO', 'name': source, 'msg': msg, 'phase': '', 'cell_id': '', 'place_id': ''})) AS BIGINT) AS bytes FROM n),
-r AS (SELECT *, CAST(sum(bytes) OVER (ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tail_bytes FROM b)
-SELECT * FROM r WHERE tail_bytes <= 262144""")
+WITH m AS (SELECT doc_id, doc_id // 1200 * 30 AS interval, printf('1970-01-01T%02d:%02d:%02dZ', doc_id // 144000, doc_id // 2400 % 60, doc_id // 40 % 60) AS ts,
+  CASE WHEN length(text) > 2000 THEN left(text, 2000) || '...' ELSE text END AS msg, source FROM documents
+  QUALIFY row_number() OVER (PARTITION BY doc_id // 1200 ORDER BY doc_id DESC) <= 500),
+b AS (SELECT doc_id, interval, CAST(strlen(to_json({'id': doc_id, 'ts': ts, 'level': 'INFO', 'name': source, 'msg': msg, 'phase': '', 'cell_id': '', 'place_id': ''})) AS BIGINT) AS bytes FROM m),
+r AS (SELECT *, CAST(sum(bytes) OVER (PARTITION BY interval ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tail_bytes FROM b)
+SELECT doc_id, interval, bytes, tail_bytes FROM r WHERE tail_bytes <= 262144""")
 def stream_log_events(t):
-    out, check = _paths(t, "out", "check")
-    logs = _stream(t, "documents").select(
-        "doc_id", F.lit("ts").alias("ts"), F.lit("INFO").alias("level"), F.col("source").alias("name"), F.col("text").alias("msg"),
+    out, source, check = _paths(t, "out", "logs", "check")
+    # several files, so that the events of one interval come in several micro-batches
+    t.base("documents").select("doc_id", "text", "source").repartition(5, F.col("doc_id") % 7).write.parquet(source + "/logs")
+    files = t.spark.readStream.schema("doc_id bigint, text string, source string").option("maxFilesPerTrigger", 2)
+    logs = files.parquet(source + "/logs")
+    at = F.timestamp_millis(F.col("doc_id") * 25)
+    logs = logs.select(
+        "doc_id", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.lit("INFO").alias("level"), F.col("source").alias("name"), F.col("text").alias("msg"),
         F.lit("").alias("phase"), F.lit("").alias("cell_id"), F.lit("").alias("place_id"),
     )
-    J.drain(J.stream_log_events(logs, out, check, ["doc_id"], every=None))
-    return t.spark.read.parquet(out).select("doc_id", "bytes", "tail_bytes")
+    J.drain(J.stream_log_events(logs, out, check, ["doc_id"], every=None, id="doc_id"))
+    return t.spark.read.parquet(out).select("doc_id", F.col("interval").cast("bigint").alias("interval"), "bytes", "tail_bytes")
 
 

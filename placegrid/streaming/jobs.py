@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +18,7 @@ from placegrid.operators.dedupe import anti_known, with_id
 from placegrid.operators.keys import PARK_SECONDS, throttle_streaks
 from placegrid.operators.monitor import bounded_tail
 from placegrid.operators.state import flush_totals, merge_results
+from placegrid.schemas import ERROR_TEXT_LIMIT
 from placegrid.sources.writers import read_snapshot, write_snapshot
 
 # Flush intervals, rate window and slide.
@@ -39,9 +41,9 @@ def stream_heartbeats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_dedupe(
-    discovered: DataFrame, known: DataFrame, event_time: str | None = None, lateness: str = "1 day"
+    discovered: DataFrame, known: DataFrame, event_time: str | None = "ts", lateness: str = "1 day"
 ) -> DataFrame:
-    """New ids across micro-batches; with an event time the remembered ids expire."""
+    """New ids across micro-batches. Remembered ids expire with the event time; without one they are kept for ever."""
     fresh = anti_known(with_id(discovered), known)
     if event_time is None:
         return fresh.dropDuplicates(["place_id"])
@@ -76,42 +78,65 @@ def drain(query: StreamingQuery) -> None:
 
 
 def _stored(spark: SparkSession, root: str) -> DataFrame | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_pointer")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return read_snapshot(spark, root) if found else None
+    try:
+        return read_snapshot(spark, root)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _holds(old: DataFrame | None, checkpoint: str, batch_id: int) -> bool:
+    """Whether the stored state already holds this batch of this checkpoint; another checkpoint's state is an error."""
+    if old is None:
+        return False
+    last = old.agg(F.max("batch_id").alias("batch"), F.min("checkpoint").alias("a"), F.max("checkpoint").alias("b")).first()
+    if last.b is not None and (last.a, last.b) != (checkpoint, checkpoint):
+        raise ValueError(f"the state was written from checkpoint {last.b}, not from {checkpoint}: use a new root")
+    return last.batch is not None and last.batch >= batch_id
+
+
+def _stamped(state: DataFrame, checkpoint: str, batch_id: int) -> DataFrame:
+    return state.withColumns({"batch_id": F.lit(batch_id), "checkpoint": F.lit(checkpoint)})
 
 
 def stream_state(
     updates: DataFrame, root: str, checkpoint: str, key: Sequence[str], order: Sequence[str],
     every: str | None = STATE_EVERY,
 ) -> StreamingQuery:
-    """Upsert state by key. The snapshot records its batch, so a replayed batch is not added twice."""
+    """Upsert state by key, every column of `latest_state`.
+
+    The snapshot records its checkpoint and batch, so a replayed batch is not added twice, and
+    a new checkpoint on an old root stops instead of losing what it reads.
+    """
     turn = [c for c in order]
 
     def reduce(rows: DataFrame) -> DataFrame:
         at = F.struct(*turn)
+        said = F.max_by("last_error", F.when(F.col("last_error").isNotNull(), at))
         return rows.groupBy(*key).agg(
             F.max_by("status", at).alias("status"), F.sum("attempts").alias("attempts"),
-            F.max_by("last_error", F.when(F.col("last_error").isNotNull(), at)).alias("last_error"),
-            *[F.max_by(c, at).alias(c) for c in turn],
+            F.substring(said, 1, ERROR_TEXT_LIMIT).alias("last_error"),
+            *[F.max_by(c, at).alias(c) for c in rows.columns if c == "updated_at" or c in turn],
         )
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         old = _stored(batch.sparkSession, root)
-        if old is not None and not old.filter(F.col("batch_id") >= batch_id).isEmpty():
+        if _holds(old, checkpoint, batch_id):
             return
+        kept = [c for c in ("updated_at",) if c in batch.columns and c not in turn]
         rows = batch.withColumnRenamed("attempts_inc", "attempts").select(
-            *key, "status", "attempts", "last_error", *turn
+            *key, "status", "attempts", "last_error", *kept, *turn
         )
         merged = rows if old is None else rows.unionByName(old.select(rows.columns))
-        write_snapshot(reduce(merged).withColumn("batch_id", F.lit(batch_id)), root)
+        write_snapshot(_stamped(reduce(merged), checkpoint, batch_id), root)
 
     return each_batch(updates, checkpoint, apply, every)
 
 
 def stream_throttle(
     calls: DataFrame, out: str, root: str, checkpoint: str, order: Sequence[str],
-    chunk: Callable[[], Column], every: str | None = STATE_EVERY,
+    chunk: Callable[[], Column] | None = None, every: str | None = STATE_EVERY,
 ) -> StreamingQuery:
     """Throttle streaks across micro-batches; `root` keeps each key's open streak and hits.
 
@@ -121,10 +146,10 @@ def stream_throttle(
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         old = _stored(spark, root)
-        if old is not None and not old.filter(F.col("batch_id") >= batch_id).isEmpty():
+        if _holds(old, checkpoint, batch_id):
             return
         carry = None if old is None else old.select("alias", "streak", "hits")
-        rows = throttle_streaks(batch, list(order), chunk(), carry)
+        rows = throttle_streaks(batch, list(order), chunk() if chunk else None, carry)
         rows = rows.withColumn(
             "parked_until",
             F.when(F.col("parked"), F.col("ts") + F.expr(f"INTERVAL {PARK_SECONDS} SECONDS")),
@@ -139,7 +164,7 @@ def stream_throttle(
         if old is not None:
             kept = old.select("alias", "streak", "hits").join(latest.select("alias"), "alias", "left_anti")
             latest = latest.unionByName(kept)
-        write_snapshot(latest.withColumn("batch_id", F.lit(batch_id)), root)
+        write_snapshot(_stamped(latest, checkpoint, batch_id), root)
 
     return each_batch(calls, checkpoint, apply, every)
 
@@ -148,25 +173,41 @@ def stream_results(
     results: DataFrame, state: Callable[[SparkSession], DataFrame], out: str, totals: str, checkpoint: str,
     every: str | None = RESULTS_EVERY,
 ) -> StreamingQuery:
-    """Flush worker results: accepted ones to `out`, counts to `totals`, one folder per batch.
+    """Flush worker results, one folder per batch: rows below `out/accepted=true` or `=false`, counts to `totals`.
 
-    A failed flush is retried by the checkpoint and overwrites its own folder.
+    Only what is below `accepted=true` may reach the state (`apply_results`). A failed
+    flush is retried by the checkpoint and overwrites its own folder.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        merged = merge_results(state(spark), batch)
-        merged.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        written = spark.read.parquet(f"{out}/batch={batch_id}").withColumn("batch", F.lit(batch_id))
-        flush_totals(written, ["batch"]).write.mode("overwrite").parquet(f"{totals}/batch_id={batch_id}")
+        merged = merge_results(state(spark), batch).withColumn("batch", F.lit(batch_id))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("accepted", "batch").parquet(out)
+        written = spark.read.parquet(out).filter(F.col("batch") == batch_id).withColumn("accepted", F.col("accepted").cast("boolean"))
+        flush_totals(written, ["batch"]).drop("batch").write.mode("overwrite").parquet(f"{totals}/batch_id={batch_id}")
 
     return each_batch(results, checkpoint, apply, every)
 
 
 def stream_log_events(
-    logs: DataFrame, out: str, checkpoint: str, order: Sequence[str], every: str | None = "30 seconds"
+    logs: DataFrame, out: str, checkpoint: str, order: Sequence[str], every: str | None = "30 seconds",
+    ts: str = "ts", id: str = "id", interval: str = "30 seconds",
 ) -> StreamingQuery:
-    """The bounded tail of every interval's events, drained each time."""
+    """The bounded tail of every interval of event time, whatever micro-batches its events came in.
+
+    `order` must tell events apart. An interval's stored tail is cut again together with
+    what a batch adds to it, which gives the tail of all its events, replays included.
+    """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        bounded_tail(batch, order).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        start = F.window(F.col(ts).cast("timestamp"), interval)["start"]
+        fresh = batch.withColumn("interval", F.coalesce(F.unix_seconds(start), F.lit(-1)))
+        try:
+            old = batch.sparkSession.read.schema(fresh.schema).parquet(out)
+            touched = fresh.select("interval").distinct()
+            fresh = fresh.unionByName(old.join(touched, "interval", "left_semi").select(fresh.columns)).dropDuplicates([*order, "interval"])
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        tail = bounded_tail(fresh, order, id=id, within=["interval"])
+        tail.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval").parquet(out)
 
     return each_batch(logs, checkpoint, apply, every)
