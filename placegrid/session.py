@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -33,8 +34,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; one of our own only where the session names none, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", "") or _own_dir()).rstrip("/")
+    """The folder all executors see. Only a session whose executors are this machine's may do without naming one."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or _own_dir()).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

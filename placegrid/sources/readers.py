@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +16,36 @@ from placegrid.operators.dedupe import distinct_ids
 SEQ = "_seq"
 
 
+_FILE_BITS = 44
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target))
+    try:
+        spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """`rows` of a file read with `_seq`: by the time a file was written, its name, and the place in it.
+
+    Spark deals files to tasks by size, so a row's number in its task says nothing about
+    the order of files. Files are numbered by time and name; inside a file a row stands at
+    the start of its block plus its number in the task (a block that is not a file's last
+    fills its task, and a row takes a byte at least, so numbers of blocks do not cross).
+    """
+    ordinal = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = rows.select(
+        "*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_modification_time").alias("_time"),
+        (F.col("_metadata.file_block_start") + ordinal).alias("_place"))
+    files = placed.select("_path", "_time").distinct()
+    # one row per file
+    numbered = files.withColumn("_file", F.row_number().over(Window.orderBy("_time", "_path")).cast("bigint")).drop("_time")
+    return placed.join(numbered, "_path").withColumn(
+        SEQ, F.shiftleft("_file", _FILE_BITS) + F.col("_place")).drop("_path", "_time", "_file", "_place")
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -31,7 +59,7 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
             SEQ, F.col(SEQ).cast("bigint")
         )
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
-    rows = rows.withColumn(SEQ, F.monotonically_increasing_id()).na.fill("")
+    rows = in_file_order(rows).na.fill("")
     if columns is None:
         return rows
     return rows.select(
@@ -72,10 +100,7 @@ def read_run_configs(spark: SparkSession, pattern: str) -> DataFrame:
 
 def read_heartbeats(spark: SparkSession, path: str) -> DataFrame:
     """Heartbeat records; broken lines are skipped."""
-    return (
-        spark.read.schema(S.HEARTBEAT).json(path, mode="DROPMALFORMED")
-        .withColumn(SEQ, F.monotonically_increasing_id())
-    )
+    return in_file_order(spark.read.schema(S.HEARTBEAT).json(path, mode="DROPMALFORMED"))
 
 
 def read_live_state(spark: SparkSession, pattern: str) -> DataFrame:
@@ -164,16 +189,25 @@ def read_grid_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_usage_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """day, alias and calls of a {day: {alias: n}} document."""
+    """day, alias and calls of {day: {alias: n}} documents: one per file over any lines, or one per line, added up."""
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", S.USAGE_LEDGER)).alias("day", "m")).select(
-        "day", F.explode("m").alias("alias", "calls")
-    )
+    lines = F.filter(F.split("value", r"\R"), lambda x: F.btrim(x) != "")
+    per_line = F.transform(lines, lambda x: F.from_json(x, S.USAGE_LEDGER))
+    whole = F.array(F.from_json("value", S.USAGE_LEDGER))
+    documents = F.when(F.forall(per_line, lambda m: m.isNotNull()), per_line).otherwise(whole)
+    days = text.select(F.explode(documents).alias("ledger")).select(F.explode("ledger").alias("day", "m"))
+    return days.select("day", F.explode("m").alias("alias", "calls")).groupBy("day", "alias").agg(F.sum("calls").alias("calls"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with a file-order `_seq`."""
-    return spark.read.text(path).withColumn(SEQ, F.monotonically_increasing_id())
+    return in_file_order(spark.read.text(path))
+
+
+def csv_row_counts(spark: SparkSession, pattern: str) -> DataFrame:
+    """file and rows: the physical lines of each file less its header."""
+    lines = spark.read.text(pattern).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    return lines.select("file", F.greatest(F.lit(0), F.col("n") - 1).alias("rows"))
 
 
 def read_skeleton(spark: SparkSession, path: str) -> DataFrame:

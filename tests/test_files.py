@@ -87,3 +87,27 @@ def test_log_line_sequence(spark, tmp_path):
     (tmp_path / "run.log").write_text("a\nb\n")
     rows = R.read_lines(spark, str(tmp_path / "run.log")).orderBy(F.col(R.SEQ)).collect()
     assert [r.value for r in rows] == ["a", "b"]
+
+
+def test_rows_follow_the_order_in_which_files_were_written(spark, tmp_path):
+    import os
+
+    from placegrid.operators.keys import key_inventory
+
+    folder = tmp_path / "keys"
+    folder.mkdir()
+    for n, (name, ids) in enumerate((("z-old", range(400)), ("a-new", range(400, 403)), ("m-newest", range(403, 405)))):
+        path = folder / f"{name}.csv"
+        path.write_text("key\n" + "".join(f"secret{i}\n" for i in ids))
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
+    rows = R.read_csv(spark, str(folder))
+    ordered = [r.key for r in rows.orderBy(R.SEQ).collect()]
+    assert ordered == [f"secret{i}" for i in range(405)]
+    assert sorted(r.alias for r in key_inventory(rows, R.SEQ).collect()) == sorted(f"csv#{i + 1}" for i in range(405))
+
+
+def test_ledger_documents_in_both_shapes(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{\n  "2024-01-01": {\n    "k1": 2,\n    "k2": 3\n  }\n}')
+    (tmp_path / "b.json").write_text('{"2024-01-01":{"k1":1}}\n{"2024-01-02":{"k1":5}}\n')
+    got = sorted(map(tuple, R.read_usage_ledger(spark, str(tmp_path)).collect()))
+    assert got == [("2024-01-01", "k1", 3), ("2024-01-01", "k2", 3), ("2024-01-02", "k1", 5)]
