@@ -55,8 +55,8 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 def even_chunks(df: DataFrame, position: str, parts: int = PARTS) -> Column:
     """At most `parts` chunks of equal width from the least to the greatest position, which may be a timestamp."""
     at = F.unix_micros(position) if isinstance(df.schema[position].dataType, TimestampType) else F.col(position)
-    low, high = df.agg(F.min(at)).scalar(), df.agg(F.max(at)).scalar()
-    return F.floor((at - low) / ((high - low + 1) / parts))
+    ends = df.agg(F.struct(F.min(at).alias("low"), F.max(at).alias("high"))).scalar()
+    return F.floor((at - ends["low"]) / ((ends["high"] - ends["low"] + 1) / parts))
 
 
 def running_sum(df, keys, chunk, order, value: Column, out: str, before: bool = False) -> DataFrame:

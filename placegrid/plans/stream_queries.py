@@ -17,6 +17,14 @@ def _stream(t, name: str):
     return J.stream_table(t.spark, t.sf_dir, f"{name}.parquet", files_per_batch=1)
 
 
+def _stream_of_files(t, name: str, files: int = 3):
+    """A table cut into files that come one in a micro-batch."""
+    (folder,) = _paths(t, "cut")
+    rows = t.base(name)
+    rows.repartition(files).write.parquet(folder)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def _paths(t, *names: str):
     root = scratch_path(t.spark, "stream")
     return [f"{root}/{n}" for n in names]
@@ -35,7 +43,7 @@ def stream_heartbeats(t):
 @query("K2", f"SELECT DISTINCT place_id FROM ({_LINE}) WHERE place_id NOT IN (SELECT place_id FROM v_known)")
 def stream_dedupe(t):
     out, check = _paths(t, "out", "check")
-    ids = _stream(t, "lineitem").select(F.concat(F.lit("ChIJ"), F.col("l_partkey").cast("string")).alias("place_id"))
+    ids = _stream_of_files(t, "lineitem").select(F.concat(F.lit("ChIJ"), F.col("l_partkey").cast("string")).alias("place_id"))
     J.drain(O.stream_append(J.stream_dedupe(ids, t.known, event_time=None), out, check, drain=True))
     return t.spark.read.parquet(out)
 
@@ -54,7 +62,7 @@ def stream_dedupe_bounded(t):
 @query("B3", "SELECT event_id, event_type FROM events")
 def stream_append(t):
     out, check = _paths(t, "out", "check")
-    J.drain(O.stream_append(_stream(t, "events").select("event_id", "event_type"), out, check, drain=True))
+    J.drain(O.stream_append(_stream_of_files(t, "events").select("event_id", "event_type"), out, check, drain=True))
     return t.spark.read.parquet(out)
 
 
@@ -108,7 +116,7 @@ def stream_rates(t):
 
 def _streamed_results(t):
     out, totals, check = _paths(t, "out", "totals", "check")
-    results = _stream(t, "lineitem").select(
+    results = _stream_of_files(t, "lineitem").select(
         F.concat(F.lit("ChIJ"), F.col("l_partkey").cast("string")).alias("place_id"),
         (F.col("l_linenumber") % 7).alias("attempts"),
         F.when(F.col("l_returnflag") == "R", "failed").otherwise("done").alias("outcome"), F.col("l_orderkey").alias("o1"),

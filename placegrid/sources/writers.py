@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,6 +15,7 @@ from placegrid.operators.state import dead_letters
 from placegrid.schemas import LISTING_COLUMNS, STATE_COLUMNS
 
 APPEND_EVERY = "3 seconds"
+SNAPSHOTS = 4  # versions of a replaced table that are kept
 
 
 def write_locked_csv(df: DataFrame, columns: Sequence[str], path: str) -> None:
@@ -36,28 +37,40 @@ def stream_append(df: DataFrame, path: str, checkpoint: str, every: str = APPEND
     return writer.outputMode("append").start(path)
 
 
-def write_snapshot(df: DataFrame, root: str) -> str:
-    """Replace a table: a new version folder, then the pointer to it.
+def _latest_version(spark: SparkSession, root: str) -> int | None:
+    marks = spark.read.schema("version bigint, slot int").parquet(f"{root}/mark")
+    return marks.agg(F.max("version")).first()[0]
 
-    Readers follow the pointer, so a failed write leaves the old version in place.
+
+def write_snapshot(df: DataFrame, root: str, keep: int = SNAPSHOTS) -> int:
+    """Replace a table: the next of `keep` slots is overwritten, then marked with its version.
+
+    Readers take the slot of the highest mark, so a failed write leaves the old version in
+    place; a slot's mark goes before its data does. Nothing grows with the number of writes,
+    and a reader has `keep - 1` writes' time to finish.
     """
-    version = uuid.uuid4().hex[:12]
-    df.write.mode("errorifexists").parquet(f"{root}/v-{version}")
     spark = df.sparkSession
-    pointer = spark.createDataFrame(
-        [(version,)], "version string"
-    ).withColumn("written_at", F.current_timestamp())
-    pointer.coalesce(1).write.mode("append").json(f"{root}/_pointer")
+    try:
+        version = (_latest_version(spark, root) or 0) + 1
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        version = 1
+    slot = version % keep
+
+    def mark(v: int) -> None:
+        spark.range(1).select(F.lit(v).cast("bigint").alias("version")).write.mode("overwrite").parquet(f"{root}/mark/slot={slot}")
+
+    if version > keep:
+        mark(-1)
+    df.write.mode("overwrite").parquet(f"{root}/data-{slot}")
+    mark(version)
     return version
 
 
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
+def read_snapshot(spark: SparkSession, root: str, keep: int = SNAPSHOTS) -> DataFrame:
     """The latest version of a table written by `write_snapshot`."""
-    latest = (
-        spark.read.schema("version string, written_at timestamp").json(f"{root}/_pointer")
-        .agg(F.max_by("version", "written_at")).first()[0]
-    )
-    return spark.read.parquet(f"{root}/v-{latest}")
+    return spark.read.parquet(f"{root}/data-{_latest_version(spark, root) % keep}")
 
 
 def write_dead_letter(gated: DataFrame, path: str) -> None:

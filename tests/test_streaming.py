@@ -118,3 +118,13 @@ def test_results_flush_per_batch(spark, calls, tmp_path):
     rows = spark.read.parquet(out)
     assert sums.a + sums.s == rows.count() == 1200
     assert sums.a == rows.filter("(place_id = 'k0' and attempts = 3) or (place_id = 'k1' and attempts = 1)").count()
+
+
+def test_snapshots_keep_a_few_versions(spark, tmp_path):
+    root = str(tmp_path / "t")
+    for n in range(1, 8):
+        # the next version is made from the one before
+        rows = spark.range(n) if n == 1 else O.read_snapshot(spark, root).union(spark.range(1))
+        assert O.write_snapshot(rows, root) == n
+        assert O.read_snapshot(spark, root).count() == n
+    assert len(list((tmp_path / "t").iterdir())) == O.SNAPSHOTS + 1
