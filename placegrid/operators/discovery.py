@@ -223,7 +223,12 @@ def places_in_cell(places: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def parse_discovery(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Discovery rows of stored result pages: anchors first, then bare ids, once per page."""
+    """Discovery rows of stored result pages: anchors first, then bare ids, once per page.
+
+    Pages that carry a box (`bbox_*`) lose what points outside it before ids are told apart,
+    so an id that is also named without a point is still found.
+    """
+    boxed = [c for c in pages.columns if c.startswith("bbox_")]
     hrefs = F.regexp_extract_all(F.col(html), F.lit('(?i)<a [^>]*?href="([^"]*/maps/place/[^"]*)"'), F.lit(1))
     anchors = F.transform(
         hrefs,
@@ -240,8 +245,10 @@ def parse_discovery(pages: DataFrame, key: str, html: str) -> DataFrame:
         ),
     )
     rows = pages.select(
-        key, F.posexplode(F.concat(F.filter(anchors, lambda a: a["place_id"].isNotNull()), bare)).alias("pos", "p")
-    ).select(key, "pos", "p.*")
+        key, *boxed, F.posexplode(F.concat(F.filter(anchors, lambda a: a["place_id"].isNotNull()), bare)).alias("pos", "p")
+    ).select(key, *boxed, "pos", "p.*")
+    if boxed:
+        rows = in_bbox(rows)
     return first_seen(rows, [key, "place_id"], ["pos"]).select(
         key, "place_id", id_form("place_id").alias("form"),
         fmt_coord("lat").alias("lat"), fmt_coord("lng").alias("lng"),

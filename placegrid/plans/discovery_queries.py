@@ -9,6 +9,7 @@ from placegrid.functions import outcomes as O
 from placegrid.functions import values as V
 from placegrid.operators import discovery as C
 from placegrid.operators.dedupe import anti_known, first_seen, with_id
+from placegrid.operators.state import latest_cells
 from placegrid.plans.registry import query
 from placegrid.plans.views import LINE_ORDER
 
@@ -98,7 +99,7 @@ def stop_reasons(t):
     )
 
 
-@query("I24 F2 F17 E19", f"""WITH {_CALLS},
+_CELL_RESULTS = f"""WITH {_CALLS},
 ids AS (SELECT cell_id, query, page, unnest(ids) AS place_id, unnest(range(len(ids))) AS pos FROM kept),
 firsts2 AS (SELECT DISTINCT cell_id, query, place_id FROM ids),
 fresh AS (SELECT * FROM firsts2 WHERE place_id NOT IN (SELECT place_id FROM v_known)
@@ -111,13 +112,31 @@ SELECT c.cell_id, c.query,
   CASE WHEN fail_code IS NULL THEN '' WHEN fail_code = 429 THEN 'all key attempts rate-limited (HTTP 429)'
     WHEN ok_count = 0 THEN 'No Places API coverage: HTTP ' || fail_code
     ELSE 'Partial Places API result: HTTP ' || fail_code END AS error_msg
-FROM calls c LEFT JOIN counts n ON c.cell_id = n.cell_id AND c.query = n.query""")
+FROM calls c LEFT JOIN counts n ON c.cell_id = n.cell_id AND c.query = n.query"""
+
+
+@query("I24 F2 F17 E19", _CELL_RESULTS)
 def cell_results(t):
     kept = C.paginate(_last(t))
     fresh = anti_known(first_seen(C.discovered_rows(kept), ["place_id"], ["cell_id", "query", "page", "pos"]), t.known)
     return C.cell_results(C.call_summary(kept), C.cell_place_counts(fresh))
 
 
+# The whole way of a searched cell: planned, searched, paged, new ids counted, written to its state.
+@query("D1 F2 F17 I24 E19 G9", f"""WITH res AS ({_CELL_RESULTS})
+SELECT 'CELL_' || o_orderkey AS cell_id, o_orderpriority AS query, coalesce(r.status, 'queued') AS status,
+  CASE WHEN r.cell_id IS NULL THEN 't0' ELSE 't1' END AS last_attempted_at, coalesce(place_count, 0) AS place_count, coalesce(error_msg, '') AS error_msg
+FROM orders o LEFT JOIN res r ON r.cell_id = 'CELL_' || o.o_orderkey AND r.query = o.o_orderpriority""")
+def discovery_to_state(t):
+    planned = t.base("orders").select(
+        F.concat(F.lit("CELL_"), F.col("o_orderkey").cast("string")).alias("cell_id"), F.col("o_orderpriority").alias("query"),
+        F.lit("queued").alias("status"), F.lit("t0").alias("last_attempted_at"), F.lit(None).cast("bigint").alias("place_count"),
+        F.lit(None).cast("string").alias("error_msg"), F.lit(0).alias("seq"),
+    )
+    found = cell_results(t).withColumns({"last_attempted_at": F.lit("t1"), "seq": F.lit(1)}).select(planned.columns)
+    return latest_cells(planned.unionByName(found), ["cell_id", "query"], ["seq"])
+
+
 @query("E7 I24", f"""WITH {_CALLS}
 SELECT count(*) FILTER (s <> 'failed') AS cells_done, count(*) FILTER (s = 'failed') AS cells_failed,
   count(*) FILTER (s = 'partial') AS cells_partial
@@ -245,6 +264,15 @@ def parse_discovery(t):
     return C.parse_discovery(t.web, "page_id", "html")
 
 
+@query("C5 I21 I27", """
+SELECT page_id, '0x3be7:a' || page_id AS place_id, '0x' AS form, printf('%.7f', CAST('19.' || page_id AS DOUBLE)) AS lat, '72.5000000' AS lng FROM v_web
+UNION ALL SELECT page_id, 'ChIJ' || printf('%022d', page_id), 'ChIJ', '', '' FROM v_web
+UNION ALL SELECT page_id, 'ChIJ' || printf('%022d', page_id + 1), 'ChIJ', '', '' FROM v_web""")
+def parse_discovery_in_box(t):
+    box = {"bbox_south": 10.0, "bbox_north": 20.0, "bbox_west": 70.0, "bbox_east": 80.0}
+    return C.parse_discovery(t.web.withColumns({k: F.lit(v) for k, v in box.items()}), "page_id", "html")
+
+
 @query("I27", """
 SELECT page_id, place_id FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'ChIJ[A-Za-z0-9_-]{20,}'))) AS place_id FROM v_web)""")
 def long_ids(t):

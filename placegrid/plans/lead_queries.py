@@ -106,10 +106,10 @@ def lead_page(t):
 
 @query("G1", f"""
 SELECT place_id, cell_id, o1, (SELECT count(*) FROM v_discovered) AS total FROM v_discovered
-ORDER BY {ORDER} LIMIT 1000 OFFSET 20000""")
+ORDER BY {ORDER} LIMIT 1000 OFFSET 5000""")
 def deep_page(t):
     rows = t.discovered
-    return L.page(rows, LINE_ORDER, 20, 1000, chunk=even_chunks(rows, "o1")).select(
+    return L.page(rows, LINE_ORDER, 5, 1000, chunk=even_chunks(rows, "o1")).select(
         "place_id", "cell_id", "o1", "total"
     )
 
