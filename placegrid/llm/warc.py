@@ -3,7 +3,8 @@
 An archive is a table of rows (archive, record_id, chunk, chunks, data, digest): the `data` of its rows, by record and
 chunk number, are the bytes of WARC/1.1 records. A payload is never copied whole: it is cut into chunks of at most
 `chunk_bytes`, each row carries the SHA-256 of the payload up to its own end, and a reader goes on with its running
-digest from row to row and stops at the first row that disagrees. A record that fits one chunk is one row.
+digest from row to row and marks a record whose rows disagree. A record that fits one chunk is one row. `export_files`
+writes the archives out as .warc files, `read_files` streams such files.
 
 Equal payloads of at least `min_revisit` bytes are stored once: the record with the smallest id holds the payload
 (`response`), the others are `revisit` records that name it and carry the HTTP header only.
@@ -200,3 +201,110 @@ def read_archive(chunks: DataFrame) -> DataFrame:
     long = (chunks.where(~single).repartition("archive", "copy").sortWithinPartitions("archive", "copy", "chunk")
             .mapInArrow(run, RECORD_SCHEMA))
     return short.unionAll(long)
+
+
+FILE_SCHEMA = T.StructType([
+    T.StructField("file", T.StringType()), T.StructField("bytes", T.LongType()), T.StructField("records", T.LongType()),
+])
+
+
+def export_files(chunks: DataFrame, folder: str) -> DataFrame:
+    """Writes each archive of a chunk table as a .warc file below `folder`, a URI that all executors reach; one row per file.
+
+    A task streams an archive's chunks to a file of its own and moves it into place when it is whole, so a lost or
+    repeated task leaves no broken archive.
+    """
+    bounded_batches(chunks.sparkSession)
+    arrow = to_arrow_schema(FILE_SCHEMA)
+
+    def run(batches):
+        from uuid import uuid4
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        archive = out = part = None
+        done, size, records = [], 0, 0
+
+        def close():
+            out.close()
+            name = f"{root}/archive-{archive:05d}.warc"
+            store.move(part, name)
+            done.append((name, size, records))
+
+        for batch in batches:
+            for now, chunk, data in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("archive", "chunk", "data"))):
+                if now != archive:
+                    if out is not None:
+                        close()
+                    archive, size, records = now, 0, 0
+                    part = f"{root}/.part-{now:05d}-{uuid4().hex}"
+                    out = store.open_output_stream(part)
+                out.write(data)
+                size += len(data)
+                records += chunk == 0
+        if out is not None:
+            close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), arrow.types)], schema=arrow)
+
+    ordered = chunks.select("archive", "copy", "chunk", "data").repartition("archive").sortWithinPartitions("archive", "copy", "chunk")
+    return ordered.mapInArrow(run, FILE_SCHEMA)
+
+
+def stream_records(read, block: int = CHUNK_BYTES) -> Iterator[tuple]:
+    """Rows of the records of one archive file; `read(n)` gives its next bytes. Holds no more than a block of a payload."""
+    held = b""
+
+    def until(mark: bytes) -> bytes:
+        nonlocal held
+        while mark not in held:
+            more = read(block)
+            if not more:
+                raise ValueError("the archive ends inside a header")
+            held += more
+        at = held.index(mark) + len(mark)
+        out, held = held[:at], held[at:]
+        return out
+
+    while held or (held := read(block)):
+        reader = RecordReader(until(_END) + until(_END))
+        while reader.left:
+            if not held and not (held := read(block)):
+                break
+            part, held = held[:reader.left], held[reader.left:]
+            reader.digest.update(part)
+            reader.left -= len(part)
+        while len(held) < len(_END) and (more := read(block)):
+            held += more
+        reader.sound = held.startswith(_END)
+        held = held[len(_END):]
+        yield reader.row()
+
+
+def read_files(spark, folder: str, block: int = CHUNK_BYTES) -> DataFrame:
+    """One row per record of the .warc files below `folder`, each file streamed by one task."""
+    from pyarrow import fs
+
+    bounded_batches(spark)
+    store, root = fs.FileSystem.from_uri(folder)
+    names = [i.path for i in store.get_file_info(fs.FileSelector(root)) if i.path.endswith(".warc")]
+    arrow = to_arrow_schema(RECORD_SCHEMA)
+
+    def run(batches):
+        store, _ = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                out = []
+                with store.open_input_stream(name) as f:
+                    for row in stream_records(f.read, block):
+                        out.append(row)
+                        if len(out) == 1000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
+                            out = []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
+
+    files = spark.createDataFrame([(n,) for n in names], "file string").repartition(max(1, len(names)))
+    return files.mapInArrow(run, RECORD_SCHEMA)

@@ -58,3 +58,21 @@ def test_a_missing_chunk_is_an_error(spark):
 
 def test_empty_table(spark):
     assert warc.read_archive(warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 300, 1 << 18])
+def test_files_hold_the_same_records(spark, tmp_path, block):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    archive = warc.write_archive(pages, chunk_bytes=200)
+    folder = f"file://{tmp_path}/archives"
+    files = warc.export_files(archive, folder).collect()
+    assert sum(f.records for f in files) == len(PAGES)
+    assert sorted(p.name for p in (tmp_path / "archives").iterdir()) == sorted(f.file.rsplit("/", 1)[1] for f in files)
+    got = [(r.record_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.whole) for r in warc.read_files(spark, folder, block).collect()]
+    assert sorted(got, key=str) == want(PAGES)
+
+
+def test_a_cut_file_is_not_whole(tmp_path):
+    data = b"".join(warc.head(1, "u", "response", None, 50, "0" * 64)) + b"x" * 20
+    source = iter([data])
+    assert [r[-1] for r in warc.stream_records(lambda n: next(source, b""))] == [False]
