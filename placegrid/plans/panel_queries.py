@@ -97,7 +97,7 @@ def selected_days(t):
 
 @query("I8", """
 SELECT place_id, 'Monday' AS dow, regexp_replace(aria[1], ', Copy open hours', '') AS text FROM v_panel
-UNION ALL SELECT place_id, 'Tuesday', 'Tuesday, Closed' FROM v_panel
+UNION ALL SELECT place_id, 'Tuesday', 'Tuesday, Closed' FROM v_panel WHERE CAST(substr(place_id, 5) AS BIGINT) % 7 <> 0
 UNION ALL SELECT place_id, 'Friday', 'Fridays' FROM v_panel WHERE list_contains(aria, 'Fridays')""")
 def opening_hours(t):
     return t.panel.select("place_id", F.explode(P.parse_hours("aria")).alias("h")).select("place_id", "h.*")
@@ -108,8 +108,8 @@ def opening_hours(t):
 WITH s AS (SELECT place_id, substr(place_id, 5) AS n, regexp_extract(links[3], 'Site([0-9]+)', 1) AS size FROM v_panel)
 SELECT place_id, CAST(0 AS INTEGER) AS pos, 'instagram' AS kind, 'https://www.instagram.com/p' || n AS url FROM s
 UNION ALL SELECT place_id, 1, 'website', 'https://Site' || size || '.com/a?b=1' FROM s
-UNION ALL SELECT place_id, 2, 'facebook', 'https://m.facebook.com/?c=~%2A+d' FROM s
-UNION ALL SELECT place_id, 3, 'telegram', 'https://t.me/x' || size FROM s""")
+UNION ALL SELECT place_id, 2, 'facebook', 'https://m.facebook.com/?c=~%2A+d' FROM s WHERE CAST(n AS BIGINT) % 3 <> 0
+UNION ALL SELECT place_id, CASE WHEN CAST(n AS BIGINT) % 3 = 0 THEN 2 ELSE 3 END, 'telegram', 'https://t.me/x' || size FROM s""")
 def outbound_links(t):
     return t.panel.select("place_id", F.posexplode(P.outbound_links("links")).alias("pos", "l")).select(
         "place_id", "pos", "l.*"
@@ -130,11 +130,12 @@ def unwrapped_links(t):
 
 
 _AMENITIES = """
-about AS (SELECT place_id, tabs, regexp_extract(about_html, 'Pay ([0-9])', 1) AS pay, regexp_extract(about_html, 'and ([0-9]+)', 1) AS n FROM v_panel),
-amenities AS (SELECT place_id, tabs, CAST(0 AS INTEGER) AS pos, 'Access' AS section, 'Has ramp' AS item, true AS present FROM about
-  UNION ALL SELECT place_id, tabs, 1, 'Access', 'No lift', false FROM about
-  UNION ALL SELECT place_id, tabs, 2, 'Pay ' || pay, 'Cash and ' || n, true FROM about
-  UNION ALL SELECT place_id, tabs, 3, 'Pay ' || pay, 'Does not have chips', false FROM about)
+about AS (SELECT place_id, tabs, CAST(substr(place_id, 5) AS BIGINT) % 4 AS k, regexp_extract(about_html, 'Pay ([0-9])', 1) AS pay, regexp_extract(about_html, 'and ([0-9]+)', 1) AS n FROM v_panel),
+said AS (SELECT place_id, tabs, 0 AS rank, 'Access' AS section, 'Has ramp' AS item, true AS present FROM about WHERE k IN (0, 1)
+  UNION ALL SELECT place_id, tabs, 1, 'Access', 'No lift', false FROM about WHERE k <> 3
+  UNION ALL SELECT place_id, tabs, 2, 'Pay ' || pay, 'Cash and ' || n, true FROM about WHERE k <> 1
+  UNION ALL SELECT place_id, tabs, 3, 'Pay ' || pay, 'Does not have chips', false FROM about WHERE k <> 1),
+amenities AS (SELECT place_id, tabs, CAST(row_number() OVER (PARTITION BY place_id ORDER BY rank) - 1 AS INTEGER) AS pos, section, item, present FROM said)
 """
 
 
@@ -154,10 +155,10 @@ def amenities(t):
 
 
 _MENU = """
-size AS (SELECT place_id, tabs, regexp_extract(menu_lines[1], '([0-9]+)', 1) AS n, regexp_extract(menu_lines[12], '1,2([0-9]+)', 1) AS m FROM v_panel),
+size AS (SELECT place_id, tabs, len(menu_lines) > 3 AS long, regexp_extract(menu_lines[1], '([0-9]+)', 1) AS n, regexp_extract(menu_lines[12], '1,2([0-9]+)', 1) AS m FROM v_panel),
 menu AS (SELECT place_id, tabs, CAST(0 AS INTEGER) AS pos, 'Burger ' || n AS name, 'tasty' AS description, CAST(n AS DOUBLE) AS price_amount, 'SAR ' || n AS price FROM size
-  UNION ALL SELECT place_id, tabs, 1, 'Fries', NULL, 5.0, 'SAR 5.50' FROM size
-  UNION ALL SELECT place_id, tabs, 2, 'Cake', 'sweet', CAST('12' || m AS DOUBLE), 'SAR 1,2' || m FROM size)
+  UNION ALL SELECT place_id, tabs, 1, 'Fries', NULL, 5.0, 'SAR 5.50' FROM size WHERE long
+  UNION ALL SELECT place_id, tabs, 2, 'Cake', 'sweet', CAST('12' || m AS DOUBLE), 'SAR 1,2' || m FROM size WHERE long)
 """
 
 
@@ -180,16 +181,19 @@ def degraded_panels(t):
 
 
 @query("C20 C18 I3 I5 I6 I8 C14 I9 I10", f"""WITH {_PRICE}, {_BARS}, {_AMENITIES}, {_MENU},
-bar_counts AS (SELECT place_id, count(*) AS n FROM popular GROUP BY ALL)
+bar_counts AS (SELECT place_id, count(*) AS n FROM popular GROUP BY ALL),
+amenity_counts AS (SELECT place_id, count(*) AS n FROM amenities GROUP BY ALL),
+menu_counts AS (SELECT place_id, count(*) AS n FROM menu GROUP BY ALL)
 SELECT v.place_id, CASE WHEN {_USABLE.replace('tabs', 'v.tabs')} THEN price_range_text END AS price_range_text,
   CASE WHEN len(v.tabs) > 0 THEN price_min END AS price_min, CASE WHEN len(v.tabs) > 0 THEN price_max END AS price_max,
   CASE WHEN len(v.tabs) > 0 THEN price_currency END AS price_currency,
   CASE WHEN len(v.tabs) > 0 THEN price_reported_by END AS price_reported_by, v.share_link, len(v.tabs) > 0 AS has_menu_tab,
-  CAST(CASE WHEN len(v.tabs) > 0 THEN 3 ELSE 0 END AS INTEGER) AS menu_item_count, len(v.tabs) > 0 AS has_popular_times,
+  CAST(CASE WHEN len(v.tabs) > 0 THEN m.n ELSE 0 END AS INTEGER) AS menu_item_count, len(v.tabs) > 0 AS has_popular_times,
   len(v.tabs) > 0 AS has_web_results, len(v.tabs) > 0 AS hours_captured,
   CAST(CASE WHEN len(v.tabs) = 0 THEN 0 WHEN v.popular IS NULL THEN 2 ELSE b.n END AS BIGINT) AS bars,
-  CAST(CASE WHEN len(v.tabs) > 0 THEN 4 ELSE 0 END AS BIGINT) AS amenities
-FROM v_panel v JOIN price2 p ON v.place_id = p.place_id LEFT JOIN bar_counts b ON v.place_id = b.place_id""")
+  CAST(CASE WHEN len(v.tabs) > 0 THEN a.n ELSE 0 END AS BIGINT) AS amenities
+FROM v_panel v JOIN price2 p ON v.place_id = p.place_id LEFT JOIN bar_counts b ON v.place_id = b.place_id
+LEFT JOIN amenity_counts a ON v.place_id = a.place_id LEFT JOIN menu_counts m ON v.place_id = m.place_id""")
 def attribute_rows(t):
     rows = N.attribute_rows(N.enrich_panel(t.panel))
 

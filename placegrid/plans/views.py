@@ -135,12 +135,12 @@ SELECT @spread(p_partkey) 'ChIJ' || p_partkey AS place_id,
     WHEN 5 THEN 'MPH' || p_size || '+GJ Al Road' WHEN 6 THEN 'EUR ' || p_size || ' — 9,' || (100 + p_size)
     WHEN 7 THEN 'NSK 2022' ELSE 'TOP100' END,
     CASE WHEN p_partkey % 2 = 0 THEN 'Reported by 1,' || (100 + p_size) || ' people' ELSE 'Open' END) AS lines,
-  @arr('Monday, 9 am to ' || (p_size % 12 + 1) || ' pm, Copy open hours', 'Share', 'Tuesday,  Closed.',
+  @arr('Monday, 9 am to ' || (p_size % 12 + 1) || ' pm, Copy open hours', 'Share', CASE WHEN p_partkey % 7 = 0 THEN 'Menu' ELSE 'Tuesday,  Closed.' END,
     'Monday, again', CASE WHEN p_partkey % 3 = 0 THEN 'Fridays' ELSE 'Hello' END,
     p_size || '% busy at ' || (p_size % 12 + 1) || ' PM.', 'Sundays 6 AM 20% busy.') AS aria,
   @arr('/url?q=https%3A//www.instagram.com/p' || p_partkey || '&ved=1', 'https://www.google.com/maps/x',
     'https://Site' || p_size || '.com/a?b=1&utm_source=z#f', 'ftp://x', 'https://Site' || p_size || '.com/a?b=1',
-    'https://m.facebook.com/?c=~*%20d&e=', 'https://t.me/x' || p_size, 'https://maps.google.com/q') AS links,
+    CASE WHEN p_partkey % 3 = 0 THEN 'ftp://y' ELSE 'https://m.facebook.com/?c=~*%20d&e=' END, 'https://t.me/x' || p_size, 'https://maps.google.com/q') AS links,
   CASE WHEN p_partkey % 10 = 0 THEN @none ELSE @arr('Overview', 'Menu', 'Reviews', 'About') END AS tabs,
   CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE @struct(days = @arr(
       @arr(p_size || '% busy at 6 AM.', 'Currently 80% busy, usually ' || p_size || '% busy.', '12% busy at 11 PM.',
@@ -149,10 +149,13 @@ SELECT @spread(p_partkey) 'ChIJ' || p_partkey AS place_id,
       @arr('5% busy at 2 pm.', '6% busy'), @arr('100% busy at 3 pm.'));
     visible = CAST(p_partkey % 8 - 1 AS INT);
     selected = CASE p_partkey % 4 WHEN 0 THEN 'Mondays' WHEN 1 THEN 'Saturdays' WHEN 2 THEN 'Wednesdays' END) END AS popular,
-  @arr('Burger ' || p_size, 'tasty', 'SAR ' || p_size, 'Fries', 'SAR 5.50', 'SAR 7', 'Burger ' || p_size,
-    'SAR ' || p_size, 'Cake', 'sweet', 'soft', 'SAR 1,2' || (10 + p_size % 80)) AS menu_lines,
-  '<li>nav</li><h2 class="s">Access</h2><ul><li aria-label="Has ramp"><b>x</b></li><li>No lift</li><li>No lift</li></ul><h2>'
-    || 'Pay ' || (p_size % 3) || '</h2><ul><li>Cash  and ' || p_size || '</li><li>Does not have chips</li></ul>' AS about_html
+  CASE WHEN p_partkey % 5 = 0 THEN @arr('Burger ' || p_size, 'tasty', 'SAR ' || p_size)
+    ELSE @arr('Burger ' || p_size, 'tasty', 'SAR ' || p_size, 'Fries', 'SAR 5.50', 'SAR 7', 'Burger ' || p_size,
+      'SAR ' || p_size, 'Cake', 'sweet', 'soft', 'SAR 1,2' || (10 + p_size % 80)) END AS menu_lines,
+  '<li>nav</li>' || CASE WHEN p_partkey % 4 = 3 THEN '' ELSE '<h2 class="s">Access</h2><ul>'
+    || CASE WHEN p_partkey % 4 = 2 THEN '' ELSE '<li aria-label="Has ramp"><b>x</b></li>' END || '<li>No lift</li><li>No lift</li></ul>' END
+    || CASE WHEN p_partkey % 4 = 1 THEN '' ELSE '<h2>Pay ' || (p_size % 3) || '</h2><ul><li>Cash  and ' || p_size
+      || '</li><li>Does not have chips</li></ul>' END AS about_html
 FROM @part""",
     "v_gallery": """
 SELECT 'ChIJ' || p_partkey AS place_id, step,
