@@ -280,8 +280,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
     if not more.isEmpty():
         labels = classes(links.union(more), "second")
 
-    of_set = reps.select("set_key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "set_key", F.coalesce("label", "rep").alias("component"))
+    # stored, so that the join below deals out both of its sides itself and can split a set that very many rows share
+    of_set = stored(reps.select("set_key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "set_key", F.coalesce("label", "rep").alias("component")), "classes")
     return table.drop("bands").join(of_set, "set_key", "left").select(
         "doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"))
