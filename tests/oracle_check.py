@@ -62,9 +62,12 @@ def duck_rows(con, sql: str):
     return [found[i] for i in order], [kinds[i] for i in order], rows
 
 
-def compare(spark, con, sf_dir: str, q) -> tuple[bool, str]:
+def compare(spark, con, sf_dir: str, q, look=lambda df: None) -> tuple[bool, str]:
+    """Whether a query agrees with its oracle, and how; `look` sees the query's frame before it runs."""
     began = time.time()
-    names, kinds, rows = spark_rows(q.run(spark, sf_dir))
+    df = q.run(spark, sf_dir)
+    look(df)
+    names, kinds, rows = spark_rows(df)
     took = time.time() - began
     if q.sql is None:
         return True, f"{len(rows)} rows, no oracle, {took:.1f}s"
