@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placegrid.llm.common import add_columns, share, texts
+from placegrid.llm.common import add_columns, share, stored, texts
 
 BITS, ORDERS = 15, (1, 2, 3)
 PER_LANGUAGE = 400
@@ -36,7 +36,7 @@ def _letters() -> np.ndarray:
 
 def codes(text: bytes, letters: np.ndarray) -> np.ndarray:
     """Lower-cased letters of a text with single zeros between the words and around them."""
-    c = np.frombuffer(text.decode().lower().encode("utf-32-le", "replace"), np.uint32)
+    c = np.frombuffer(text.decode(errors="replace").lower().encode("utf-32-le", "replace"), np.uint32)
     high = c >= 0x10000
     c = np.where(high, c, letters[np.where(high, 0, c)]) if high.any() else letters[c]
     c = np.concatenate((c, np.zeros(1, np.uint32)))
@@ -96,6 +96,8 @@ def sample(docs: DataFrame, per_language: int, fold: Column) -> DataFrame:
     picked = (
         docs.select("doc_id", "lang", fold.alias("fit"), F.xxhash64(F.lit(7), "doc_id").alias("h"))
         .withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language).select("doc_id", "lang", "fit"))
+    # stored, so that the planner knows how few they are and leaves the texts where they are
+    picked = stored(picked, "picked")
     return docs.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"]).select("doc_id", "lang", "fit", "text")
 
 
