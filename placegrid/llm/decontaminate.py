@@ -233,7 +233,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_span: int = WINDOW, max_cov
                         parts.append(text[done:at[r["start"]][0]])
                         done = at[r["end"] - 1][1]
                     text = b"".join([*parts, text[done:]])
-                out.append(None if text is None else text.decode())
+                out.append(None if text is None else text.decode(errors="replace"))
             return [out]
 
         return one
