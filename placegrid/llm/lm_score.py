@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placegrid.llm.common import add_columns, bounded_batches, share, texts
+from placegrid.llm.common import add_columns, bounded_batches, share, stored, texts
 from placegrid.llm.decontaminate import words
 
 SPAN, HIDDEN, CLASSES, BUCKETS = 2, 32, 64, 512
@@ -66,7 +66,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(SIZE - BUCKETS).collect()
+    # stored first: the best of each partition meet in a task, not on the driver
+    top = stored(word_counts(docs).orderBy(F.desc("n"), "word").limit(SIZE - BUCKETS), "vocabulary")
+    top = top.orderBy(F.desc("n"), "word").collect()
     return Vocabulary((bytes(r.word), i) for i, r in enumerate(top))
 
 
