@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from placegrid.llm.common import add_columns, texts
 
 SPACE = "▁"
-MEMO, MEMO_CHARS = 200_000, 48  # entries in each of two generations, and the longest text kept
+MEMO, MEMO_CHARS = 400_000, 48  # entries in each of two generations, and the longest text kept
 # piece kinds of the model message
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -47,6 +47,23 @@ def read_model(blob: bytes):
                     "unknown": model.trainer_spec.unk_surface}
 
 
+class Memo(dict):
+    """Ids of cuts already seen. When it is full, it starts anew and fetches from the generation before what comes back."""
+
+    def __init__(self, compute) -> None:
+        super().__init__()
+        self.compute, self.aged = compute, {}
+
+    def __missing__(self, cut: str) -> tuple[int, ...]:
+        ids = self.aged.get(cut) or tuple(self.compute(cut))
+        if len(cut) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.aged = dict(self)
+                self.clear()
+            self[cut] = ids
+        return ids
+
+
 class Pieces:
     def __init__(self, blob: bytes) -> None:
         self.pieces, self.settings = read_model(blob)
@@ -63,8 +80,7 @@ class Pieces:
                 self.matches.add_word(p, (len(p), i))
         self.matches.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.aged: dict[str, tuple[int, ...]] = {}
+        self.memo = Memo(self._cut_ids)
         surfaces = {BYTE: lambda p: bytes([int(p[1:-1], 16)]), CONTROL: lambda p: b"",
                     UNKNOWN: lambda p: self.settings["unknown"].encode()}
         self.controls = {i for i, (_, _, k) in enumerate(self.pieces) if k == CONTROL}
@@ -117,18 +133,7 @@ class Pieces:
         text = text.replace(" ", SPACE)
         if self.settings["prefix"]:
             text = SPACE + text
-        memo, aged, parts = self.memo, self.aged, []
-        for cut in self.cuts.findall(text):
-            ids = memo.get(cut)
-            if ids is None:
-                ids = aged.get(cut) or tuple(self._cut_ids(cut))
-                if len(cut) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        self.aged, self.memo = memo, {}
-                        memo, aged = self.memo, self.aged
-                    memo[cut] = ids
-            parts.append(ids)
-        return list(chain.from_iterable(parts))
+        return list(chain.from_iterable(map(self.memo.__getitem__, self.cuts.findall(text))))
 
     def decode(self, ids: Sequence[int]) -> str:
         """Text of ids: the space of the dummy prefix goes; bytes that form no character become U+FFFD each."""
@@ -182,7 +187,7 @@ def tokenized(docs: DataFrame, blob: bytes, keep_text: bool = True) -> DataFrame
         model = Pieces(shared.value)
 
         def one(batch):
-            ids = [model.encode(t.decode()) if t else [] for t in texts(batch)]
+            ids = [model.encode(t.decode(errors="replace")) if t else [] for t in texts(batch)]
             return [ids, [model.decode(i) for i in ids]]
 
         return one
@@ -207,7 +212,7 @@ def token_digests(docs: DataFrame, blob: bytes) -> DataFrame:
         def one(batch):
             n, of_ids, of_text = [], [], []
             for t in texts(batch):
-                ids = model.encode(t.decode()) if t else []
+                ids = model.encode(t.decode(errors="replace")) if t else []
                 n.append(len(ids))
                 of_ids.append(sha256(",".join(map(name, ids)).encode()).hexdigest())
                 of_text.append(sha256(model.decode(ids).encode()).hexdigest())

@@ -52,7 +52,7 @@ def test_memo_turns_over(library, monkeypatch):
     model = pieces.Pieces(pieces.load_blob(PATH))
     text = "a few words that come back, a few words more: a few"
     assert [model.encode(text) for _ in range(3)] == [library.encode(text)] * 3
-    assert len(model.memo) <= 3 and len(model.aged) <= 3
+    assert len(model.memo) <= 3 and len(model.memo.aged) <= 3
 
 
 def test_odd_rows(library, odd, none):
