@@ -251,7 +251,8 @@ def train(found: DataFrame) -> Boosted:
     names = list(FEATURES)
     cells = (
         found.select(F.explode("wide").alias("c")).select("c.*").where("label IS NOT NULL").groupBy(*names)
-        .agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).orderBy(*names).limit(CELLS).collect())
+        .agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).collect())
+    cells.sort(key=lambda r: [r[n] for n in names])
     x = np.array([[r[n] for n in names] for r in cells], np.int64).reshape(len(cells), len(names))
     return Boosted(x, np.array([float(r["pos"]) for r in cells]), np.array([float(r["neg"]) for r in cells]))
 
