@@ -4,7 +4,10 @@ Every word of a text is predicted from the `SPAN` words before and after it; the
 is the text's score. The network maps the words around the masked one to a hidden layer and predicts in two steps, first
 one of `CLASSES` classes and then a word of that class, so both are proper probabilities at a small cost. The vocabulary
 is the `CLASSES ** 2 - BUCKETS` most frequent words of the whole corpus, counted by a groupBy; all other words share
-`BUCKETS` hash buckets.
+`BUCKETS` hash buckets. The network gives the probability of a bucket; of it a word has the share that it has of the
+bucket's words in the corpus, so conditionals add up to one over the words of the corpus. These shares come from the
+whole table of word counts: each row's distinct words outside the vocabulary are stored with their counts, dealt out by
+word, joined to the shares, and summed by row. Scores are thus of the words that were counted, in the same corpus.
 
 Training is spread over the corpus: in each round every task starts from the same weights and goes over its share
 (`share`, by a hash of the id) of its own documents with per-weight step sizes; the tasks' weights are then averaged by
@@ -19,6 +22,7 @@ over tasks while training, by design of averaging.
 
 from __future__ import annotations
 
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -49,12 +53,14 @@ class Vocabulary(dict):
     def ids(self, text: bytes | None) -> list[int]:
         return list(map(self.__getitem__, words(text)))
 
+    def others(self, text: bytes | None) -> dict[bytes, int]:
+        """How often the text holds each word that is not in the vocabulary."""
+        return Counter(w for w in words(text) if w not in self)
+
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over whole texts."""
     def run(batches):
-        from collections import Counter
-
         for batch in batches:
             c: Counter = Counter()
             for text in texts(batch):
@@ -65,13 +71,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
     # stored first: the best of each partition meet in a task, not on the driver
-    top = stored(word_counts(docs).orderBy(F.desc("n"), "word").limit(SIZE - BUCKETS), "vocabulary")
+    counts = word_counts(docs) if counts is None else counts
+    top = stored(counts.orderBy(F.desc("n"), "word").limit(SIZE - BUCKETS), "vocabulary")
     top = top.orderBy(F.desc("n"), "word").collect()
     return Vocabulary((bytes(r.word), i) for i, r in enumerate(top))
 
 
+def shares(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(word, log_share): of each word outside the vocabulary, the log of its share of its bucket."""
+    known = counts.sparkSession.createDataFrame([(w,) for w in vocabulary], "word binary")
+    rare = counts.join(F.broadcast(known), "word", "left_anti").withColumn("bucket", F.crc32("word") % BUCKETS)
+    total = rare.groupBy("bucket").agg(F.sum("n").alias("total"))  # at most BUCKETS rows
+    return rare.join(F.broadcast(total), "bucket").select("word", F.log(F.col("n") / F.col("total")).alias("log_share"))
+
+
 class Network:
     """Weights in one flat array: tables of the words around (by offset), class and word layers."""
 
@@ -238,7 +253,11 @@ FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("logp", T.Doubl
           T.StructField("mean_logp", T.DoubleType()), T.StructField("pseudo_perplexity", T.DoubleType())]
 
 
-def scored(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -> DataFrame:
+RARE = [T.StructField("_rare", T.ArrayType(T.BinaryType())), T.StructField("_times", T.ArrayType(T.LongType()))]
+
+
+def scored(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, rare: bool = False) -> DataFrame:
+    """The scores of ids: words outside the vocabulary have their bucket's. `rare` adds these words and their counts."""
     shared = share(docs.sparkSession, (vocabulary, flat))
 
     def start():
@@ -247,21 +266,45 @@ def scored(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -> DataFra
 
         def one(batch):
             size, total = [], []
-            for held in _batched(texts(batch), vocabulary):
+            blobs = texts(batch)
+            for held in _batched(blobs, vocabulary):
                 ids, at = Network.padded(held)
                 logp = net.log_probabilities(ids, at)
                 n = [len(d) for d in held]
                 size += n
                 total += [float(x.sum()) for x in np.split(logp, np.cumsum(n)[:-1])]
             mean = [t / n if n else None for t, n in zip(total, size)]
-            return [size, total, mean, [None if m is None else float(np.exp(-m)) for m in mean]]
+            out = [size, total, mean, [None if m is None else float(np.exp(-m)) for m in mean]]
+            if rare:
+                others = [vocabulary.others(text) for text in blobs]
+                out += [[list(o) for o in others], [list(o.values()) for o in others]]
+            return out
 
         return one
 
-    return add_columns(docs, FIELDS, start, drop=["text"])
+    return add_columns(docs, FIELDS + RARE if rare else FIELDS, start, drop=["text"])
+
+
+def split_buckets(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, counts: DataFrame) -> DataFrame:
+    """The scores of words: those of ids, and of each word outside the vocabulary the log of its share of its bucket."""
+    taken = {f.name.lower() for f in FIELDS} | {"text"}
+    names = [n for n in docs.columns if n.lower() not in taken]
+    # numbered, so that no name of the input can be one of those used here
+    plain = docs.select(*[docs[n].alias(f"c{i}") for i, n in enumerate(names)], "text", F.monotonically_increasing_id().alias("_row"))
+    base = stored(scored(plain, vocabulary, flat, rare=True), "scores")
+    words_of = base.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("w")).select(
+        "_row", F.col("w._rare").alias("word"), F.col("w._times").alias("times"))
+    inside = words_of.join(shares(counts, vocabulary), "word").groupBy("_row").agg(
+        F.sum(F.col("times") * F.col("log_share")).alias("_inside"))
+    done = base.join(inside, "_row", "left").withColumn("logp", F.col("logp") + F.coalesce("_inside", F.lit(0.0)))
+    mean = F.try_divide("logp", "n_tokens")
+    return done.select(
+        *[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], "n_tokens", "logp", mean.alias("mean_logp"),
+        F.exp(-mean).alias("pseudo_perplexity"))
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text, ...) less the text, with its scores by a network trained on the same documents."""
-    found = vocabulary(docs)
-    return scored(docs, found, train(docs, found))
+    counts = stored(word_counts(docs), "words")
+    found = vocabulary(docs, counts)
+    return split_buckets(docs, found, train(docs, found), counts)

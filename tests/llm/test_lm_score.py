@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from conftest_rows import ODD
 
@@ -60,3 +62,41 @@ def test_odd_rows(odd, none):
         assert r.n_tokens == len(words((o[1] or "").encode()))
         assert (r.mean_logp is None) == (r.n_tokens == 0) and r.logp <= 0
     assert lm.pseudo_likelihood(none).count() == 0
+
+
+def test_probabilities_sum_to_one_over_words(spark):
+    """One-word documents: the conditionals of all words of the corpus, given nothing around them."""
+    rnd = random.Random(4)
+    rows = [(i, f"w{i}") for i in range(9000) for _ in range(rnd.choice([1, 1, 2, 3]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = {r.doc_id: r.logp for r in lm.pseudo_likelihood(docs).collect()}
+    assert len(out) == 9000 and abs(sum(np.exp(p) for p in out.values()) - 1) < 1e-3
+
+
+def test_words_outside_the_vocabulary_by_brute_force(spark):
+    rnd = random.Random(8)
+    many = " ".join(f"r{rnd.randint(0, 1500)}" for _ in range(4000))
+    texts = {1: "a b c Rare rare other zwölf r7", 2: "a b c a b c", 3: f"rare a lone word {many}", 4: None, 5: "", 6: "rare lone a rare r9"}
+    rows = [(i, t, i * 10) for i, t in texts.items()] + [(1, texts[1], 10), (None, texts[3], 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row long")
+    counts = lm.word_counts(docs)
+    n = {bytes(r.word): r.n for r in counts.collect()}
+    found = lm.Vocabulary({b"a": 0, b"b": 1, b"c": 2})
+    bucket = {}
+    for w, k in n.items():
+        if w not in found:
+            bucket[found[w]] = bucket.get(found[w], 0) + k
+    net = lm.Network()
+    net.flat[:] = np.random.default_rng(3).normal(0, 0.3, len(net.flat))
+    out = lm.split_buckets(docs, found, net.flat, counts)
+    assert out.columns == ["doc_id", "_row", *[f.name for f in lm.FIELDS]]
+    got = out.collect()
+    assert sorted((r.doc_id or 0, r._row) for r in got) == sorted((r[0] or 0, r[2]) for r in rows)
+    for r in got:
+        text = (texts[r._row // 10] or "").encode()
+        seq = words(text)
+        ids, at = lm.Network.padded([found.ids(text)])
+        want = net.log_probabilities(ids, at).sum() if seq else 0.0
+        want += sum(np.log(n[w] / bucket[found[w]]) for w in seq if w not in found)
+        assert r.n_tokens == len(seq) and abs(r.logp - want) < 1e-4 * (1 + len(seq))
+        assert r.mean_logp is None if not seq else abs(r.mean_logp * len(seq) - r.logp) < 1e-6 * len(seq)
