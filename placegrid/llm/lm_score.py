@@ -9,10 +9,11 @@ bucket's words in the corpus, so conditionals add up to one over the words of th
 whole table of word counts: each row's distinct words outside the vocabulary are stored with their counts, dealt out by
 word, joined to the shares, and summed by row. Scores are thus of the words that were counted, in the same corpus.
 
-Training is spread over the corpus: in each round every task starts from the same weights and goes over its share
-(`share`, by a hash of the id) of its own documents with per-weight step sizes; the tasks' weights are then averaged by
-their number of words in two groupBys over blocks of weights (first within `GROUPS` groups of tasks). What is trained on and gathered grows with the input. The averaged weights, of fixed
-size (about three megabytes), are all that reaches the driver or is broadcast.
+Training is spread over the corpus: in each round every task starts from the same weights and goes over all of its own
+documents with per-weight step sizes; the tasks' weights are then averaged by their number of words in two groupBys over
+blocks of weights (first within `GROUPS` groups of tasks). Every document is trained on in every round, those without an
+id too. What is gathered grows with the input. Of the network only the averaged weights, of fixed size (about three
+megabytes), reach the driver or are broadcast.
 
 Defined results: null texts and texts without a word have no tokens, logp 0 and no mean or perplexity; repeated rows are
 scored one by one and counted as often; an empty table gives an empty result. All columns but the text are returned;
@@ -36,7 +37,7 @@ from placegrid.llm.decontaminate import words
 
 SPAN, HIDDEN, CLASSES, BUCKETS = 2, 32, 64, 512
 SIZE = CLASSES * CLASSES
-TRAIN_SHARE, ROUNDS = 1 / 32, 2
+TRAIN_SHARE, ROUNDS = 1, 2  # all documents
 MINIBATCH, RATE = 512, 0.15
 BLOCKS, GROUPS = 16, 64  # blocks of weights, and groups of tasks that are averaged first
 SLICE = 32_768
@@ -143,36 +144,58 @@ class Network:
     def train(self, ids: np.ndarray, at: np.ndarray, squares: "Network", seed: int) -> None:
         """One pass over the positions in minibatches; `squares` holds the sums of squared gradients."""
         at = np.random.default_rng(seed).permutation(at)
+        tables = len(OFFSETS) * (SIZE + 1)
+        offsets = np.array(OFFSETS)[:, None]
+        starts = np.arange(len(OFFSETS))[:, None] * (SIZE + 1)
+        grads, buffer = np.empty_like(self.words), np.empty_like(self.words)
         for a in range(0, len(at), MINIBATCH):
             part = at[a:a + MINIBATCH]
+            part = part[np.argsort(ids[part], kind="stable")]  # so the words of a class lie together
             h, target = self.hide(ids, part), ids[part]
             group, within = np.divmod(target, CLASSES)
             n = len(part)
             rows = np.arange(n)
+            seen, first = np.unique(group, return_index=True)
+            spans = list(zip(seen.tolist(), first.tolist(), [*first[1:].tolist(), n]))
             g = _softmax(h @ self.classes.T + self.class_bias)
             g[rows, group] -= 1
-            w = self.words[group]
-            f = _softmax(np.matmul(w, h[:, :, None])[:, :, 0] + self.word_bias[group])
+            f = self.word_bias[group]
+            for c, i, j in spans:
+                f[i:j] += h[i:j] @ self.words[c].T
+            f = _softmax(f)
             f[rows, within] -= 1
-            back = (g @ self.classes + np.matmul(f[:, None, :], w)[:, 0, :]) * (1 - h * h)
+            back = g @ self.classes
+            grads[:] = 0
+            for c, i, j in spans:
+                back[i:j] += f[i:j] @ self.words[c]
+                np.matmul(f[i:j].T, h[i:j], out=grads[c])
+            back *= 1 - h * h
             self._step("classes", squares, g.T @ h / n)
             self._step("class_bias", squares, g.mean(axis=0))
             self._step("hidden", squares, back.mean(axis=0))
-            order = np.argsort(group, kind="stable")
-            seen, first = np.unique(group[order], return_index=True)
-            for c, r in zip(seen, np.split(order, first[1:])):
-                self._step("words", squares, f[r].T @ h[r] / n, c)
-                self._step("word_bias", squares, f[r].sum(axis=0) / n, c)
-            for k, o in enumerate(OFFSETS):
-                near = ids[part + o]
-                order = np.argsort(near, kind="stable")
-                seen, first = np.unique(near[order], return_index=True)
-                self._step("around", squares, np.add.reduceat(back[order], first, axis=0) / n, (k, seen))
-
-    def _step(self, name: str, squares: "Network", grad: np.ndarray, at=...) -> None:
+            # in place, since this is the largest table of those that all minibatches touch
+            grads /= n
+            np.multiply(grads, grads, out=buffer)
+            squares.words += buffer
+            np.sqrt(squares.words, out=buffer)
+            buffer += 1e-6
+            np.divide(grads, buffer, out=buffer)
+            buffer *= RATE
+            self.words -= buffer
+            self._step("word_bias", squares, np.add.reduceat(f, first, axis=0) / n, seen)
+            near = (ids[part + offsets] + starts).ravel()
+            order = np.argsort(near, kind="stable")
+            seen, first = np.unique(near[order], return_index=True)
+            sums = np.add.reduceat(back[order % n], first, axis=0) / n
+            self._step("around", squares, sums, seen, (tables, HIDDEN))
+
+    def _step(self, name: str, squares: "Network", grad: np.ndarray, at=..., shape: tuple | None = None) -> None:
         weights, seen = getattr(self, name), getattr(squares, name)
-        seen[at] += grad * grad
-        weights[at] -= RATE * grad / (np.sqrt(seen[at]) + 1e-6)
+        if shape:
+            weights, seen = weights.reshape(shape), seen.reshape(shape)
+        total = seen[at] + grad * grad
+        seen[at] = total
+        weights[at] -= RATE * grad / (np.sqrt(total) + 1e-6)
 
 
 def _picked(logits: np.ndarray, column: np.ndarray) -> np.ndarray:
@@ -242,7 +265,9 @@ def train_round(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, numbe
 
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, part: float = TRAIN_SHARE) -> np.ndarray:
     bounded_batches(docs.sparkSession)
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 20)) < int(part * (1 << 20))).select("text")
+    chosen = docs.select("text")
+    if part < 1:  # by a hash of the id
+        chosen = docs.where(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 20)) < int(part * (1 << 20))).select("text")
     flat = Network().flat
     for number in range(rounds):
         flat = train_round(chosen, vocabulary, flat, number)

@@ -5,6 +5,7 @@ from conftest_rows import ODD
 
 from placegrid.llm import lm_score as lm
 from placegrid.llm.decontaminate import words
+from placegrid.llm.queries import QUERIES
 
 
 def test_conditionals_are_probabilities():
@@ -100,3 +101,30 @@ def test_words_outside_the_vocabulary_by_brute_force(spark):
         want += sum(np.log(n[w] / bucket[found[w]]) for w in seq if w not in found)
         assert r.n_tokens == len(seq) and abs(r.logp - want) < 1e-4 * (1 + len(seq))
         assert r.mean_logp is None if not seq else abs(r.mean_logp * len(seq) - r.logp) < 1e-6 * len(seq)
+
+
+def test_all_documents_are_trained_on(spark, monkeypatch):
+    rows = [(i, "some words of a text") for i in range(20)] + [(None, "a text without an id")] * 3
+    held = []
+    monkeypatch.setattr(lm, "train_round", lambda docs, vocabulary, flat, number: held.append(docs.count()) or flat)
+    lm.pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert held == [len(rows)] * lm.ROUNDS
+
+
+def mean_logp(rows):
+    return sum(r.logp for r in rows) / sum(r.n_tokens for r in rows)
+
+
+def test_registered_query_learns_from_a_small_table(spark, tmp_path):
+    rows = [(i, "the quick brown fox jumps over the lazy dog and runs on " * 10) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op10_lm_score"].run(spark, str(tmp_path)).collect()
+    assert len(out) == 20 and mean_logp(out) > 1 - np.log(lm.SIZE)
+
+
+def test_registered_query_beats_word_frequencies(spark):
+    out = QUERIES["op10_lm_score"].run(spark, "/root/testdata/sf0.01").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    n = np.array([r.n for r in lm.word_counts(docs).collect()], float)
+    assert sum(r.n_tokens for r in out) == n.sum()
+    assert mean_logp(out) > (n * np.log(n / n.sum())).sum() / n.sum()
