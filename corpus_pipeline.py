@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it to the shared folder as Parquet and reads
 it again as the next stage's docs. All stages but the last return the columns of documents:
 
-1. quality_classifier: documents above their language's perplexity quantile go, so do texts without a character.
+1. quality_classifier: documents above their language's quantile of perplexity or of repeated words go, so do texts
+   without a character.
 2. line_dedup: lines frequent on their source go from the texts; documents without any word left go.
 3. near_dedup: of each class of near-duplicates (five-word shingles, similarity 0.8) the one with the smallest id stays;
    rows that bear the same id and text are one document. Rows without an id stay if no other row has their text's set.
