@@ -38,7 +38,11 @@ def codes(text: bytes, letters: np.ndarray) -> np.ndarray:
     """Lower-cased letters of a text with single zeros between the words and around them."""
     c = np.frombuffer(text.decode(errors="replace").lower().encode("utf-32-le", "replace"), np.uint32)
     high = c >= 0x10000
-    c = np.where(high, c, letters[np.where(high, 0, c)]) if high.any() else letters[c]
+    if high.any():
+        above = np.array([x for x in np.unique(c[high]).tolist() if chr(x).isalpha()], np.uint32)
+        c = np.where(high, np.where(np.isin(c, above), c, 0), letters[np.where(high, 0, c)]).astype(np.uint32)
+    else:
+        c = letters[c]
     c = np.concatenate((c, np.zeros(1, np.uint32)))
     return np.concatenate((np.zeros(1, np.uint32), c[(c != 0) | np.concatenate(([False], c[:-1] != 0))]))
 

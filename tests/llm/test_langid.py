@@ -54,3 +54,17 @@ def test_penalty_makes_weights_sparse():
     assert np.count_nonzero(model.weights) == 4
     best, p = model.predict([(np.array([0]), x), (np.array([1]), x)])
     assert list(best) == [0, 1] and (p > 0.5).all()
+
+
+def test_symbols_above_the_basic_plane_are_no_letters(spark):
+    letters = langid._letters()
+    for text in ("😀", "😀😀 🎉!", "𝟏𝟐𝟑 𝟜", "🀄 12 𐄷"):
+        assert langid.counts(text.encode(), letters) is None
+    assert (langid.counts("ab 😀 cd😀".encode(), letters) == langid.counts(b"ab cd ", letters)).all()
+    assert langid.counts("𐐷𐐷".encode(), letters) is not None and langid.counts("𠀀😀".encode(), letters) is not None
+    rows = [(i, t, g) for i, (t, g) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 8)]
+    rows += [(100, "😀 🎉🎉", "en"), (101, "𝟏𝟐𝟑 🀄", "fr"), (102, "the dog 😀", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs.where("doc_id < 100"), F.col("doc_id") % 4 < 2)
+    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.predicted(docs, model).collect()}
+    assert out[100] == out[101] == ("und", 0.0) and out[102][0] == "en"
