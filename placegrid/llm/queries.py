@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placegrid.llm import decontaminate, kneser_ney, langid, lines, lm_score, neardup, pieces, pii, quality_rules, warc
+from placegrid.llm import (
+    decontaminate, kneser_ney, langid, lines, lm_score, mixing, neardup, negatives, pieces, pii, quality_rules, warc, whitening,
+)
 
 
 @dataclass(frozen=True)
@@ -231,3 +233,103 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    shares = F.array(*[F.lit(float(v)) for v in model.explained]).cast("array<double>")
+    numbered = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("component", "whitened"))
+    return numbered.select(
+        "vec_id", (F.col("component") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(shares, "component").alias("explained"), F.lit(model.identity_error).cast("double").alias("identity_error"))
+
+
+OP12_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, CAST(list_dot_product(a.x, c.x) AS BIGINT) AS score
+  FROM r a JOIN r c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10
+"""
+
+
+@query(OP12_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size,
+    CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ' ' || coalesce(text, ''))[1:13] AS BIGINT) AS h FROM documents
+), l AS (
+  SELECT source, length(bin(size)) AS g, sum(size) AS w FROM d WHERE size > 0 GROUP BY 1, 2
+), s AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS words,
+    [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source
+), f AS (
+  SELECT *, (1.5 * sum(words) OVER () - 2 * coalesce(sum(words) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM s WINDOW b AS (ORDER BY words / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, words, least(2 * words, weight * (SELECT arg_min(level, words / weight) FROM f WHERE 2 * words >= weight * level)) AS target FROM s
+), k AS (
+  SELECT source, g, (target - 2.0 * coalesce(sum(w) OVER b, 0)) / (sum(g * w) OVER (PARTITION BY l.source) - coalesce(sum(g * w) OVER b, 0)) AS k
+  FROM l JOIN t USING (source) WINDOW b AS (PARTITION BY l.source ORDER BY g DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), r AS (
+  SELECT t.source, words, target, coalesce(rate, 2.0) AS rate
+  FROM t LEFT JOIN (SELECT source, arg_max(k, g) AS rate FROM k WHERE k * g <= 2 GROUP BY source) q ON q.source = t.source
+), e AS (
+  SELECT doc_id, d.source, size, h, words, target, least(2.0, rate * length(bin(size))) AS e, (h + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+), c AS (
+  SELECT source, target - sum(floor(e) * size) AS owed FROM e GROUP BY source, target
+), o AS (
+  SELECT *, (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) AS o FROM e WHERE e > floor(e) AND size > 0
+), q AS (
+  SELECT o.doc_id, o.source, size, o / (1 + o) AS t, h, owed,
+    sum(size) OVER (PARTITION BY o.source ORDER BY o / (1 + o), h ROWS UNBOUNDED PRECEDING) AS upto
+  FROM o JOIN c ON o.source IS NOT DISTINCT FROM c.source
+), m AS (
+  SELECT doc_id, source, size, t, h, owed - max(CASE WHEN upto <= owed THEN upto ELSE 0 END) OVER (PARTITION BY source) AS left_,
+    bool_or(upto > owed) OVER (PARTITION BY source ORDER BY t, h ROWS UNBOUNDED PRECEDING) AS out FROM q
+), q2 AS (
+  SELECT doc_id, bool_or(upto2 > left_) OVER (PARTITION BY source ORDER BY t, h ROWS UNBOUNDED PRECEDING) AS out2
+  FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY t, h ROWS UNBOUNDED PRECEDING) AS upto2 FROM m WHERE out AND size <= left_)
+), n AS (
+  SELECT m.*, NOT out OR coalesce(NOT out2, false) AS had FROM m LEFT JOIN q2 ON q2.doc_id = m.doc_id
+), g AS (
+  SELECT *, left_ - sum(CASE WHEN out AND had THEN size ELSE 0 END) OVER (PARTITION BY source) AS room FROM n
+), f1 AS (
+  SELECT doc_id, source, size FROM g WHERE NOT had AND abs(size - room) < room
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - room), t, h) = 1
+), m2 AS (
+  SELECT g.*, had OR f1.doc_id IS NOT NULL AS taken, room - coalesce(max(f1.size) OVER (PARTITION BY g.source), 0) AS rest
+  FROM g LEFT JOIN f1 ON f1.doc_id = g.doc_id
+), f2 AS (
+  SELECT doc_id FROM m2 WHERE taken = (rest < 0) AND abs(size - abs(rest)) < abs(rest)
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - abs(rest)), t, h) = 1
+), x AS (
+  SELECT m2.doc_id FROM m2 LEFT JOIN f2 ON f2.doc_id = m2.doc_id WHERE taken <> (f2.doc_id IS NOT NULL)
+)
+SELECT e.doc_id, size, CAST(words AS BIGINT) AS source_size, target,
+  CAST((floor(e) + (x.doc_id IS NOT NULL)::INT) * size AS BIGINT) AS taken, CAST(floor(e) + (x.doc_id IS NOT NULL)::INT AS BIGINT) AS copies
+FROM e LEFT JOIN x ON x.doc_id = e.doc_id
+"""
+
+
+@query(OP13_SQL)
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
