@@ -14,10 +14,10 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, LongType, TimestampType
 
 CHUNK = "_chunk"
-PARTS = 1 << 16
+PARTS = 1 << 12
 
 
 def carried(
@@ -31,8 +31,8 @@ def carried(
     """Rows with the carried columns, and the window over one chunk of one key.
 
     `chunk` must not decrease along `order`; rows whose chunk is null come first, as nulls
-    do in the order, and null keys are one key. Cut so that a key has some ten thousand
-    chunks at most (`even_chunks` does).
+    do in the order, and null keys are one key. Cut so that a key has some thousand
+    chunks at most and none holds much more than its share of the rows (`even_chunks` does).
     `summaries` are aggregates over a chunk; each carry is an expression over the
     summaries of earlier chunks.
     """
@@ -52,11 +52,32 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(named, same, how).drop(*there.values())
 
 
+def _constant(values: Sequence, kind: DataType) -> Column:
+    """An array literal, made of one text rather than of as many expressions."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(ArrayType(kind))
+
+
 def even_chunks(df: DataFrame, position: str, parts: int = PARTS) -> Column:
-    """At most `parts` chunks of equal width from the least to the greatest position, which may be a timestamp."""
-    at = F.unix_micros(position) if isinstance(df.schema[position].dataType, TimestampType) else F.col(position)
-    ends = df.agg(F.struct(F.min(at).alias("low"), F.max(at).alias("high"))).scalar()
-    return F.floor((at - ends["low"]) / ((ends["high"] - ends["low"] + 1) / parts))
+    """At most `parts` chunks of about as many rows each, in the order of the position, which may be a timestamp.
+
+    The bounds are quantiles of a mergeable sketch, one partial aggregate over `df` that runs at once; only the
+    bounds reach the driver. So neither a far outlier nor positions in dense clusters (file numbers above line
+    numbers) fill a chunk; rows of one position share it. A row finds its chunk by bisection of the bounds.
+    """
+    kind = df.schema[position].dataType
+    timed = isinstance(kind, TimestampType)
+    at = F.unix_micros(position) if timed else F.col(position)
+    cuts = _constant([i / parts for i in range(1, parts)], DoubleType())
+    bounds = df.agg(F.percentile_approx(at, cuts, 4 * parts)).first()[0]
+    if not bounds:
+        return F.lit(None).cast("bigint")
+    found = _constant(sorted(set(bounds)), LongType() if timed else kind)
+    steps = _constant([1 << b for b in reversed(range(len(bounds).bit_length()))], IntegerType())
+
+    def step(low: Column, width: Column) -> Column:
+        return F.when(F.get(found, low + width - 1) <= at, low + width).otherwise(low)
+
+    return F.when(at.isNotNull(), F.aggregate(steps, F.lit(0), step)).cast("bigint")
 
 
 def running_sum(df, keys, chunk, order, value: Column, out: str, before: bool = False) -> DataFrame:

@@ -187,35 +187,41 @@ def flush_totals(merged: DataFrame, batch: Sequence[str], seconds: Column | None
     )
 
 
-def latest_cells(updates: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Last write per cell; a null place count or error text keeps the earlier value."""
+def _last_given(c: str, order: Sequence[str]) -> Column:
+    return F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order)))
+
+
+def cell_columns(order: Sequence[str]) -> dict[str, Column]:
+    """What a cell's updates amount to: the last write, a null place count or error text keeping the earlier value."""
     turn = F.struct(*order)
+    return {
+        "status": F.max_by("status", turn),
+        "last_attempted_at": F.max_by("last_attempted_at", turn),
+        "place_count": F.coalesce(_last_given("place_count", order), F.lit(0)),
+        "error_msg": F.coalesce(F.substring(_last_given("error_msg", order), 1, ERROR_TEXT_LIMIT), F.lit("")),
+    }
 
-    def last_given(c: str) -> Column:
-        return F.max_by(c, F.when(F.col(c).isNotNull(), turn))
 
-    return updates.groupBy(*key).agg(
-        F.max_by("status", turn).alias("status"),
-        F.max_by("last_attempted_at", turn).alias("last_attempted_at"),
-        F.coalesce(last_given("place_count"), F.lit(0)).alias("place_count"),
-        F.coalesce(F.substring(last_given("error_msg"), 1, ERROR_TEXT_LIMIT), F.lit("")).alias("error_msg"),
-    )
+def place_columns(order: Sequence[str]) -> dict[str, Column]:
+    """What a place's updates amount to: the last write, attempts added up, an absent error keeping the earlier one."""
+    return {
+        "status": F.max_by("status", F.struct(*order)),
+        "attempts": F.sum("attempts_inc"),
+        "last_error": F.substring(_last_given("last_error", order), 1, ERROR_TEXT_LIMIT),
+    }
+
+
+def latest_cells(updates: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Last write per cell; a null place count or error text keeps the earlier value."""
+    return updates.groupBy(*key).agg(*[c.alias(n) for n, c in cell_columns(order).items()])
 
 
 def latest_state(updates: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Last write per key; attempts add up and an absent error keeps the earlier one."""
-    turn = F.struct(*order)
-    return updates.groupBy(*key).agg(
-        F.max_by("status", turn).alias("status"),
-        F.sum("attempts_inc").alias("attempts"),
-        F.coalesce(
-            F.substring(
-                F.max_by("last_error", F.when(F.col("last_error").isNotNull(), turn)), 1, ERROR_TEXT_LIMIT
-            ),
-            F.lit(""),
-        ).alias("last_error"),
-        F.max_by("updated_at", turn).alias("updated_at"),
-    )
+    found = place_columns(order)
+    found["last_error"] = F.coalesce(found["last_error"], F.lit(""))
+    found["updated_at"] = F.max_by("updated_at", F.struct(*order))
+    return updates.groupBy(*key).agg(*[c.alias(n) for n, c in found.items()])
 
 
 def seed_markers(state: DataFrame, markers: DataFrame) -> DataFrame:

@@ -184,18 +184,24 @@ def dead_letters(t):
     return S.dead_letters(S.scraped_gate(t.listings))
 
 
-@query("G9", """
+LATEST_CELLS = """
 SELECT cell_id, query, arg_max(status, seq) AS status, arg_max('t' || seq, seq) AS last_attempted_at,
   coalesce(arg_max(n, seq) FILTER (n IS NOT NULL), 0) AS place_count,
   coalesce(arg_max('err ' || seq, seq) FILTER (seq % 3 = 0), '') AS error_msg
-FROM (SELECT *, try_cast(place_count AS BIGINT) AS n FROM v_state_cells) GROUP BY ALL""")
-def latest_cells(t):
-    updates = t.state_cells.withColumns({
+FROM (SELECT *, try_cast(place_count AS BIGINT) AS n FROM v_state_cells) GROUP BY ALL"""
+
+
+def cell_updates(t):
+    return t.state_cells.withColumns({
         "place_count": F.col("place_count").try_cast("bigint"),
         "last_attempted_at": F.concat(F.lit("t"), F.col("seq").cast("string")),
         "error_msg": F.when(F.col("seq") % 3 == 0, F.concat(F.lit("err "), F.col("seq").cast("string"))),
     })
-    return S.latest_cells(updates, ["cell_id", "query"], ["seq"])
+
+
+@query("G9", LATEST_CELLS)
+def latest_cells(t):
+    return S.latest_cells(cell_updates(t), ["cell_id", "query"], ["seq"])
 
 
 # A whole lease: claim, write the claims back, merge what workers return, apply the accepted results.

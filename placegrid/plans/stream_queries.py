@@ -17,10 +17,10 @@ def _stream(t, name: str):
     return J.stream_table(t.spark, t.sf_dir, f"{name}.parquet", files_per_batch=1)
 
 
-def _stream_of_files(t, name: str, files: int = 3):
-    """A table cut into files that come one in a micro-batch."""
+def _stream_of_files(t, table, files: int = 3):
+    """A table, or any rows, cut into files that come one in a micro-batch."""
     (folder,) = _paths(t, "cut")
-    rows = t.base(name)
+    rows = t.base(table) if isinstance(table, str) else table
     rows.repartition(files).write.parquet(folder)
     return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
@@ -73,13 +73,28 @@ FROM (SELECT user_id AS user, event_id, event_type FROM events) GROUP BY ALL""")
 def stream_state(t):
     root, check = _paths(t, "state", "check")
     failed = F.col("event_type") == "error"
-    updates = _stream(t, "events").select(
+    updates = _stream_of_files(t, "events").select(
         F.col("user_id").alias("user"), F.col("event_type").alias("status"),
         F.when(failed, 1).otherwise(0).cast("bigint").alias("attempts_inc"),
         F.when(failed, F.concat(F.lit("err "), F.col("event_id").cast("string"))).alias("last_error"), "event_id",
     )
     J.drain(J.stream_state(updates, root, check, ["user"], ["event_id"], every=None))
-    return O.read_snapshot(t.spark, root).select("user", "status", "attempts", "last_error")
+    return J.current_state(t.spark, root, ["user"]).select("user", "status", "attempts", "last_error")
+
+
+@query("K3 G9", state_queries.LATEST_CELLS)
+def stream_cells(t):
+    """The cell form, with the changes of its first files compacted away."""
+    root, check, source = _paths(t, "state", "check", "cells")
+    rows = state_queries.cell_updates(t)
+    folders = [f"{source}/{n}" for n in ("first", "later")]
+    for n, folder in enumerate(folders):
+        rows.filter(F.col("seq") % 2 == n).repartition(2).write.parquet(folder)
+        updates = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
+        J.drain(J.stream_cells(updates, root, check, ["cell_id", "query"], ["seq"], every=None))
+        if not n:
+            J.compact_state(t.spark, root, ["cell_id", "query"])
+    return J.current_state(t.spark, root, ["cell_id", "query"]).drop("batch")
 
 
 @query("K4 F11", f"""WITH {key_queries._THROTTLE}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,7 @@ from placegrid.operators.state import dead_letters
 from placegrid.schemas import LISTING_COLUMNS, STATE_COLUMNS
 
 APPEND_EVERY = "3 seconds"
-SNAPSHOTS = 4  # versions of a replaced table that are kept
+KEEP_SECONDS = 3600.0  # for so long readers may use a version after it was replaced
 
 
 def write_locked_csv(df: DataFrame, columns: Sequence[str], path: str) -> None:
@@ -37,40 +39,97 @@ def stream_append(df: DataFrame, path: str, checkpoint: str, every: str = APPEND
     return writer.outputMode("append").start(path)
 
 
-def _latest_version(spark: SparkSession, root: str) -> int | None:
-    marks = spark.read.schema("version bigint, slot int").parquet(f"{root}/mark")
-    return marks.agg(F.max("version")).first()[0]
+class VersionConflict(ValueError):
+    """Another writer has replaced the table meanwhile."""
 
 
-def write_snapshot(df: DataFrame, root: str, keep: int = SNAPSHOTS) -> int:
-    """Replace a table: the next of `keep` slots is overwritten, then marked with its version.
+_COMMIT = "version bigint, data string, at double, kind string"
 
-    Readers take the slot of the highest mark, so a failed write leaves the old version in
-    place; a slot's mark goes before its data does. Nothing grows with the number of writes,
-    and a reader has `keep - 1` writes' time to finish.
-    """
-    spark = df.sparkSession
+
+def _commits(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(_COMMIT).parquet(f"{root}/commits")
+
+
+def _say(spark: SparkSession, root: str, version: int, data: str, kind: str) -> None:
+    row = spark.createDataFrame([(version, data, time.time(), kind)], _COMMIT)
+    row.coalesce(1).write.mode("append").parquet(f"{root}/commits")
+
+
+def _versions(spark: SparkSession, root: str) -> DataFrame:
+    """(version, data, at, cleared) of the versions that count: those with one offer that was not withdrawn."""
+    offers = _commits(spark, root).groupBy("version", "data").agg(
+        F.max(F.when(F.col("kind") == "offer", F.col("at"))).alias("at"),
+        F.bool_or(F.col("kind") == "withdrawn").alias("_out"), F.bool_or(F.col("kind") == "cleared").alias("cleared"))
+    whole = offers.filter("NOT _out AND at IS NOT NULL").groupBy("version").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in ("data", "at", "cleared")])
+    return whole.filter("_n = 1").drop("_n")
+
+
+def snapshot_version(spark: SparkSession, root: str) -> int:
+    """The latest version of a table; 0 where none was written."""
     try:
-        version = (_latest_version(spark, root) or 0) + 1
+        return _versions(spark, root).agg(F.max("version")).first()[0] or 0
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        version = 1
-    slot = version % keep
+        return 0
 
-    def mark(v: int) -> None:
-        spark.range(1).select(F.lit(v).cast("bigint").alias("version")).write.mode("overwrite").parquet(f"{root}/mark/slot={slot}")
 
-    if version > keep:
-        mark(-1)
-    df.write.mode("overwrite").parquet(f"{root}/data-{slot}")
-    mark(version)
+def write_snapshot(df: DataFrame, root: str, expected: int | None = None, keep: float = KEEP_SECONDS) -> int:
+    """Replace a table by a new version, made from version `expected` (the latest one unless given).
+
+    A version's data lies in a folder of its own and is never written again, so a reader keeps to the version that
+    it opened. The data come first, then the version is offered in the commit log. Who then finds another offer of
+    the same version there withdraws its own and raises `VersionConflict`; of two writers at most one prevails, and
+    a version with two standing offers is not read. Versions replaced more than `keep` seconds ago are emptied.
+    """
+    spark = df.sparkSession
+    expected = snapshot_version(spark, root) if expected is None else expected
+    data = f"data-{uuid.uuid4().hex[:12]}"
+    df.write.mode("error").parquet(f"{root}/{data}")
+    if snapshot_version(spark, root) != expected:
+        raise VersionConflict(f"{root} is no longer at version {expected}")
+    # a version that two crashed writers left unsettled is passed over
+    version = (_commits(spark, root).agg(F.max("version")).first()[0] if expected else 0) + 1
+    _say(spark, root, version, data, "offer")
+    standing = _commits(spark, root).filter(F.col("version") == version).groupBy("data").agg(F.bool_or(F.col("kind") == "withdrawn").alias("out"))
+    if standing.filter("NOT out").count() > 1:
+        _say(spark, root, version, data, "withdrawn")
+        raise VersionConflict(f"version {version} of {root} was offered twice")
+    _clear(spark, root, keep)
     return version
 
 
-def read_snapshot(spark: SparkSession, root: str, keep: int = SNAPSHOTS) -> DataFrame:
-    """The latest version of a table written by `write_snapshot`."""
-    return spark.read.parquet(f"{root}/data-{_latest_version(spark, root) % keep}")
+def _clear(spark: SparkSession, root: str, keep: float) -> None:
+    """Empty the folders of versions whose successor is older than `keep` seconds."""
+    rows = sorted(_versions(spark, root).collect())  # one row a version
+    for old, new in zip(rows, rows[1:]):
+        if not old.cleared and new.at < time.time() - keep:
+            path = f"{root}/{old.data}"
+            spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+            _say(spark, root, old.version, old.data, "cleared")
+
+
+def update_snapshot(spark: SparkSession, root: str, change: Callable[[DataFrame | None], DataFrame], tries: int = 5) -> int:
+    """Replace a table by `change` of its latest version (None for the first), again if another writer came first."""
+    for left in reversed(range(tries)):
+        version = snapshot_version(spark, root)
+        try:
+            return write_snapshot(change(read_snapshot(spark, root, version) if version else None), root, version)
+        except VersionConflict:
+            if not left:
+                raise
+    raise AssertionError
+
+
+def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """A version of a table written by `write_snapshot`, the latest one unless given."""
+    rows = _versions(spark, root)
+    found = rows.agg(F.max_by("data", "version")) if version is None else rows.filter(F.col("version") == version).select("data")
+    row = found.first()
+    if row is None or row[0] is None:
+        raise ValueError(f"{root} has no version {version}")
+    return spark.read.parquet(f"{root}/{row[0]}")
 
 
 def write_dead_letter(gated: DataFrame, path: str) -> None:

@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from placegrid import schemas as S
+from placegrid import schemas
 from placegrid.operators.dedupe import anti_known, with_id
 from placegrid.operators.keys import PARK_SECONDS, throttle_streaks
 from placegrid.operators.monitor import bounded_tail
+from placegrid.operators import state as S
 from placegrid.operators.state import flush_totals, merge_results
-from placegrid.schemas import ERROR_TEXT_LIMIT
-from placegrid.sources.writers import read_snapshot, write_snapshot
+from placegrid.sources.writers import read_snapshot, snapshot_version, write_snapshot
 
 # Flush intervals, rate window and slide.
 STATE_EVERY, RESULTS_EVERY = "3 seconds", "20 seconds"
@@ -37,7 +37,7 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: i
 
 def stream_heartbeats(spark: SparkSession, folder: str) -> DataFrame:
     """Rolled heartbeat files, broken lines skipped."""
-    return spark.readStream.schema(S.HEARTBEAT).option("mode", "DROPMALFORMED").json(folder)
+    return spark.readStream.schema(schemas.HEARTBEAT).option("mode", "DROPMALFORMED").json(folder)
 
 
 def stream_dedupe(
@@ -78,12 +78,8 @@ def drain(query: StreamingQuery) -> None:
 
 
 def _stored(spark: SparkSession, root: str) -> DataFrame | None:
-    try:
-        return read_snapshot(spark, root)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    version = snapshot_version(spark, root)
+    return read_snapshot(spark, root, version) if version else None
 
 
 def _holds(old: DataFrame | None, checkpoint: str, batch_id: int) -> bool:
@@ -100,38 +96,70 @@ def _stamped(state: DataFrame, checkpoint: str, batch_id: int) -> DataFrame:
     return state.withColumns({"batch_id": F.lit(batch_id), "checkpoint": F.lit(checkpoint)})
 
 
-def stream_state(
-    updates: DataFrame, root: str, checkpoint: str, key: Sequence[str], order: Sequence[str],
+def stream_upserts(
+    updates: DataFrame, columns: dict[str, Column], root: str, checkpoint: str, key: Sequence[str],
     every: str | None = STATE_EVERY,
 ) -> StreamingQuery:
-    """Upsert state by key, every column of `latest_state`.
+    """Keyed state in Spark's state store; every batch writes the keys that it changed to `root`, and only these.
 
-    The snapshot records its checkpoint and batch, so a replayed batch is not added twice, and
-    a new checkpoint on an old root stops instead of losing what it reads.
+    `columns` are aggregates over all updates of a key, whatever batches they come in. `current_state` reads the
+    table. A replayed batch overwrites its own folder. The state belongs to its checkpoint: another one on the same
+    root stops instead of starting from nothing.
     """
-    turn = [c for c in order]
-
-    def reduce(rows: DataFrame) -> DataFrame:
-        at = F.struct(*turn)
-        said = F.max_by("last_error", F.when(F.col("last_error").isNotNull(), at))
-        return rows.groupBy(*key).agg(
-            F.max_by("status", at).alias("status"), F.sum("attempts").alias("attempts"),
-            F.substring(said, 1, ERROR_TEXT_LIMIT).alias("last_error"),
-            *[F.max_by(c, at).alias(c) for c in rows.columns if c == "updated_at" or c in turn],
-        )
+    state = updates.groupBy(*key).agg(*[c.alias(n) for n, c in columns.items()])
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        old = _stored(batch.sparkSession, root)
-        if _holds(old, checkpoint, batch_id):
-            return
-        kept = [c for c in ("updated_at",) if c in batch.columns and c not in turn]
-        rows = batch.withColumnRenamed("attempts_inc", "attempts").select(
-            *key, "status", "attempts", "last_error", *kept, *turn
-        )
-        merged = rows if old is None else rows.unionByName(old.select(rows.columns))
-        write_snapshot(_stamped(reduce(merged), checkpoint, batch_id), root)
+        spark = batch.sparkSession
+        try:
+            owners = spark.read.schema("checkpoint string").parquet(f"{root}/owner").distinct().collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            spark.createDataFrame([(checkpoint,)], "checkpoint string").write.parquet(f"{root}/owner")
+            owners = []
+        if any(r.checkpoint != checkpoint for r in owners):
+            raise ValueError(f"the state was written from checkpoint {owners[0].checkpoint}, not from {checkpoint}: use a new root")
+        batch.write.mode("overwrite").parquet(f"{root}/changes/batch={batch_id}")
+
+    writer = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(apply)
+    return writer.trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
+
 
-    return each_batch(updates, checkpoint, apply, every)
+def current_state(spark: SparkSession, root: str, key: Sequence[str]) -> DataFrame:
+    """The state of every key: its last change, or its row in the table that `compact_state` made."""
+    changes = spark.read.parquet(f"{root}/changes")
+    version = snapshot_version(spark, f"{root}/compact")
+    if version:
+        base = read_snapshot(spark, f"{root}/compact", version)
+        upto = base.agg(F.max("batch")).first()[0]
+        changes = base.unionByName(changes.filter(F.col("batch") > (-1 if upto is None else upto)))
+    rest = [c for c in changes.columns if c not in key]
+    last = changes.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return last.select(*key, "r.*")
+
+
+def compact_state(spark: SparkSession, root: str, key: Sequence[str]) -> int:
+    """Keep the present state as one table, so that readers need only later changes beside it."""
+    return write_snapshot(current_state(spark, root, key), f"{root}/compact")
+
+
+def stream_state(
+    updates: DataFrame, root: str, checkpoint: str, key: Sequence[str], order: Sequence[str],
+    every: str | None = STATE_EVERY,
+) -> StreamingQuery:
+    """Upsert the state of places: the last status, attempts added up, the last error, `updated_at` where given."""
+    columns = S.place_columns(order)
+    if "updated_at" in updates.columns:
+        columns["updated_at"] = F.max_by("updated_at", F.struct(*order))
+    return stream_upserts(updates, columns, root, checkpoint, key, every)
+
+
+def stream_cells(
+    updates: DataFrame, root: str, checkpoint: str, key: Sequence[str], order: Sequence[str],
+    every: str | None = STATE_EVERY,
+) -> StreamingQuery:
+    """Upsert the state of cells, every column of `latest_cells`."""
+    return stream_upserts(updates, S.cell_columns(order), root, checkpoint, key, every)
 
 
 def stream_throttle(

@@ -82,14 +82,28 @@ def test_rows_without_a_key_or_position_stay(spark):
     assert got == {(None, 1): (1, False), (None, 2): (2, True), ("a", 3): (1, False)}
 
 
-def test_chunks_are_even_over_timestamps_and_hot_keys(spark):
+@pytest.mark.parametrize("position", [
+    "timestamp_micros(1700000000000000 + id * 1000)", "if(id = 7, 1000000000000000, id)", "(id % 10) * (1L << 44) + id", "cast(id as double) * id * id",
+    "if(id % 3 = 0, null, id)"], ids=["timestamps", "outlier", "files", "steep", "nulls"])
+def test_chunks_hold_their_share(spark, position):
     from placegrid.operators import ordered as R
 
-    rows = spark.range(100_000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"),
-        F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 1000).alias("ts"))
-    sizes = rows.groupBy("k", R.even_chunks(rows, "ts", parts=1000).alias("c")).count().agg(F.max("count"), F.countDistinct("c")).first()
-    assert sizes[0] <= 40 and sizes[1] >= 990
+    rows = spark.range(100_000).select(F.expr(position).alias("at"))
+    chunks = rows.withColumn("c", R.even_chunks(rows, "at", parts=500)).cache()
+    sizes = chunks.filter("at IS NOT NULL").groupBy("c").count().agg(F.max("count"), F.count("c")).first()
+    assert sizes[0] <= 2 * 100_000 / 500 and sizes[1] >= 300
+    # chunks follow the order, and only nulls have none
+    ends = chunks.groupBy("c").agg(F.min("at").alias("low"), F.max("at").alias("high")).orderBy("c").collect()
+    known = [r for r in ends if r.c is not None]
+    assert all(a.high < b.low for a, b in zip(known, known[1:])) and chunks.filter("(c IS NULL) <> (at IS NULL)").count() == 0
+    chunks.unpersist()
+
+
+def test_chunks_of_no_rows(spark):
+    from placegrid.operators import ordered as R
+
+    none = spark.createDataFrame([(None,)], "at long")
+    assert [r.c for r in none.select(R.even_chunks(none, "at").alias("c")).collect()] == [None]
 
 
 def test_a_hot_image_is_dealt_over_salts(spark):

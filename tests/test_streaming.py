@@ -56,15 +56,37 @@ def test_state_adds_up_over_batches_and_ignores_a_replay(spark, calls, tmp_path)
     J.drain(J.stream_state(updates(stream), root, check, ["alias"], ["at"], every=None))
     want = S.latest_state(updates(df).withColumn("updated_at", F.lit("")), ["alias"], ["at"])
     columns = ["alias", "status", "attempts", "last_error"]
-    state = O.read_snapshot(spark, root)
+    state = J.current_state(spark, root, ["alias"]).fillna("", ["last_error"])
     assert sorted(map(tuple, state.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
-    # the batch that the state holds is not added again
-    last = state.agg(F.max("batch_id")).first()[0]
-    assert J._holds(state, check, last) and not J._holds(state, check, last + 1)
+    # a started query finds nothing new, and adds nothing again
+    J.drain(J.stream_state(updates(stream), root, check, ["alias"], ["at"], every=None))
+    assert sorted(map(tuple, J.current_state(spark, root, ["alias"]).fillna("", ["last_error"]).select(columns).collect())) == sorted(
+        map(tuple, want.select(columns).collect()))
     # a fresh checkpoint would count its batches from zero: it stops instead of losing rows
     with pytest.raises(Exception, match="use a new root"):
         J.drain(J.stream_state(updates(stream), root, str(tmp_path / "again"), ["alias"], ["at"], every=None))
-    assert sorted(map(tuple, O.read_snapshot(spark, root).select(columns).collect())) == sorted(map(tuple, state.select(columns).collect()))
+    assert sorted(map(tuple, J.current_state(spark, root, ["alias"]).fillna("", ["last_error"]).select(columns).collect())) == sorted(
+        map(tuple, state.select(columns).collect()))
+
+
+def test_a_batch_writes_the_keys_that_it_changed(spark, tmp_path):
+    folder, root, check = (str(tmp_path / n) for n in ("in", "state", "check"))
+    schema = "k long, at long, status string, attempts_inc long, last_error string"
+    first = spark.range(20_000).selectExpr("id AS k", "id AS at", "'queued' AS status", "1L AS attempts_inc", "cast(null as string) AS last_error")
+    later = spark.range(7).selectExpr("id AS k", "100000 + id AS at", "'done' AS status", "1L AS attempts_inc", "'e' AS last_error")
+    for rows in (first, later):
+        rows.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        J.drain(J.stream_state(stream, root, check, ["k"], ["at"], every=None))
+    changes = spark.read.parquet(f"{root}/changes")
+    assert {r.batch: r["count"] for r in changes.groupBy("batch").count().collect()} == {0: 20_000, 1: 7}
+    size = {p: sum(f.stat().st_size for f in (tmp_path / "state" / "changes" / p).glob("*.parquet")) for p in ("batch=0", "batch=1")}
+    assert size["batch=1"] * 4 < size["batch=0"]
+    want = {("done", 2): 7, ("queued", 1): 19_993}
+    for _ in range(2):  # from the changes, then from the compacted table
+        state = J.current_state(spark, root, ["k"])
+        assert {(r.status, r.attempts): r["count"] for r in state.groupBy("status", "attempts").count().collect()} == want
+        J.compact_state(spark, root, ["k"])
 
 
 def test_log_tail_does_not_depend_on_batches(spark, tmp_path):
@@ -120,11 +142,60 @@ def test_results_flush_per_batch(spark, calls, tmp_path):
     assert sums.a == rows.filter("(place_id = 'k0' and attempts = 3) or (place_id = 'k1' and attempts = 1)").count()
 
 
-def test_snapshots_keep_a_few_versions(spark, tmp_path):
+def test_a_reader_keeps_its_version(spark, tmp_path):
     root = str(tmp_path / "t")
-    for n in range(1, 8):
+    assert O.snapshot_version(spark, root) == 0
+    assert O.write_snapshot(spark.range(3), root) == 1
+    reader = O.read_snapshot(spark, root)
+    for n in range(2, 7):
         # the next version is made from the one before
-        rows = spark.range(n) if n == 1 else O.read_snapshot(spark, root).union(spark.range(1))
-        assert O.write_snapshot(rows, root) == n
-        assert O.read_snapshot(spark, root).count() == n
-    assert len(list((tmp_path / "t").iterdir())) == O.SNAPSHOTS + 1
+        assert O.update_snapshot(spark, root, lambda old: old.union(spark.range(1))) == n
+        assert O.read_snapshot(spark, root).count() == n + 2
+    assert reader.count() == 3 and O.read_snapshot(spark, root, 2).count() == 4
+
+
+def test_of_two_writers_one_retries(spark, tmp_path):
+    root, calls = str(tmp_path / "t"), []
+    O.write_snapshot(spark.range(3), root)
+
+    def change(old):
+        # another writer comes first while this one is at work
+        if not calls:
+            calls.append(O.write_snapshot(old.union(spark.range(10)), root, 1))
+        return old.union(spark.range(1))
+
+    assert O.update_snapshot(spark, root, change) == 3 and calls == [2]
+    assert O.read_snapshot(spark, root).count() == 14
+    with pytest.raises(O.VersionConflict):
+        O.write_snapshot(spark.range(1), root, 2)
+    assert O.read_snapshot(spark, root).count() == 14
+
+
+def test_a_version_offered_twice_is_withdrawn_by_who_sees_it(spark, tmp_path, monkeypatch):
+    root, said = str(tmp_path / "t"), []
+    O.write_snapshot(spark.range(3), root)
+    say = O._say
+
+    def together(spark, root, version, data, kind):
+        # another offer of the same version lands just before this one
+        if kind == "offer" and not said:
+            spark.range(9).write.parquet(f"{root}/data-other")
+            said.append(say(spark, root, version, "data-other", "offer"))
+        say(spark, root, version, data, kind)
+
+    monkeypatch.setattr(O, "_say", together)
+    with pytest.raises(O.VersionConflict):
+        O.write_snapshot(spark.range(1), root)
+    assert O.snapshot_version(spark, root) == 2 and O.read_snapshot(spark, root).count() == 9
+    say(spark, root, 3, "a", "offer")
+    say(spark, root, 3, "b", "offer")  # not settled: not read
+    assert O.read_snapshot(spark, root).count() == 9
+    assert O.write_snapshot(spark.range(5), root) == 4 and O.read_snapshot(spark, root).count() == 5
+
+
+def test_old_versions_are_emptied_by_age(spark, tmp_path):
+    root = str(tmp_path / "t")
+    for n in range(1, 4):
+        O.write_snapshot(spark.range(1000 * n), root, keep=0.0)
+    counts = [O.read_snapshot(spark, root, n).count() for n in (1, 2, 3)]
+    assert counts == [0, 0, 3000]
