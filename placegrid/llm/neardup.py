@@ -23,6 +23,8 @@ often as they come, each with the class of its own text; other columns of the in
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -133,8 +135,8 @@ def _set_key(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, set_key (null for texts without a word) and the `bands` hashes of the sketch."""
+def sketched(docs: DataFrame, k: int, bands: int, rows: int, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text_key, what is carried, n_shingles, set_key (null for texts without a word) and the `bands` hashes of the sketch."""
     from placegrid.llm.common import texts
 
     t = bands * rows
@@ -158,7 +160,7 @@ def sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()),
               T.StructField("bands", T.ArrayType(T.LongType()))]
-    return add_columns(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), fields, start, drop=["text"])
+    return add_columns(docs.select("doc_id", F.xxhash64("text").alias("text_key"), *carry, "text"), fields, start, drop=["text"])
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -254,9 +256,13 @@ def classes(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_key (hash of the text), n_shingles, component_id (smallest id reachable), kept (doc_id = component_id)."""
-    table = stored(sketched(docs, k, bands, rows), "sketches")
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
+                    carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text_key (hash of the text), n_shingles, component_id (smallest id reachable), kept (doc_id = component_id).
+
+    Narrow columns named in `carry` are returned too.
+    """
+    table = stored(sketched(docs, k, bands, rows, carry), "sketches")
     reps = table.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     members = reps.select("rep", F.explode("bands").alias("band"))
@@ -284,5 +290,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
     of_set = stored(reps.select("set_key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "set_key", F.coalesce("label", "rep").alias("component")), "classes")
     return table.drop("bands").join(of_set, "set_key", "left").select(
-        "doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
+        "doc_id", "text_key", *carry, "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"))
