@@ -36,16 +36,10 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
-def _same(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of docs whose id and text (by its hash) are chosen; null ids compare as equal."""
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]) & (F.xxhash64(docs["text"]) == chosen["_key"]), "left_semi")
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _columns(docs)
-    judged = kneser_ney.judged(docs, table(spark, sf_dir, "labels"))
-    return _same(docs, judged.where("kept"))
+    # texts are stored with their scores and not moved
+    judged = kneser_ney.judged(_columns(docs), table(spark, sf_dir, "labels"), carry=COLUMNS)
+    return judged.where("kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +48,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _columns(docs)
-    classes = neardup.near_duplicates(docs, k=5)
-    # repeated rows of one id and text are copies too
-    return _same(docs, classes.where("kept")).dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    # the numbers of rows are stored, so that they are the same whenever they are read
+    rows = stored(_columns(docs).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    classes = neardup.near_duplicates(rows, k=5, carry=["_row"])
+    # repeated rows of one id and text are copies too: the first stays
+    first = classes.where("kept").groupBy("doc_id", "text_key").agg(F.min("_row").alias("_row")).select("_row")
+    return rows.join(first, "_row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
