@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from placegrid.session import scratch_path
 
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from placegrid.llm.common import add_columns, share, texts
 
 WINDOW = 10
+MIN_SPAN = 5  # words of the shortest span that is cut
 SHARD_WORDS = 500_000
 
 # Words are runs of ASCII letters and digits and of any character from U+0080 on; A-Z count as a-z.
@@ -204,22 +205,21 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, min_span: int = WINDOW, max_coverage: float = 0.5,
+def clean(docs: DataFrame, benchmark: DataFrame, min_span: int = MIN_SPAN, max_coverage: float = 0.5,
           window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """`docs` without the benchmark spans of `min_span` words or more, and without documents that are mostly benchmark.
+    """`docs` without benchmark spans of `min_span` words or more, and without documents that are mostly benchmark.
 
-    All spans of a document go once they cover more than `max_coverage` of its words; a document of which no word
-    is left is dropped. The text around a cut is joined as it stands; `n_chars`, where present, is counted again.
+    A document of which more than `max_coverage` of the words are hit is dropped, and so are its remains. Whole items
+    of fewer than `window` words are cut where they have `min_span` words; shorter ones are common phrases and only
+    count for the coverage. The text around a cut is joined as it stands; `n_chars`, where present, is counted again.
     """
     names = docs.columns
-    clash = [n for n in names if n.lower() in {"n_words", "hits", "items", "_cut", "_text"}]
-    if clash:
-        raise ValueError(f"columns {clash} are needed for the marks; rename them first")
-    found = mark(docs, benchmark, window, shard_words)
+    # under names of their own, so that no column of the input meets one of the marks
+    plain = docs.select(*[docs[n].alias("text" if n == "text" else f"c{i}") for i, n in enumerate(names)])
+    found = mark(plain, benchmark, window, shard_words)
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
-    covered = hit > F.lit(max_coverage) * F.col("n_words")
-    cut = F.when(covered, F.col("hits")).otherwise(F.filter("hits", lambda r: r["end"] - r["start"] >= min_span))
-    found = found.withColumn("_cut", cut).where((F.col("n_words") == 0) | (hit < F.col("n_words")))
+    cut = F.filter("hits", lambda r: r["end"] - r["start"] >= min_span)
+    found = found.withColumn("_cut", cut).where((F.col("n_words") == 0) | (hit <= F.lit(max_coverage) * F.col("n_words")))
 
     def start():
         def one(batch):
@@ -239,7 +239,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_span: int = WINDOW, max_cov
         return one
 
     done = add_columns(found, [T.StructField("_text", T.StringType())], start,
-                       drop=["text", "n_words", "hits", "items", "_cut"]).withColumnRenamed("_text", "text")
+                       drop=["text", "n_words", "hits", "items", "_cut"])
+    own = {n: F.col("_text" if n == "text" else f"c{i}") for i, n in enumerate(names)}
     if "n_chars" in names:
-        done = done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*names)
+        own["n_chars"] = F.char_length("_text").cast(docs.schema["n_chars"].dataType)
+    return done.select(*[c.alias(n) for n, c in own.items()])

@@ -95,14 +95,18 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def sample(docs: DataFrame, per_language: int, fold: Column) -> DataFrame:
-    """For each language and side of `fold` (to fit, to calibrate), at most `per_language` texts in order of a hash."""
+    """For each language and side of `fold` (to fit, to calibrate), the texts of at most `per_language` ids, by a hash.
+
+    An id counts once in a language, however many rows bear it; of several texts the least is taken.
+    """
     w = Window.partitionBy("lang", "fit").orderBy("h", "doc_id")
     picked = (
-        docs.select("doc_id", "lang", fold.alias("fit"), F.xxhash64(F.lit(7), "doc_id").alias("h"))
+        docs.select("doc_id", "lang", fold.alias("fit"), F.xxhash64(F.lit(7), "doc_id").alias("h")).distinct()
         .withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language).select("doc_id", "lang", "fit"))
     # stored, so that the planner knows how few they are and leaves the texts where they are
     picked = stored(picked, "picked")
-    return docs.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"]).select("doc_id", "lang", "fit", "text")
+    drawn = docs.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"])
+    return drawn.groupBy("doc_id", "lang", "fit").agg(F.min("text").alias("text"))
 
 
 class Model:

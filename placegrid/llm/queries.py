@@ -147,7 +147,7 @@ WITH x AS (
   SELECT source, count(*) AS total FROM documents GROUP BY source
 ), over AS (
   SELECT y.source, line FROM y JOIN t ON y.source IS NOT DISTINCT FROM t.source WHERE line <> ''
-  GROUP BY y.source, line, total HAVING count(DISTINCT rid) >= 5 AND count(DISTINCT rid) > total * 0.1
+  GROUP BY y.source, line, total HAVING count(DISTINCT rid) > (total + 20) * 0.1
 ), kept AS (
   SELECT rid, string_agg(raw, chr(10) ORDER BY i) FILTER (over.line IS NULL) AS text, count(over.line) AS n_dropped
   FROM y LEFT JOIN over ON y.source IS NOT DISTINCT FROM over.source AND y.line = over.line GROUP BY rid
@@ -222,7 +222,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
     # learned from remainders 0 and 1, temperature from 3; 2 is held out
     model = langid.train(docs.select("doc_id", "text", "lang").where(rest != 2), rest < 2)
-    return langid.predicted(docs.select("doc_id", (rest == 2).alias("held_out"), "text"), model)
+    return langid.predicted(docs.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "text"), model)
 
 
 @query()

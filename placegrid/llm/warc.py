@@ -161,6 +161,11 @@ class RecordReader:
         self.left -= len(part)
         self.sound &= self.digest.hexdigest() == digest and bytes(view[len(part):]) == (_END if last else b"")
 
+    def cut(self) -> tuple:
+        """The row of a record whose last chunk never came."""
+        self.sound = False
+        return self.row()
+
     def row(self) -> tuple:
         stated = self.fields["warc-payload-digest"].removeprefix("sha256:")
         number = lambda name: (x := self.fields.get(name, "").strip("<>").removeprefix(URN)) and int(x) or (0 if x else None)
@@ -172,7 +177,7 @@ class RecordReader:
 def read_archive(chunks: DataFrame) -> DataFrame:
     """One row per record of a chunk table; `whole` says that every chunk was there and every digest agreed.
 
-    Records of one chunk are read where they lie; only chunks of longer records are brought together, by record.
+    A record whose end is missing comes out as not whole. Records of one chunk are read where they lie; only chunks of longer records are brought together, by record.
     """
     bounded_batches(chunks.sparkSession)
     arrow = to_arrow_schema(RECORD_SCHEMA)
@@ -186,6 +191,8 @@ def read_archive(chunks: DataFrame) -> DataFrame:
                        for n in ("archive", "copy", "chunk", "last", "data", "digest")]
             for archive, copy, chunk, last, data, digest in zip(*columns):
                 if chunk == 0:
+                    if reader is not None:
+                        out.append(reader.cut())
                     reader, at = RecordReader(data), (archive, copy, 0)
                 elif reader is None or at != (archive, copy, chunk):
                     raise ValueError(f"archive {archive}, record {copy}: chunk {chunk} has no predecessor")
@@ -196,6 +203,8 @@ def read_archive(chunks: DataFrame) -> DataFrame:
                     reader = None
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
+        if reader is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(reader.cut(), arrow.types)], schema=arrow)
 
     short = chunks.where(single).mapInArrow(run, RECORD_SCHEMA)
     long = (chunks.where(~single).repartition("archive", "copy").sortWithinPartitions("archive", "copy", "chunk")

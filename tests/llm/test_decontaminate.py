@@ -64,6 +64,18 @@ def test_empty_tables(spark, odd, none):
     assert all(r.hits == [] for r in dc.mark(odd, bench.limit(0)).collect())
 
 
+def test_short_items_and_clashing_columns_of_clean(spark):
+    bench = spark.createDataFrame([("s", "What is the seventh prime"), ("y", "Yes it is")], "item_id string, text string")
+    prose = " ".join(f"w{i}" for i in range(12))
+    docs = [(1, f"{prose} what is the seventh PRIME? {prose}", 1), (2, f"{prose} yes it is {prose}", 2), (3, f"What is the seventh prime {prose[:5]}", 3),
+            (4, "yes, it is", 4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, hits int").withColumnsRenamed({"hits": "Hits"})
+    out = dc.clean(df, bench)
+    assert out.columns == ["doc_id", "text", "Hits"]
+    # 1: the whole item is cut; 2: a phrase of three words stays; 3 and 4 are mostly benchmark
+    assert {r.doc_id: (r.text, r.Hits) for r in out.collect()} == {1: (f"{prose} ? {prose}", 1), 2: (docs[1][1], 2)}
+
+
 def test_spans_are_cut_and_covered_documents_go(spark):
     bench = spark.createDataFrame([("i", "a b c d e f g h i j k")], "item_id string, text string")
     clean = " ".join(f"w{i}" for i in range(30))

@@ -56,6 +56,16 @@ def test_a_missing_chunk_is_an_error(spark):
         warc.read_archive(archive.where("chunk <> 1")).collect()
 
 
+@pytest.mark.parametrize("lost", [3, 2])
+def test_a_record_without_its_end_is_not_whole(spark, lost):
+    pages = spark.createDataFrame([(1, "u", "a" * 400), (2, "v", "b" * 400)], "page_id long, url string, html string").coalesce(1)
+    archive = warc.write_archive(pages, chunk_bytes=100)
+    cut = archive.where((F.col("record_id") != 1) | (F.col("chunk") < lost))
+    assert sorted((r.record_id, r.whole) for r in warc.read_archive(cut).collect()) == [(1, False), (2, True)]
+    cut = archive.where((F.col("record_id") != 2) | (F.col("chunk") < lost))
+    assert sorted((r.record_id, r.whole) for r in warc.read_archive(cut).collect()) == [(1, True), (2, False)]
+
+
 def test_empty_table(spark):
     assert warc.read_archive(warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
