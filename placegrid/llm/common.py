@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Callable, Sequence
 
@@ -44,6 +45,15 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[df[df.columns[i]] for i in kept])
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, and what one took adds up with the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def add_columns(
     df: DataFrame, fields: Sequence[T.StructField], start: Callable[[], Callable[[pa.RecordBatch], list]],
     drop: Sequence[str] = (),
@@ -70,6 +80,8 @@ def add_columns(
                    for a, k in zip(made(batch), kinds, strict=True)]
             old = [batch.column(batch.schema.get_field_index(n)) for n in keep]
             yield pa.RecordBatch.from_arrays(old + new, names=[f.name for f in schema.fields])
+        made = new = old = batch = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 

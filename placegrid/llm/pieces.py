@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 from placegrid.llm.common import add_columns, texts
 
 SPACE = "▁"
-MEMO, MEMO_CHARS = 400_000, 48  # entries in each of two generations, and the longest text kept
+MEMO, MEMO_CHARS = 300_000, 48  # entries in each of two generations, and the longest text kept
+PAIRS = 200_000  # pairs of pieces whose compatibility is remembered
 # piece kinds of the model message
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -73,7 +74,7 @@ class Pieces:
         self.score = {p: self.pieces[i][1] for p, i in self.id_of.items()}
         self.byte_id = {int(p[1:-1], 16): i for i, (p, _, k) in enumerate(self.pieces) if k == BYTE}
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id_of)
-        self.cuts = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if not crossing else re.compile("(?s).+")
+        self.cuts = re.compile("(?s) +[^ ]*|[^ ]+") if not crossing else re.compile("(?s).+")
         self.matches = ahocorasick.Automaton()
         for p, i in self.id_of.items():
             if self._merge(p) == [p]:  # other pieces never come out of the merging
@@ -102,13 +103,14 @@ class Pieces:
     def _fits(self, left: int, right: int) -> bool:
         """Whether merging the text of two tokens gives back the two; remembered."""
         a, b = self.pieces[left][0], self.pieces[right][0]
-        if len(self.compatible) >= 2 * MEMO:
+        if len(self.compatible) >= PAIRS:
             self.compatible.clear()
         fits = self.compatible[left, right] = self._merge(a + b) == [a, b]
         return fits
 
     def _cut_ids(self, text: str) -> list[int]:
         """Ids of one cut: fill the table of last tokens forwards, read it backwards."""
+        text = text.replace(" ", SPACE)
         n, known, fits = len(text), self.compatible, self._fits
         last, size = [-1] * n, [1] * n  # per prefix: id of its last token (-1: an unknown character) and its length
         for end, (length, piece) in self.matches.iter(text):
@@ -130,9 +132,11 @@ class Pieces:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        text = text.replace(" ", SPACE)
+        # cuts keep their plain spaces until they are looked at, so that most of those remembered take a byte a character
+        if SPACE in text:
+            text = text.replace(SPACE, " ")
         if self.settings["prefix"]:
-            text = SPACE + text
+            text = " " + text
         return list(chain.from_iterable(map(self.memo.__getitem__, self.cuts.findall(text))))
 
     def decode(self, ids: Sequence[int]) -> str:
