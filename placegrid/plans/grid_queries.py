@@ -16,9 +16,11 @@ SIZE = 1000.0
 # A concave five-sided ring, and a triangle east of it, in degrees times `k`.
 RING = ((0.0, 0.0), (0.005, 0.03), (0.03, 0.025), (0.014, 0.012), (0.028, 0.004))
 EAST = ((0.002, 0.06), (0.011, 0.08), (0.021, 0.065))
+# A ring that crosses itself.
+BOW = ((0.002, 0.06), (0.021, 0.08), (0.021, 0.065), (0.004, 0.079))
 
 
-def boundaries(t):
+def boundaries(t, second=EAST):
     def ring(points) -> Column:
         return F.array(
             *[
@@ -30,7 +32,7 @@ def boundaries(t):
             ]
         )
 
-    rings = F.when(F.col("two"), F.array(ring(RING), ring(EAST))).otherwise(F.array(ring(RING)))
+    rings = F.when(F.col("two"), F.array(ring(RING), ring(second))).otherwise(F.array(ring(RING)))
     return t.boundary.select("boundary_id", rings.alias("rings"))
 
 
@@ -158,6 +160,23 @@ def rings_valid(t):
     return G.rings_valid(boundaries(t))
 
 
+# Every edge against every other one of its ring.
+@query("J6", f"""
+WITH points AS ({_ring_rows(RING, 0, '')} UNION ALL {_ring_rows(BOW, 1, ' WHERE two')}),
+e AS (SELECT boundary_id, ring, pos, lng AS x1, lat AS y1, count(*) OVER (PARTITION BY boundary_id, ring) AS n,
+    coalesce(lead(lng) OVER w, first_value(lng) OVER w) AS x2, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS y2
+  FROM points WINDOW w AS (PARTITION BY boundary_id, ring ORDER BY pos)),
+t AS (SELECT a.boundary_id, a.ring,
+    sign((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) * sign((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) AS p,
+    sign((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) * sign((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) AS q
+  FROM e a JOIN e b ON a.boundary_id = b.boundary_id AND a.ring = b.ring AND b.pos - a.pos BETWEEN 2 AND a.n - 2),
+bad AS (SELECT DISTINCT boundary_id FROM t WHERE p < 0 AND q < 0)
+SELECT boundary_id, CASE WHEN two THEN CAST(2 AS BIGINT) ELSE 1 END AS rings, CASE WHEN two THEN CAST(4 AS BIGINT) ELSE 5 END AS fewest_points,
+  boundary_id NOT IN (SELECT boundary_id FROM bad) AS valid FROM v_boundary""")
+def crossed_rings(t):
+    return G.rings_valid(boundaries(t, BOW))
+
+
 @query("J1", f"""WITH {_POINTS}
 SELECT boundary_id, epsg, round(clat, 6) AS centroid_lat, round(clng, 6) AS centroid_lng FROM zones""")
 def utm_zones(t):

@@ -210,7 +210,13 @@ def stream_results(
         spark = batch.sparkSession
         merged = merge_results(state(spark), batch).withColumn("batch", F.lit(batch_id))
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("accepted", "batch").parquet(out)
-        written = spark.read.parquet(out).filter(F.col("batch") == batch_id).withColumn("accepted", F.col("accepted").cast("boolean"))
+        try:  # of all that was flushed, only this batch's folders are listed
+            written = spark.read.option("basePath", out).parquet(f"{out}/accepted=*/batch={batch_id}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return  # an empty batch
+        written = written.withColumn("accepted", F.col("accepted").cast("boolean"))
         flush_totals(written, ["batch"]).drop("batch").write.mode("overwrite").parquet(f"{totals}/batch_id={batch_id}")
 
     return each_batch(results, checkpoint, apply, every)

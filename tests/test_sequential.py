@@ -1,10 +1,12 @@
 """Window forms against plain loops over random groups."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from placegrid.operators import discovery as C
+from placegrid.operators import grid as Z
 from placegrid.operators import keys as K
 from placegrid.operators import media as G
 from placegrid.operators import monitor as M
@@ -151,3 +153,44 @@ def test_bounded_tail_limits(spark):
     long = events.withColumn("msg", F.repeat(F.lit("é"), 3000))
     row = M.bounded_tail(long, ["id"]).agg(F.count("*").alias("n"), F.max(F.length("msg")).alias("l")).first()
     assert row.l == 2003 and 60 < row.n < 70
+
+
+def test_rings_that_cross_themselves(spark):
+    """Random rings against every pair of their edges, on a coarse lattice so that touches and spikes come up."""
+    rng, rows, want = random.Random(21), [], {}
+
+    def side(p, q, r):
+        v = (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+        return (v > 0) - (v < 0)
+
+    def crossed(ring):
+        ring = [p for p, q in zip(ring, ring[1:] + ring[:1]) if p != q]
+        es = list(zip(ring, ring[1:] + ring[:1]))
+        for i, (a, b) in enumerate(es):
+            for j in range(i + 1, len(es)):
+                c, d = es[j]
+                if j - i == 1 or j - i == len(es) - 1:
+                    flat = side(a, b, c) == 0 and side(a, b, d) == 0
+                    if flat and (b[0] - a[0]) * (d[0] - c[0]) + (b[1] - a[1]) * (d[1] - c[1]) < 0:
+                        return True
+                elif side(a, b, c) * side(a, b, d) <= 0 and side(c, d, a) * side(c, d, b) <= 0 and all(
+                        max(a[k], b[k]) >= min(c[k], d[k]) and max(c[k], d[k]) >= min(a[k], b[k]) for k in (0, 1)):
+                    return True
+        return False
+
+    for b in range(220):
+        size = rng.choice([3, 4, 5, 6, 60])
+        ring = [(float(rng.randrange(12)), float(rng.randrange(12))) for _ in range(size)]
+        if size == 60:  # around a centre, so that it is simple as often as not
+            ring = [(64 + round(50 * math.cos(a / 60 * 6.28)), 64 + round(50 * math.sin(a / 60 * 6.28))) for a in range(60)]
+            if b % 2:
+                ring[7], ring[30] = ring[30], ring[7]
+        if b % 3 == 0:
+            ring.append(ring[0])  # closed
+        rows.append((str(b), [[(float(x), float(y)) for x, y in ring]]))
+        want[str(b)] = len(ring) >= 3 and not crossed([(y, x) for x, y in ring])
+    rows += [("none", []), ("short", [[(0.0, 0.0), (1.0, 1.0)]])]
+    want |= {"none": False, "short": False}
+    df = spark.createDataFrame(rows, "boundary_id string, rings array<array<struct<lat:double,lng:double>>>")
+    got = {r.boundary_id: r.valid for r in Z.rings_valid(df).collect()}
+    assert got == want and 40 < sum(want.values()) < 180
