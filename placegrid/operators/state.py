@@ -121,7 +121,11 @@ def image_work(listings: DataFrame, enabled: bool = True) -> DataFrame:
 
 def repair_done(state: DataFrame, listings: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """Resumable ids that are already in the output become done."""
-    seen = distinct_ids(listings).withColumn("_seen", F.lit(True))
+    return repair_seen(state, distinct_ids(listings).withColumn("_seen", F.lit(True)), max_attempts)
+
+
+def repair_seen(state: DataFrame, seen: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """The same from distinct ids marked `_seen`."""
     due = F.col("status").isin(*RESUMABLE) & (attempts_of() < max_attempts) & F.col("_seen")
     return (
         state.join(seen, "place_id", "left")

@@ -11,6 +11,7 @@ from placegrid.plans import (  # noqa: F401
     monitor_queries,
     panel_queries,
     state_queries,
+    store_queries,
     stream_queries,
 )
 from placegrid.plans.registry import QUERIES  # noqa: F401

@@ -14,9 +14,7 @@ from placegrid.functions.values import blank, strip
 from placegrid.operators.dedupe import distinct_ids
 
 SEQ = "_seq"
-
-
-_FILE_BITS = 44
+FILE_BITS = 44
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -29,6 +27,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def place_in_file() -> Column:
+    """A number that grows with the rows of a file; only in the stage that reads the file."""
+    ordinal = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.col("_metadata.file_block_start") + ordinal
+
+
 def in_file_order(rows: DataFrame) -> DataFrame:
     """`rows` of a file read with `_seq`: by the time a file was written, its name, and the place in it.
 
@@ -37,15 +41,14 @@ def in_file_order(rows: DataFrame) -> DataFrame:
     the start of its block plus its number in the task (a block that is not a file's last
     fills its task, and a row takes a byte at least, so numbers of blocks do not cross).
     """
-    ordinal = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = rows.select(
         "*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_modification_time").alias("_time"),
-        (F.col("_metadata.file_block_start") + ordinal).alias("_place"))
+        place_in_file().alias("_place"))
     files = placed.select("_path", "_time").distinct()
     # one row per file
     numbered = files.withColumn("_file", F.row_number().over(Window.orderBy("_time", "_path")).cast("bigint")).drop("_time")
     return placed.join(numbered, "_path").withColumn(
-        SEQ, F.shiftleft("_file", _FILE_BITS) + F.col("_place")).drop("_path", "_time", "_file", "_place")
+        SEQ, F.shiftleft("_file", FILE_BITS) + F.col("_place")).drop("_path", "_time", "_file", "_place")
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
