@@ -61,6 +61,60 @@ def stream_rates(events: DataFrame, key: str, event_time: str, lateness: str = "
     )
 
 
+def stream_rate_table(
+    events: DataFrame, key: str, event_time: str, root: str, checkpoint: str, lateness: str = "10 seconds", every: str | None = RESULTS_EVERY,
+) -> StreamingQuery:
+    """The same kept up in a table that `current_rates` reads: windows that are still open, and so the last ones, are in it.
+
+    Windows behind the watermark leave the state store; what reaches them later is not counted but is among `stream_late`.
+    """
+    window = F.window(event_time, RATE_WINDOW, RATE_SLIDE)
+    return stream_upserts(events.withWatermark(event_time, lateness), {"completions": F.count(F.lit(1))}, root, checkpoint, [key, window], every)
+
+
+def current_rates(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """Completions per second of every window so far, in the columns of `stream_rates`."""
+    return current_state(spark, root, [key, "window"]).select(
+        key, F.col("window.start").alias("window_start"), "completions", (F.col("completions") / 60.0).alias("rate"))
+
+
+def stream_late(
+    events: DataFrame, event_time: str, out: str, checkpoint: str, lateness: str = "10 seconds", every: str | None = RESULTS_EVERY
+) -> StreamingQuery:
+    """Rows that came after the watermark had passed a window of theirs, with that watermark and `windows_lost`.
+
+    `out/rows` gets them per batch; `out/marks` a row per batch with its newest event time: the watermark is the newest
+    time of earlier batches less the lateness. Spark's aggregation lets go of windows a batch later, so the rates may
+    still have counted a row that came in the very next batch. Take the same files per batch as the rates do.
+    """
+    slide, width = (F.expr(f"INTERVAL {w}") for w in (RATE_SLIDE, RATE_WINDOW))
+    delay = F.expr(f"INTERVAL {lateness}")
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        try:
+            marks = spark.read.schema("newest timestamp, batch bigint").parquet(f"{out}/marks")
+            newest = marks.filter(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            newest = None
+        at = F.col(event_time)
+        batch.agg(F.max(at).alias("newest")).write.mode("overwrite").parquet(f"{out}/marks/batch={batch_id}")
+        mark = F.timestamp_millis(F.unix_millis(F.lit(newest).cast("timestamp"))) - delay
+        first = F.window(at, RATE_SLIDE)["end"]  # of the earliest window that holds the row
+        lost = F.least(F.floor((F.unix_micros("watermark") - F.unix_micros("_first")) / _micros(slide)) + 1, _micros(width) / _micros(slide))
+        late = batch.withColumns({"watermark": mark, "_first": first}).filter("_first <= watermark")
+        late.withColumn("windows_lost", lost.cast("int")).drop("_first").write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+
+    return each_batch(events, checkpoint, apply, every)
+
+
+def _micros(interval: Column) -> Column:
+    epoch = F.timestamp_seconds(F.lit(0))
+    return F.unix_micros(epoch + interval)
+
+
 def each_batch(
     stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None],
     every: str | None = None,
@@ -97,7 +151,7 @@ def _stamped(state: DataFrame, checkpoint: str, batch_id: int) -> DataFrame:
 
 
 def stream_upserts(
-    updates: DataFrame, columns: dict[str, Column], root: str, checkpoint: str, key: Sequence[str],
+    updates: DataFrame, columns: dict[str, Column], root: str, checkpoint: str, key: Sequence[str | Column],
     every: str | None = STATE_EVERY,
 ) -> StreamingQuery:
     """Keyed state in Spark's state store; every batch writes the keys that it changed to `root`, and only these.
