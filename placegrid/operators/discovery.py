@@ -26,12 +26,18 @@ MAX_ROUNDS = 8
 CALL = ("cell_id", "query", "attempt")
 
 
-def plan_work(cells: DataFrame, queries: Sequence[str], done: DataFrame) -> DataFrame:
-    """Every (cell, query) pair not done yet; `pos` keeps the order of the queries."""
-    wanted = F.posexplode(F.array(*[F.lit(q) for q in queries])).alias("pos", "query")
-    return cells.select("*", wanted).join(
-        done.select("cell_id", "query").distinct(), ["cell_id", "query"], "left_anti"
-    )
+def plan_work(cells: DataFrame, queries: Sequence[str] | DataFrame, done: DataFrame) -> DataFrame:
+    """Every (cell, query) pair not done yet; `pos` keeps the order of the queries.
+
+    The queries of a run are a list, or a table of `pos` and `query` that is gathered into one array.
+    """
+    if isinstance(queries, DataFrame):
+        listed = queries.select(F.col("pos").cast("int").alias("pos"), "query").distinct().agg(
+            F.array_sort(F.collect_list(F.struct("pos", "query"))).alias("q")).scalar()
+        wanted = cells.withColumn("_queries", listed).select(*cells.columns, F.inline("_queries"))
+    else:
+        wanted = cells.select("*", F.posexplode(F.array(*[F.lit(q) for q in queries])).alias("pos", "query"))
+    return wanted.join(done.select("cell_id", "query").distinct(), ["cell_id", "query"], "left_anti")
 
 
 def search_requests(

@@ -21,6 +21,7 @@ ANOMALY = (
     r"(?i)\b429\b|rate.?limit|ratelimit|cooldown|retir|failed|crash|exception|exhausted|"
     r"fallback|phase2_disabled|threadpool_start"
 )
+# Fixed value: the format of a log line.
 LOG_LINE = r"(?sU)^([\d:.\- T]+)?\s*\[([A-Z]+)\]\s*(?:\[([^\]]*)\]\s*)?([\w.]+)?:?\s*(.*)$"
 RUN_DEFAULTS = {
     "osm_type": "relation",

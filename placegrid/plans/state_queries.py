@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from placegrid.operators import discovery as C
@@ -47,6 +48,20 @@ def plan_work(t):
     return C.plan_work(cells, QUERIES_ASKED, S.done_cells(t.state_cells))
 
 
+@query("D1", """
+WITH done AS (SELECT DISTINCT cell_id, query FROM v_state_cells WHERE status = 'done'),
+cells AS (SELECT DISTINCT cell_id FROM v_state_cells WHERE cell_id <> ''),
+asked AS (SELECT min(seq) AS first, query FROM v_state_cells GROUP BY query)
+SELECT c.cell_id, q.query, CAST(q.pos AS INTEGER) AS pos FROM cells c, (SELECT query, row_number() OVER (ORDER BY first) - 1 AS pos FROM asked) q
+WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.cell_id = c.cell_id AND d.query = q.query)""")
+def plan_work_of_table(t):
+    """The queries are those that the state names, in the order in which they first came."""
+    cells = t.state_cells.filter("cell_id <> ''").select("cell_id").distinct()
+    asked = t.state_cells.groupBy("query").agg(F.min("seq").alias("first"))
+    queries = asked.select((F.row_number().over(Window.orderBy("first")) - 1).alias("pos"), "query")  # a row per query
+    return C.plan_work(cells, queries, S.done_cells(t.state_cells))
+
+
 @query("E3", f"""
 SELECT cell_id, arg_max(status, k) AS status, arg_max(n, k) AS place_count
 FROM (SELECT cell_id, coalesce(nullif(status, ''), 'pending') AS status, {_COUNT} AS n,

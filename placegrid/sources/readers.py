@@ -192,13 +192,19 @@ def read_grid_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_usage_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """day, alias and calls of {day: {alias: n}} documents: one per file over any lines, or one per line, added up."""
-    text = spark.read.text(path, wholetext=True)
-    lines = F.filter(F.split("value", r"\R"), lambda x: F.btrim(x) != "")
-    per_line = F.transform(lines, lambda x: F.from_json(x, S.USAGE_LEDGER))
-    whole = F.array(F.from_json("value", S.USAGE_LEDGER))
-    documents = F.when(F.forall(per_line, lambda m: m.isNotNull()), per_line).otherwise(whole)
-    days = text.select(F.explode(documents).alias("ledger")).select(F.explode("ledger").alias("day", "m"))
+    """day, alias and calls of {day: {alias: n}} documents: one per line, or one per file over several lines, added up.
+
+    Files are read by line. Only those with a line that is no document by itself are read whole: their names come to
+    the driver, and each must fit a task.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(F.btrim("value") != "")
+    parsed = lines.select("file", F.from_json("value", S.USAGE_LEDGER).alias("ledger"))
+    spread = [r.file for r in parsed.filter("ledger IS NULL").select("file").distinct().collect()]
+    documents = parsed.filter(~F.col("file").isin(spread)).select("ledger")
+    if spread:
+        whole = spark.read.text(spread, wholetext=True)
+        documents = documents.unionByName(whole.select(F.from_json("value", S.USAGE_LEDGER).alias("ledger")))
+    days = documents.select(F.explode("ledger").alias("day", "m"))
     return days.select("day", F.explode("m").alias("alias", "calls")).groupBy("day", "alias").agg(F.sum("calls").alias("calls"))
 
 

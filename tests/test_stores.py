@@ -201,3 +201,13 @@ def test_an_idle_key_is_released(spark, tmp_path):
     got = [(r.alias, r.s) for r in spark.read.parquet(out).select("alias", F.unix_seconds("released_at").alias("s")).collect()]
     assert sorted(got, key=repr) == sorted(
         [("idle", 50), (None, 36), ("busy", 60), ("late", 63), ("late", 122), ("busy", 131), ("idle", 131)], key=repr)
+
+
+def test_ledger_files_of_lines_and_of_whole_documents(spark, tmp_path):
+    (tmp_path / "lines.json").write_text('{"2024-01-01": {"a": 2}}\n\n{"2024-01-01": {"a": 1, "b": 4}}\n')
+    (tmp_path / "whole.json").write_text('{\n  "2024-01-01": {\n    "a": 10\n  },\n  "2024-01-02": {"c": 5}\n}\n')
+    (tmp_path / "broken.json").write_text('{"2024-01-01": {"a": ')
+    got = R.read_usage_ledger(spark, str(tmp_path))
+    assert rows_of(got.select("day", "alias", "calls")) == [("2024-01-01", "a", 13), ("2024-01-01", "b", 4), ("2024-01-02", "c", 5)]
+    lines = R.read_usage_ledger(spark, str(tmp_path / "lines.json"))
+    assert "wholetext" not in lines._jdf.queryExecution().analyzed().toString().lower() and lines.count() == 2
