@@ -216,15 +216,24 @@ class Boosted:
 
     @staticmethod
     def _thresholds(x, p, pos, neg) -> list[float]:
-        """By kind, the lowest probability down to which the share of positives stays above PRECISION (2: none)."""
-        out = []
+        """By kind, the lowest probability down to which the share of positives stays above PRECISION (2: none).
+
+        A kind's share is shrunk towards that of all kinds at the same probability, which weighs as much as
+        1 / (1 - PRECISION) labels, so a kind with few labels is judged by the others and one with many by its own.
+        All kinds together start with one negative.
+        """
+        order = np.argsort(-p, kind="stable")
+        good, all_ = np.cumsum(pos[order]), np.cumsum((pos + neg)[order]) + 1
+        upto = np.searchsorted(-p[order], -p, side="right") - 1  # the last cell of at least this probability
+        pooled = good[upto] / all_[upto]
+        weight, out = 1 / (1 - PRECISION), []
         for k in range(len(KINDS)):
-            at = np.flatnonzero(x[:, 0] == k) if len(x) else np.array([], int)
-            best, good, bad = 2.0, 0.0, 1.0
-            for i in sorted(at, key=lambda i: -p[i]):
-                good, bad = good + pos[i], bad + neg[i]
-                if good / (good + bad) >= PRECISION:
-                    best = float(p[i])
+            best, good, bad = 2.0, 0.0, 0.0
+            for i in order:
+                if x[i, 0] == k:
+                    good, bad = good + pos[i], bad + neg[i]
+                    if (good + weight * pooled[i]) / (good + bad + weight) >= PRECISION:
+                        best = float(p[i])
             out.append(max(best, 0.5))
         return out
 

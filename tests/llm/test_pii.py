@@ -67,6 +67,18 @@ def test_trees_learn_and_calibrate():
     assert not nothing.fit_ok and min(nothing.thresholds) > 1
 
 
+def test_a_kind_with_few_labels_is_judged_by_the_others():
+    x = np.array([[k, f, 0, 0, 0, 0, 0] for k in range(4) for f in (0, 1)])
+    p = np.tile([0.01, 0.99], 4)
+    few, many = np.array([0, 3]), np.array([0, 400])
+    told = lambda pos, neg: pii.Boosted._thresholds(x, p, np.concatenate(pos), np.concatenate(neg))
+    none, bad = np.array([0, 0]), np.array([900, 0])
+    assert told([many, few, few, few], [bad] * 4) == [0.99] * 4
+    assert told([few] * 4, [bad] * 4) == [2.0] * 4  # twelve positives cannot show 0.98
+    assert told([many, few, many, many], [bad, np.array([0, 2]), bad, bad]) == [0.99, 2.0, 0.99, 0.99]
+    assert told([none] * 4, [bad] * 4) == [2.0] * 4
+
+
 def test_selected_spans_are_added(spark):
     rows = [(i, f"write to joe{i}@mail{i}.example.com today") for i in range(60)] + [(100 + i, f"on 12-34-{10 + i} or 2024-01-{10 + i}") for i in range(60)]
     rows += [(999, "write to ann(at)mail(dot)example(dot)com today")]
