@@ -18,9 +18,11 @@ RING = ((0.0, 0.0), (0.005, 0.03), (0.03, 0.025), (0.014, 0.012), (0.028, 0.004)
 EAST = ((0.002, 0.06), (0.011, 0.08), (0.021, 0.065))
 # A ring that crosses itself.
 BOW = ((0.002, 0.06), (0.021, 0.08), (0.021, 0.065), (0.004, 0.079))
+# Two rectangles that overlap: south, west, north, east; no centre on half a millionth of a degree.
+PLOTS = ((0.0, 0.0, 0.0203173, 0.0307291), (0.0101377, 0.0113719, 0.0517437, 0.0811913))
 
 
-def boundaries(t, second=EAST):
+def boundaries(t, second=EAST, first=RING):
     def ring(points) -> Column:
         return F.array(
             *[
@@ -32,7 +34,7 @@ def boundaries(t, second=EAST):
             ]
         )
 
-    rings = F.when(F.col("two"), F.array(ring(RING), ring(second))).otherwise(F.array(ring(RING)))
+    rings = F.when(F.col("two"), F.array(ring(first), ring(second))).otherwise(F.array(ring(first)))
     return t.boundary.select("boundary_id", rings.alias("rings"))
 
 
@@ -144,9 +146,8 @@ _BOX_SQL = """round(centroid_lat, 6) AS centroid_lat, round(centroid_lon, 6) AS
   round(s, 6) AS bbox_south, round(e, 6) AS bbox_east, round(w, 6) AS bbox_west"""
 
 
-def _projected(t):
-    rows = G.edges(boundaries(t))
-    return G.project_edges(rows, G.zones(rows))
+def _projected(t, second=EAST):
+    return G.projected_edges(boundaries(t, second))
 
 
 def _grid(t):
@@ -177,6 +178,48 @@ def crossed_rings(t):
     return G.rings_valid(boundaries(t, BOW))
 
 
+def _lobes(points) -> tuple:
+    """The two triangles of a ring of four points whose first and third side cross."""
+    (ay, ax), (by, bx), (cy, cx), (dy, dx) = points
+    t = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / ((bx - ax) * (dy - cy) - (by - ay) * (dx - cx))
+    middle = (ay + t * (by - ay), ax + t * (bx - ax))
+    return (points[0], middle, points[3]), (middle, points[1], points[2])
+
+
+# The ring cut at its crossing: two simple rings in its place.
+_CUT = " UNION ALL ".join(_ring_rows(lobe, i, " WHERE two") for i, lobe in enumerate(_lobes(BOW), 1))
+_CUT_HITS = _HITS.replace(_ring_rows(EAST, 1, " WHERE two"), _CUT)
+
+
+@query("J6 H6", f"WITH {_CUT_HITS} SELECT boundary_id, ix, iy FROM hits")
+def repaired_cells(t):
+    projected = _projected(t, BOW)
+    return G.cells_in_boundary(projected, G.grid_bounds(projected, SIZE), SIZE)
+
+
+def _plots_sql() -> str:
+    """Sums of both rectangles less their common part, which is a rectangle too."""
+    (s1, w1, n1, e1), (s2, w2, n2, e2) = PLOTS
+    common = (max(s1, s2), max(w1, w2), min(n1, n2), min(e1, e2))
+    parts = [(*PLOTS[0], 1), (*PLOTS[1], 1), (*common, -1)]
+    area = [(n - s) * (e - w) * sign for s, w, n, e, sign in parts]
+    lat = sum(a * (s + n) / 2 for a, (s, w, n, e, _) in zip(area, parts)) / sum(area)
+    lng = sum(a * (w + e) / 2 for a, (s, w, n, e, _) in zip(area, parts)) / sum(area)
+    return f"""WITH c AS (SELECT boundary_id, clat + k * CASE WHEN two THEN {lat!r} ELSE {(s1 + n1) / 2!r} END::DOUBLE AS lat,
+    clng + k * CASE WHEN two THEN {lng!r} ELSE {(w1 + e1) / 2!r} END::DOUBLE AS lng FROM v_boundary)
+SELECT boundary_id, CAST(CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + CAST(floor((lng + 180) / 6) AS INTEGER) % 60 + 1 AS INTEGER) AS epsg,
+  round(lat, 6) AS centroid_lat, round(lng, 6) AS centroid_lng FROM c"""
+
+
+@query("H6 J1", _plots_sql())
+def union_zones(t):
+    first, second = (((s, w), (n, w), (n, e), (s, e)) for s, w, n, e in PLOTS)
+    zones = G.zones(G.edges(boundaries(t, second, first)))
+    return zones.select(
+        "boundary_id", "epsg", F.round("centroid_lat", 6).alias("centroid_lat"), F.round("centroid_lng", 6).alias("centroid_lng")
+    )
+
+
 @query("J1", f"""WITH {_POINTS}
 SELECT boundary_id, epsg, round(clat, 6) AS centroid_lat, round(clng, 6) AS centroid_lng FROM zones""")
 def utm_zones(t):
