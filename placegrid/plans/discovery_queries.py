@@ -11,6 +11,7 @@ from placegrid.operators import discovery as C
 from placegrid.operators.dedupe import anti_known, first_seen, with_id
 from placegrid.operators.state import latest_cells
 from placegrid.plans.registry import query
+from placegrid.session import stored
 from placegrid.plans.views import LINE_ORDER
 
 ORDER = ", ".join(LINE_ORDER)
@@ -117,7 +118,8 @@ FROM calls c LEFT JOIN counts n ON c.cell_id = n.cell_id AND c.query = n.query""
 
 @query("I24 F2 F17 E19", _CELL_RESULTS)
 def cell_results(t):
-    kept = C.paginate(_last(t))
+    # read twice: the pages are parsed and shuffled once
+    kept = stored(C.paginate(_last(t)), "pages")
     fresh = anti_known(first_seen(C.discovered_rows(kept), ["place_id"], ["cell_id", "query", "page", "pos"]), t.known)
     return C.cell_results(C.call_summary(kept), C.cell_place_counts(fresh))
 
