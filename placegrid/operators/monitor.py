@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from placegrid.functions.outcomes import eta, projected_remaining
 from placegrid.functions.values import blank, filled
-from placegrid.operators.ordered import even_chunks, join_same, previous, row_index, trailing
+from placegrid.operators.ordered import even_chunks, join_same, previous, row_index, trailing, trailing_count
 
 # Rate windows in seconds, log tail limits, log levels, the anomaly pattern and the log line format.
 RATE_WINDOW, RATE_MIN_SECONDS = 15, 3
@@ -104,8 +104,7 @@ def completion_rate_1m(
     chunk = _time_chunk(rows, chunk_seconds)
     counted = row_index(rows, [key], chunk, ["at", tie], "done")
     began = join_same(rows.groupBy(key).agg(F.min("at").alias("_began")), totals, [key])
-    wide, look_back, own = trailing(counted, [key], F.col("at"), COMPLETION_WINDOW * _MICROS)
-    recent = wide.withColumn("_n", F.count(F.lit(1)).over(look_back)).filter(own)
+    recent = trailing_count(counted, [key], F.col("at"), COMPLETION_WINDOW * _MICROS, "_n", rows)
     recent = join_same(recent, began, [key])
     elapsed = (F.col("at") - F.col("_began")) / _MICROS
     span = F.least(F.lit(float(COMPLETION_WINDOW)), F.greatest(F.lit(1.0), elapsed))

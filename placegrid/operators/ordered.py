@@ -131,3 +131,31 @@ def trailing(
         Window.partitionBy(*keys, F.col("_slot.b")).orderBy("_at").rangeBetween(-width, Window.currentRow)
     )
     return rows, look_back, F.col("_slot.own")
+
+
+def trailing_count(df: DataFrame, keys: Sequence[str], at: Column, width: int, out: str, times: DataFrame | None = None) -> DataFrame:
+    """How many rows of the key lie in the `width` before the whole number `at`, both ends and the row itself included.
+
+    A row counts from its time on and no longer once `width` has passed: a running sum over arrivals and ends, linear
+    and cut into even chunks, however many rows a window holds. Rows without a time count among themselves, twice each.
+    The chunks are even ones of `times`, rows with the same times that are cheaper to read, if given.
+    """
+    ends = (df if times is None else times).select(F.explode(F.array(at, at + width + 1)).alias("_t"))
+    chunk = even_chunks(ends, "_t")
+    steps = F.array(
+        F.struct(F.col("_at").alias("t"), F.lit(1).alias("d"), F.lit(True).alias("own")),
+        F.struct((F.col("_at") + width + 1).alias("t"), F.lit(-1).alias("d"), F.lit(False).alias("own")),
+    )
+    moved = df.withColumn("_at", at).select("*", F.explode(steps).alias("_step")).select("*", "_step.t", "_step.d", "_step.own")
+    rows = moved.drop("_step").withColumnsRenamed({"t": "_t", "d": "_d", "own": "_own"})
+    untimed = F.col("_t").isNull()
+    rows, inside = carried(
+        rows, keys, chunk, ["_t"],
+        {"_part": F.sum(F.when(~untimed, F.col("_d")))},
+        {"_carry": lambda w: F.coalesce(F.sum("_part").over(w), F.lit(0))},
+    )
+    # rows of one time share a chunk, so all of them are counted
+    so_far = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    alike = F.count_if(untimed).over(so_far)
+    count = F.col("_carry") + F.sum(F.when(~untimed, F.col("_d"))).over(so_far)
+    return rows.withColumn(out, F.when(untimed, alike).otherwise(count)).filter("_own").drop(CHUNK, "_carry", "_at", "_t", "_d", "_own")
