@@ -2,11 +2,12 @@
 
 `@name` is a base table; `@arr(…)`, `@struct(k = v; …)` and `@each(col; from; to)`
 stand for the array, struct and row-generating forms of the engine. `@spread(key)`
-spreads rows over the cores before each becomes many.
+spreads rows over the cores before each becomes many, as `SPREAD` does with a base table.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
+SPREAD = {"v_gallery": {"part": "p_partkey"}}
+SPREAD_ROWS = 20_000  # of them a task makes many rows, so its work stays the same however large the table
 LINE_ORDER = ("o1", "o2", "o3", "o4", "o5", "o6", "o7", "o8")
 _LINE_ORDER = """l_orderkey AS o1, l_linenumber AS o2, l_partkey AS o3, l_suppkey AS o4,
   l_extendedprice AS o5, l_shipdate AS o6, l_quantity AS o7, l_returnflag AS o8"""
@@ -264,17 +267,24 @@ def _structs(text: str, spark: bool) -> str:
     return text
 
 
-def _text(view: str, spark: bool) -> str:
+def _joined(m: re.Match) -> str:
+    """`@join` for Spark: literals at both ends of an element go into the separator, not into every element."""
+    n, i, element = m.groups()
+    before, middle, after = re.fullmatch(r"'([^']*)' \|\| (.*) \|\| '([^']*)'", element, re.S).groups()
+    made = f"array_join(transform(sequence(1, CAST({n} AS INT)), {i} -> {middle}), '{after},{before}')"
+    return f"CASE WHEN {n} > 0 THEN '{before}' || {made} || '{after}' ELSE '' END"
+
+
+def _text(view: str, spark: bool, tasks: int = 1) -> str:
     text = VIEWS[view]
     for token, form in (_SPARK if spark else _DUCK).items():
         text = text.replace(token, form)
     text = _structs(text, spark)
     if spark:
         text = _EACH.sub(r"LATERAL VIEW explode(sequence(\2, \3)) AS \1", text)
-        text = _JOIN.sub(
-            r"array_join(CASE WHEN \1 > 0 THEN transform(sequence(1, CAST(\1 AS INT)), \2 -> \3) ELSE array() END, ',')", text
-        )
-        text = re.sub(r"@spread\((\w+)\)", r"/*+ REPARTITION(\1) */", text)
+        text = _JOIN.sub(_joined, text)
+        many = f"{tasks}, " if tasks > 1 else ""
+        text = re.sub(r"@spread\((\w+)\)", rf"/*+ REPARTITION({many}\1) */", text)
         text = re.sub(r"@ms\((\w+)\)", r"timestamp_micros(unix_micros(CAST(\1 AS TIMESTAMP)) div 1000)", text)
         return _BASE.sub(r"pg_\1", text)
     text = _EACH.sub(r", unnest(range(\2, \3 + 1)) AS t_\1(\1)", text)
@@ -288,10 +298,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pieces(rows: DataFrame, size: int) -> int:
+    """How many pieces of about `size` rows the rows make, at least one. A table's rows are counted from its footers."""
+    return max(1, math.ceil(rows.count() / size))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tasks = 1
     for base in dict.fromkeys(_BASE.findall(VIEWS[name])):
-        table(spark, sf_dir, base).createOrReplaceTempView(f"pg_{base}")
-    return spark.sql(_text(name, spark=True))
+        rows = table(spark, sf_dir, base)
+        key = SPREAD.get(name, {}).get(base)
+        if key or "@spread(" in VIEWS[name]:
+            tasks = max(tasks, pieces(rows, SPREAD_ROWS))
+        if key and tasks > 1:
+            rows = rows.repartition(tasks, key)
+        rows.createOrReplaceTempView(f"pg_{base}")
+    return spark.sql(_text(name, spark=True, tasks=tasks))
 
 
 def with_views(body: str) -> str:
