@@ -74,21 +74,22 @@ def parse_pages(responses: DataFrame) -> DataFrame:
     """One row per response: its result count, its non-blank ids in order, whether more follow."""
     ok = F.col("status") == 200
     body = F.when(ok, F.from_json("body", SEARCH_BODY))
-    places = F.coalesce(F.col("_body.places"), F.array().cast("array<struct<id:string,name:string>>"))
+    ids = F.coalesce(F.col("_body.places.id"), F.array().cast("array<string>"))
     return responses.withColumn("_body", body).select(
         *CALL, "page", "status",
         is_auth_error("status", "body").alias("auth_failed"),
-        F.size(places).alias("results"),
-        F.filter(F.transform(places, lambda p: p["id"]), lambda i: i != "").alias("ids"),
+        F.size(ids).alias("results"),
+        F.filter(ids, lambda i: i != "").alias("ids"),
         F.coalesce(F.col("_body.nextPageToken") != "", F.lit(False)).alias("has_next"),
     )
 
 
 def page_ids(responses: DataFrame) -> DataFrame:
     """One row per (page, position, id)."""
+    # of an inner explode Spark would ask for non-empty ids first and parse every body once more for it
     return parse_pages(responses).select(
-        *CALL, "page", F.posexplode("ids").alias("pos", "place_id")
-    )
+        *CALL, "page", F.posexplode_outer("ids").alias("pos", "place_id")
+    ).filter("pos IS NOT NULL")
 
 
 def call_pages(responses: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def strings(columns) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-SEARCH_BODY = "places array<struct<id:string,name:string>>, nextPageToken string"
+SEARCH_BODY = "places array<struct<id:string>>, nextPageToken string"
 USAGE_LEDGER = "map<string,map<string,bigint>>"
 HEARTBEAT = (
     "event string, run_id string, ts timestamp, elapsed_s double, discovered bigint, "
