@@ -188,7 +188,7 @@ def page_snapshots(t):
 @query("A18", "SELECT cell_id, query, CAST(attempt AS INTEGER) AS attempt, CAST(page AS INTEGER) AS page, status, body FROM v_calls_pages")
 def search_page_file(t):
     path = _path(t, "search")
-    t.calls_pages.write.json(path)
+    t.calls_pages.write.json(path, compression="gzip")
     return R.read_search_pages(t.spark, path)
 
 
