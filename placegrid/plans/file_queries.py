@@ -270,8 +270,8 @@ SELECT lang, CAST(sum(1 + length(text) - length(replace(text, chr(10), ''))) AS
 def file_row_counts(t):
     """Physical lines less the header, by file."""
     path = _path(t, "rows")
-    # quoted, so that the line breaks of a text stay in the file as they are
-    t.base("documents").select("lang", "text").repartition("lang").write.partitionBy("lang").csv(path, header=True, escape='"')
+    # quoted, so that the line breaks of a text stay in the file as they are; every task writes a file per language
+    t.base("documents").select("lang", "text").write.partitionBy("lang").csv(path, header=True, escape='"')
     files = R.csv_row_counts(t.spark, f"{path}/*/*.csv")
     return files.groupBy(F.regexp_extract("file", "lang=([^/]+)", 1).alias("lang")).agg(F.sum("rows").alias("rows"))
 
