@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from placegrid.plans import key_queries, state_queries
 from placegrid.plans.registry import query
+from placegrid.plans.views import pieces
 from placegrid.session import scratch_path
 from placegrid.sources import writers as O
 from placegrid.streaming import jobs as J
@@ -17,12 +18,16 @@ def _stream(t, name: str):
     return J.stream_table(t.spark, t.sf_dir, f"{name}.parquet", files_per_batch=1)
 
 
-def _stream_of_files(t, table, files: int = 3):
-    """A table, or any rows, cut into files that come one in a micro-batch."""
+FILE_ROWS, TEXT_FILE_ROWS = 500_000, 20_000  # a file, and so a task that reads it, holds no more of a large table
+
+
+def _stream_of_files(t, table, batches: int = 3):
+    """A table, or any rows, cut into micro-batches of as many files each: one, or as many as a large table needs."""
     (folder,) = _paths(t, "cut")
     rows = t.base(table) if isinstance(table, str) else table
-    rows.repartition(files).write.parquet(folder)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    files = pieces(rows, batches * FILE_ROWS)
+    rows.repartition(batches * files).write.parquet(folder)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def _paths(t, *names: str):
@@ -204,8 +209,10 @@ SELECT doc_id, interval, bytes, tail_bytes FROM r WHERE tail_bytes <= 262144""")
 def stream_log_events(t):
     out, source, check = _paths(t, "out", "logs", "check")
     # several files, so that the events of one interval come in several micro-batches
-    t.base("documents").select("doc_id", "text", "source").repartition(5, F.col("doc_id") % 7).write.parquet(source + "/logs")
-    files = t.spark.readStream.schema("doc_id bigint, text string, source string").option("maxFilesPerTrigger", 2)
+    rows = t.base("documents").select("doc_id", "text", "source")
+    n = pieces(rows, 5 * TEXT_FILE_ROWS)
+    (rows.repartition(5 * n) if n > 1 else rows.repartition(5, F.col("doc_id") % 7)).write.parquet(source + "/logs")
+    files = t.spark.readStream.schema("doc_id bigint, text string, source string").option("maxFilesPerTrigger", 2 * n)
     logs = files.parquet(source + "/logs")
     at = F.timestamp_millis(F.col("doc_id") * 25)
     logs = logs.select(
