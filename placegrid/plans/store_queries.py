@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from placegrid import schemas
 from placegrid.plans import lead_queries, state_queries
 from placegrid.plans.registry import query
-from placegrid.plans.stream_queries import _paths, _stream_of_files
-from placegrid.plans.views import LINE_ORDER
+from placegrid.plans.stream_queries import FILE_ROWS, _paths, _stream_of_files
+from placegrid.plans.views import LINE_ORDER, pieces
 from placegrid.sources import history as H
 from placegrid.sources import ingest as N
 from placegrid.sources import leadstore as LS
@@ -152,7 +152,9 @@ def stream_releases(t):
     ends = rows.agg(F.percentile_approx(F.unix_micros("ts"), [0.33, 0.67]).alias("c")).first().c or [0, 0]
     at = F.unix_micros("ts")
     for part in (at <= ends[0], (at > ends[0]) & (at <= ends[1]), at > ends[1]):
-        rows.filter(part).repartition(1).write.mode("append").parquet(source)
-    parks = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    J.drain(O.stream_append(Y.stream_releases(parks), out, check, drain=True))
+        # all files that a run finds are one micro-batch, however many a large part needs
+        some = rows.filter(part)
+        some.repartition(pieces(some, FILE_ROWS)).write.mode("append").parquet(source)
+        parks = t.spark.readStream.schema(rows.schema).parquet(source)
+        J.drain(O.stream_append(Y.stream_releases(parks), out, check, drain=True))
     return t.spark.read.parquet(out).select("alias", F.unix_millis("released_at").alias("released_ms"))

@@ -1,6 +1,7 @@
 """Streams whose keys remember something: counts by status kept up from changes, and the end of a key's park.
 
-Both keep a small state per key in Spark's state store and write per batch what changed, never the whole.
+Both keep a small state per key in Spark's state store and write per batch what changed, never the whole. Keys are
+dealt over a fixed number of groups and Python is called once per group with changes, not once per key.
 """
 
 from __future__ import annotations
@@ -16,6 +17,12 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from placegrid.operators.keys import PARK_SECONDS
 from placegrid.streaming.jobs import each_batch
 
+GROUPS = 1 << 16  # a stream's number of groups is part of its state: never change it
+
+
+def _group(*key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(GROUPS)).alias("_group")
+
 
 def changed_rows(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
     """What `stream_upserts` wrote to `root` as a stream: a row per changed key and batch, numbered by `batch`."""
@@ -32,27 +39,33 @@ def stream_counts(
     value and the `at` it came with; what comes again or is older does nothing. Of one key's rows with one `at` the
     last value in order counts. A null value is counted as null. `counts` reads the sums.
     """
-    rows = changes.select(*key, F.col(at).cast("bigint").alias("at"), (F.col(value) if isinstance(value, str) else value).alias("value"))
+    rows = changes.select(
+        _group(*key), F.to_json(F.struct(*key)).alias("key"), F.col(at).cast("bigint").alias("at"),
+        (F.col(value) if isinstance(value, str) else value).alias("value"))
 
-    def shift(key, frames, state):
+    def shift(group, frames, state):
         import pandas as pd
 
-        known = state.get if state.exists else None
-        best = known
+        known = {k: (when, name) for k, when, name in zip(*state.get)} if state.exists else {}
+        best = dict(known)
         for frame in frames:
-            for when, name in zip(frame["at"].tolist(), frame["value"].tolist()):
-                name = None if pd.isna(name) else name
-                if best is None or (when, name is not None, name or "") > (best[0], best[1] is not None, best[1] or ""):
-                    best = (when, name)
+            for k, when, name in zip(frame["key"].tolist(), frame["at"].tolist(), frame["value"].tolist()):
+                name, held = None if pd.isna(name) else name, best.get(k)
+                if held is None or (when, name is not None, name or "") > (held[0], held[1] is not None, held[1] or ""):
+                    best[k] = (when, name)
         if best != known:
-            state.update(best)
-        if known is None:
-            yield pd.DataFrame({"value": [best[1]], "delta": [1]})
-        elif best[1] != known[1]:
-            yield pd.DataFrame({"value": [known[1], best[1]], "delta": [-1, 1]})
-
-    deltas = rows.groupBy(*key).applyInPandasWithState(
-        shift, "value string, delta bigint", "at bigint, value string", "append", GroupStateTimeout.NoTimeout)
+            state.update((list(best), [when for when, _ in best.values()], [name for _, name in best.values()]))
+        delta = {}
+        for k, (_, name) in best.items():
+            if k not in known or known[k][1] != name:
+                delta[name] = delta.get(name, 0) + 1
+                if k in known:
+                    delta[known[k][1]] = delta.get(known[k][1], 0) - 1
+        if delta:
+            yield pd.DataFrame({"value": list(delta), "delta": list(delta.values())})
+
+    deltas = rows.groupBy("_group").applyInPandasWithState(
+        shift, "value string, delta bigint", "key array<string>, at array<bigint>, value array<string>", "append", GroupStateTimeout.NoTimeout)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         sums = batch.groupBy("value").agg(F.sum("delta").alias("delta")).filter("delta <> 0")
@@ -98,33 +111,36 @@ def stream_releases(parks: DataFrame, key: str = "alias", lateness: str = "10 se
     ends that it has not passed stay open. A key remembers its open parks, at most one in `seconds` of the lateness,
     however many answers it gets.
     """
-    def timer(key, frames, state):
-        import numpy as np
+    def timer(group, frames, state):
         import pandas as pd
 
-        wait, spans = seconds * 1000, list(zip(*state.get)) if state.exists else []
+        wait, spans = seconds * 1000, {}
+        for name, first, last in zip(*state.get) if state.exists else ():
+            spans.setdefault(name, []).append((first, last))
         for frame in () if state.hasTimedOut else frames:
-            ms = np.unique(frame["ms"].to_numpy())
-            cuts = np.flatnonzero(np.diff(ms) > wait) + 1
-            joined = []
-            for first, last in sorted(spans + [(int(p[0]), int(p[-1])) for p in np.split(ms, cuts) if len(p)]):
-                if joined and first - joined[-1][1] <= wait:
-                    joined[-1] = (joined[-1][0], max(last, joined[-1][1]))
-                else:
-                    joined.append((first, last))
-            spans = joined
+            found = {}
+            for name, ms in zip(frame["name"].tolist(), frame["ms"].tolist()):
+                found.setdefault(None if pd.isna(name) else name, set()).add(ms)
+            for name, times in found.items():
+                joined = []
+                for first, last in sorted(spans.get(name, []) + [(ms, ms) for ms in times]):
+                    if joined and first - joined[-1][1] <= wait:
+                        joined[-1] = (joined[-1][0], max(last, joined[-1][1]))
+                    else:
+                        joined.append((first, last))
+                spans[name] = joined
         mark = state.getCurrentWatermarkMs()
-        ended = [last + wait for _, last in spans if last + wait <= mark]
-        still = [s for s in spans if s[1] + wait > mark]
+        ended = [(name, last + wait) for name, held in spans.items() for _, last in held if last + wait <= mark]
+        still = [(name, first, last) for name, held in spans.items() for first, last in held if last + wait > mark]
         if still:
-            state.update(([a for a, _ in still], [b for _, b in still]))
-            state.setTimeoutTimestamp(still[0][1] + wait)
+            state.update(tuple(map(list, zip(*still))))
+            state.setTimeoutTimestamp(min(last for _, _, last in still) + wait)
         elif state.exists:
             state.remove()
         if ended:
-            yield pd.DataFrame({"name": [key[0]] * len(ended), "ms": ended})
+            yield pd.DataFrame(ended, columns=["name", "ms"])
 
-    rows = parks.withWatermark("ts", lateness).select(key, "ts", F.unix_millis("ts").alias("ms"))
-    released = rows.groupBy(key).applyInPandasWithState(
-        timer, "name string, ms bigint", "firsts array<bigint>, lasts array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = parks.withWatermark("ts", lateness).select(_group(key), F.col(key).alias("name"), "ts", F.unix_millis("ts").alias("ms"))
+    released = rows.groupBy("_group").applyInPandasWithState(
+        timer, "name string, ms bigint", "names array<string>, firsts array<bigint>, lasts array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
     return released.select(F.col("name").alias(key), F.timestamp_millis("ms").alias("released_at"))
