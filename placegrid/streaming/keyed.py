@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from placegrid.operators.keys import PARK_SECONDS
 from placegrid.streaming.jobs import each_batch
 
-GROUPS = 1 << 16  # a stream's number of groups is part of its state: never change it
+GROUPS = 1 << 12  # a stream's number of groups is part of its state: never change it
 
 
 def _group(*key: Column | str) -> Column:
