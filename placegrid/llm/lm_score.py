@@ -24,6 +24,7 @@ over tasks while training, by design of averaging.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import filterfalse
 from zlib import crc32
 
 import numpy as np
@@ -40,7 +41,9 @@ SIZE = CLASSES * CLASSES
 TRAIN_SHARE, ROUNDS = 1, 2  # all documents
 MINIBATCH, RATE = 512, 0.15
 BLOCKS, GROUPS = 16, 64  # blocks of weights, and groups of tasks that are averaged first
-SLICE = 32_768
+SLICE = 2_048  # positions scored at a time
+SORTED = 32  # minibatches that are sorted at once; their numbers, below SORTED * 4 * (SIZE + 1) * MINIBATCH, fit 32 bits
+NARROW = 40.0  # logits of a minibatch within this range are all shifted alike
 
 OFFSETS = [o for o in range(-SPAN, SPAN + 1) if o]
 
@@ -56,7 +59,7 @@ class Vocabulary(dict):
 
     def others(self, text: bytes | None) -> dict[bytes, int]:
         """How often the text holds each word that is not in the vocabulary."""
-        return Counter(w for w in words(text) if w not in self)
+        return Counter(filterfalse(self.__contains__, words(text)))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -121,92 +124,158 @@ class Network:
     def hide(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         h = np.repeat(self.hidden[None, :], len(at), axis=0)
         for table, o in zip(self.around, OFFSETS):
-            h += table[ids[at + o]]
+            h += table.take(ids[at + o], axis=0)
         return np.tanh(h, out=h)
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the word at each position, given the words around it."""
         out = np.empty(len(at))
+        order = np.argsort(ids[at])  # so a slice has few classes
         for a in range(0, len(at), SLICE):
-            part = at[a:a + SLICE]
-            h, target = self.hide(ids, part), ids[part]
-            group, within = np.divmod(target, CLASSES)
-            logp = _picked(h @ self.classes.T + self.class_bias, group)
-            order = np.argsort(group, kind="stable")
-            ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
-            for c in range(CLASSES):
-                rows = order[ends[c]:ends[c + 1]]
-                if len(rows):
-                    logp[rows] += _picked(h[rows] @ self.words[c].T + self.word_bias[c], within[rows])
-            out[a:a + SLICE] = logp
+            some = order[a:a + SLICE]
+            part = at[some]
+            h = self.hide(ids, part)
+            group, within = np.divmod(ids[part], CLASSES)
+            seen, first = np.unique(group, return_index=True)
+            f = np.empty((len(part), CLASSES), np.float32)
+            for c, i, j in zip(seen, first, [*first[1:], len(part)]):
+                np.dot(h[i:j], self.words[c].T, out=f[i:j])
+                f[i:j] += self.word_bias[c]
+            out[some] = _picked(h @ self.classes.T + self.class_bias, group) + _picked(f, within)
         return out
 
+    def _layers(self) -> tuple[np.ndarray, np.ndarray]:
+        """Copies of the class and word layers, inputs first, each with its bias as a last input."""
+        return tuple(np.ascontiguousarray(np.concatenate([w, b[..., None]], axis=-1).swapaxes(-1, -2))
+                     for w, b in ((self.classes, self.class_bias), (self.words, self.word_bias)))
+
+    def _set_layers(self, classes: np.ndarray, words: np.ndarray) -> None:
+        for w, b, layer in ((self.classes, self.class_bias, classes), (self.words, self.word_bias, words)):
+            w[:], b[:] = layer[..., :-1, :].swapaxes(-1, -2), layer[..., -1, :]
+
     def train(self, ids: np.ndarray, at: np.ndarray, squares: "Network", seed: int) -> None:
         """One pass over the positions in minibatches; `squares` holds the sums of squared gradients."""
         at = np.random.default_rng(seed).permutation(at)
-        tables = len(OFFSETS) * (SIZE + 1)
-        offsets = np.array(OFFSETS)[:, None]
-        starts = np.arange(len(OFFSETS))[:, None] * (SIZE + 1)
-        grads, buffer = np.empty_like(self.words), np.empty_like(self.words)
-        for a in range(0, len(at), MINIBATCH):
-            part = at[a:a + MINIBATCH]
-            part = part[np.argsort(ids[part], kind="stable")]  # so the words of a class lie together
-            h, target = self.hide(ids, part), ids[part]
-            group, within = np.divmod(target, CLASSES)
-            n = len(part)
-            rows = np.arange(n)
-            seen, first = np.unique(group, return_index=True)
-            spans = list(zip(seen.tolist(), first.tolist(), [*first[1:].tolist(), n]))
-            g = _softmax(h @ self.classes.T + self.class_bias)
-            g[rows, group] -= 1
-            f = self.word_bias[group]
+        tables, table_squares = self.around.reshape(-1, HIDDEN), squares.around.reshape(-1, HIDDEN)
+        (classes, words), (class_squares, word_squares) = self._layers(), squares._layers()
+        grads, buffer = np.empty_like(words), np.empty_like(words)
+        by_class = list(zip(words, words[:, :-1].swapaxes(1, 2), grads))
+        # the units of a position, and a last one that is always 1 and has the biases as its weights
+        full, full_back = np.ones((MINIBATCH, HIDDEN + 1), np.float32), np.empty((MINIBATCH, HIDDEN), np.float32)
+        logits, ones = np.empty((MINIBATCH, CLASSES), np.float32), np.ones(MINIBATCH, np.float32)
+        for group, within, spans, before, near, row, many, again, first in _minibatches(ids, at):
+            n = len(group)
+            rows, h, f, back = np.arange(n), full[:n], logits[:n], full_back[:n]
+            parts = tables.take(before, axis=0, mode="clip").reshape(len(OFFSETS), n, HIDDEN)
+            total = parts[0]
+            total += self.hidden
+            for p in parts[1:]:
+                total += p
+            units = np.tanh(total, out=total)
+            h[:, :-1] = units
             for c, i, j in spans:
-                f[i:j] += h[i:j] @ self.words[c].T
-            f = _softmax(f)
-            f[rows, within] -= 1
-            back = g @ self.classes
-            grads[:] = 0
+                np.dot(h[i:j], by_class[c][0], out=f[i:j])
+            g, f = _softmax(h @ classes, n), _softmax(f, n)
+            g[rows, group] -= 1 / n
+            f[rows, within] -= 1 / n
+            seen = 0
             for c, i, j in spans:
-                back[i:j] += f[i:j] @ self.words[c]
-                np.matmul(f[i:j].T, h[i:j], out=grads[c])
-            back *= 1 - h * h
-            self._step("classes", squares, g.T @ h / n)
-            self._step("class_bias", squares, g.mean(axis=0))
-            self._step("hidden", squares, back.mean(axis=0))
-            # in place, since this is the largest table of those that all minibatches touch
-            grads /= n
-            np.multiply(grads, grads, out=buffer)
-            squares.words += buffer
-            np.sqrt(squares.words, out=buffer)
-            buffer += 1e-6
-            np.divide(grads, buffer, out=buffer)
-            buffer *= RATE
-            self.words -= buffer
-            self._step("word_bias", squares, np.add.reduceat(f, first, axis=0) / n, seen)
-            near = (ids[part + offsets] + starts).ravel()
-            order = np.argsort(near, kind="stable")
-            seen, first = np.unique(near[order], return_index=True)
-            sums = np.add.reduceat(back[order % n], first, axis=0) / n
-            self._step("around", squares, sums, seen, (tables, HIDDEN))
-
-    def _step(self, name: str, squares: "Network", grad: np.ndarray, at=..., shape: tuple | None = None) -> None:
-        weights, seen = getattr(self, name), getattr(squares, name)
-        if shape:
-            weights, seen = weights.reshape(shape), seen.reshape(shape)
-        total = seen[at] + grad * grad
-        seen[at] = total
-        weights[at] -= RATE * grad / (np.sqrt(total) + 1e-6)
+                _, weights, grad = by_class[c]
+                if c > seen:
+                    grads[seen:c] = 0
+                seen = c + 1
+                part = f[i:j]
+                np.dot(part, weights, out=back[i:j])
+                np.dot(h[i:j].T, part, out=grad)
+            grads[seen:] = 0
+            back += g @ classes[:-1].T
+            units *= units
+            np.subtract(1, units, out=units)
+            back *= units
+            _step(classes, class_squares, h.T @ g)
+            _step(self.hidden, squares.hidden, ones[:n] @ back)
+            _step(words, word_squares, grads, buffer)
+            # most words come once: only the rows of the others are added up
+            sums = back.take(row, axis=0, mode="clip")
+            if len(many):
+                sums[many] = np.add.reduceat(back.take(again, axis=0, mode="clip"), first, axis=0)
+            weights, seen = tables.take(near, axis=0, mode="clip"), table_squares.take(near, axis=0, mode="clip")
+            _step(weights, seen, sums)
+            tables[near], table_squares[near] = weights, seen
+        self._set_layers(classes, words)
+        squares._set_layers(class_squares, word_squares)
+
+
+def _minibatches(ids: np.ndarray, at: np.ndarray):
+    """The minibatches of positions, each sorted by word, so the words of a class lie together.
+
+    Of each: class of every position and place in it, spans of positions by class, rows of the tables of the words around
+    (by offset, then position); these rows once each, a position of each, which of them come more than once, the
+    positions of those, and where each one's begin. Many minibatches are sorted at a time, by numbers that hold the
+    minibatch first and the position last, so none come twice.
+    """
+    tables = len(OFFSETS) * (SIZE + 1)
+    offsets, starts = np.array(OFFSETS)[:, None], np.arange(len(OFFSETS), dtype=np.int32)[:, None] * (SIZE + 1)
+    for a in range(0, len(at), MINIBATCH * SORTED):
+        some = at[a:a + MINIBATCH * SORTED]
+        ends = np.append(np.arange(0, len(some), MINIBATCH), len(some))
+        number = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
+        place = np.arange(len(some), dtype=np.int32) - number * MINIBATCH
+        key = np.sort((number * SIZE + ids[some]) * MINIBATCH + place)
+        some = some[key - (key // MINIBATCH - number) * MINIBATCH]
+        group, within = np.divmod(ids[some], CLASSES)
+        begins = np.flatnonzero(np.diff(number * CLASSES + group, prepend=-1))
+        around = ids[some + offsets] + starts
+        key = np.sort(((number * tables + around) * MINIBATCH + place).ravel())
+        used = key // MINIBATCH
+        row = key - used * MINIBATCH
+        first = np.flatnonzero(np.diff(used, prepend=-1))
+        first_at = np.searchsorted(first, ends * len(OFFSETS))
+        near = used[first] - np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(first_at)) * tables
+        times = np.diff(first, append=len(row))
+        many = np.flatnonzero(times > 1)
+        again = row[np.repeat(times > 1, times)]
+        again_first = np.cumsum(times[many]) - times[many]
+        row, many_at, begins_at = row[first], np.searchsorted(many, first_at), np.searchsorted(begins, ends)
+        again_at = np.append(again_first, len(again))[many_at]
+        for k, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            begin = begins[begins_at[k]:begins_at[k + 1]]
+            spans = list(zip(group[begin].tolist(), (begin - i).tolist(), [*(begin[1:] - i).tolist(), j - i]))
+            once, more = slice(first_at[k], first_at[k + 1]), slice(many_at[k], many_at[k + 1])
+            yield (group[i:j], within[i:j], spans, around[:, i:j].ravel(), near[once], row[once],
+                   many[more] - first_at[k], again[again_at[k]:again_at[k + 1]], again_first[more] - again_at[k])
+
+
+def _step(weights: np.ndarray, squares: np.ndarray, grad: np.ndarray, buffer: np.ndarray | None = None) -> None:
+    """One step in place against the gradient, which is overwritten."""
+    buffer = np.multiply(grad, grad, out=buffer)
+    squares += buffer
+    np.sqrt(squares, out=buffer)
+    buffer += 1e-6
+    grad /= buffer
+    grad *= RATE
+    weights -= grad
+
+
+def _shift(logits: np.ndarray) -> None:
+    """In place, so that exponentials fit. One shift serves all rows unless it could make those of a row vanish."""
+    top = logits.max()
+    logits -= top if logits.min() > top - NARROW else logits.max(axis=1, keepdims=True)
 
 
 def _picked(logits: np.ndarray, column: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1)
-    rows = np.arange(len(logits))
-    return (logits[rows, column] - top) - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-
-
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    _shift(logits)
+    picked = logits[np.arange(len(logits)), column]
+    np.exp(logits, out=logits)
+    return picked - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+
+
+def _softmax(logits: np.ndarray, parts: int = 1) -> np.ndarray:
+    """In place; each row adds up to 1 / parts."""
+    _shift(logits)
+    np.exp(logits, out=logits)
+    logits /= (logits @ np.full(logits.shape[1], parts, logits.dtype))[:, None]
+    return logits
 
 
 def _batched(docs, vocabulary, limit: int = 200_000):

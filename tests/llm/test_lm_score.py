@@ -1,4 +1,8 @@
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 from conftest_rows import ODD
@@ -128,3 +132,120 @@ def test_registered_query_beats_word_frequencies(spark):
     n = np.array([r.n for r in lm.word_counts(docs).collect()], float)
     assert sum(r.n_tokens for r in out) == n.sum()
     assert mean_logp(out) > (n * np.log(n / n.sum())).sum() / n.sum()
+
+
+class Plain(lm.Network):
+    """The step and the scores written out position by class, without regard to cost."""
+
+    def log_probabilities(self, ids, at):
+        out = np.empty(len(at))
+        for a in range(0, len(at), 32_768):
+            part = at[a:a + 32_768]
+            h, (group, within) = self.hide(ids, part), np.divmod(ids[part], lm.CLASSES)
+            logp = picked(h @ self.classes.T + self.class_bias, group)
+            for c in range(lm.CLASSES):
+                rows = np.flatnonzero(group == c)
+                if len(rows):
+                    logp[rows] += picked(h[rows] @ self.words[c].T + self.word_bias[c], within[rows])
+            out[a:a + 32_768] = logp
+        return out
+
+    def train(self, ids, at, squares, seed):
+        at = np.random.default_rng(seed).permutation(at)
+        for a in range(0, len(at), lm.MINIBATCH):
+            part = at[a:a + lm.MINIBATCH]
+            n, rows = len(part), np.arange(len(part))
+            h, (group, within) = self.hide(ids, part), np.divmod(ids[part], lm.CLASSES)
+            g, f = softmax(h @ self.classes.T + self.class_bias), np.empty((n, lm.CLASSES), np.float32)
+            spans = [(c, np.flatnonzero(group == c)) for c in np.unique(group)]
+            for c, some in spans:
+                f[some] = softmax(h[some] @ self.words[c].T + self.word_bias[c])
+            g[rows, group] -= 1
+            f[rows, within] -= 1
+            back, grad = g @ self.classes, lm.Network(np.zeros_like(self.flat))
+            for c, some in spans:
+                back[some] += f[some] @ self.words[c]
+                grad.words[c], grad.word_bias[c] = f[some].T @ h[some], f[some].sum(axis=0)
+            back *= 1 - h * h
+            grad.classes[:], grad.class_bias[:], grad.hidden[:] = g.T @ h, g.sum(axis=0), back.sum(axis=0)
+            for table, o in zip(grad.around, lm.OFFSETS):
+                np.add.at(table, ids[part + o], back)
+            mean = grad.flat / n
+            squares.flat += mean * mean
+            self.flat -= lm.RATE * mean / (np.sqrt(squares.flat) + 1e-6)
+
+
+def softmax(logits):
+    e = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def picked(logits, column):
+    top = logits.max(axis=1)
+    return logits[np.arange(len(logits)), column] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+
+
+def drawn(seed, n, length):
+    """Documents of ids, frequent ones more often."""
+    rnd = np.random.default_rng(seed)
+    return [(lm.SIZE * rnd.random(rnd.integers(0, 2 * length)) ** 3).astype(int).tolist() for _ in range(n)]
+
+
+def test_steps_and_scores_are_those_of_the_plain_network():
+    for docs in (drawn(6, 60, 400), drawn(7, 3, 20), [[5] * 700, [], [lm.SIZE - 1]], [[]]):
+        ids, at = lm.Network.padded(docs)
+        nets = []
+        for kind in (lm.Network, Plain):
+            net, squares = kind(), lm.Network(np.full(len(lm.Network().flat), 1e-4, np.float32))
+            for k in range(2):
+                net.train(ids, at, squares, k)
+            nets.append((net.flat, squares.flat, net.log_probabilities(ids, at)))
+        for got, want in zip(*nets):
+            assert np.allclose(got, want, rtol=1e-4, atol=1e-4)
+
+
+def test_logits_far_apart():
+    logits = np.array([[200, 199, 90], [-300, -301, -299]], np.float32)
+    assert np.allclose(lm._softmax(logits.copy()), softmax(logits))
+    assert np.allclose(lm._softmax(logits.copy(), 4), softmax(logits) / 4)
+    assert np.allclose(lm._picked(logits.copy(), np.array([2, 0])), picked(logits, np.array([2, 0])))
+
+
+COST = """
+import time
+import numpy as np
+from placegrid.llm import lm_score as lm
+
+def best(work):
+    took = []
+    for _ in range(7):
+        began = time.process_time()
+        work()
+        took.append(time.process_time() - began)
+    return min(took)
+
+rnd = np.random.default_rng(9)
+ids, at = lm.Network.padded([(lm.SIZE * rnd.random(400) ** 3).astype(int).tolist() for _ in range(128)])
+net, squares = lm.Network(), lm.Network(np.full(len(lm.Network().flat), 1e-4, np.float32))
+grad, spare = np.full_like(net.words, 0.01), np.empty_like(net.words)
+logits = rnd.normal(size=(lm.MINIBATCH, 2 * lm.CLASSES)).astype(np.float32)
+
+def needed():  # the step of the largest layer and the exponentials of a minibatch
+    for _ in range(len(at) // lm.MINIBATCH):
+        np.multiply(grad, grad, out=spare)
+        np.sqrt(spare, out=spare)
+        np.divide(grad, spare, out=spare)
+        np.subtract(grad, spare, out=spare)
+        np.exp(logits)
+
+unit = best(needed)
+print(best(lambda: net.train(ids, at, squares, 1)) / unit, best(lambda: net.log_probabilities(ids, at)) / unit)
+"""
+
+
+def test_training_and_scoring_cost_few_passes():
+    """In CPU seconds, against the passes over weights and logits that each minibatch cannot do without."""
+    env = {**os.environ, "OMP_NUM_THREADS": "1", "PYTHONPATH": str(Path(__file__).resolve().parents[2])}
+    out = subprocess.run([sys.executable, "-c", COST], env=env, capture_output=True, text=True, check=True, timeout=120).stdout
+    training, scoring = map(float, out.split())
+    assert training < 14 and scoring < 3.3, out
