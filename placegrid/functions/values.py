@@ -49,6 +49,30 @@ def first_filled(*columns: Column | str) -> Column:
     return F.coalesce(*[filled(c) for c in columns])
 
 
+def pack(texts: Column | str) -> Column:
+    """An array of filled texts as one text that compares as the array does.
+
+    A NUL ends every text but the last; NULs and the character above them in a text are escaped.
+    """
+    def escaped(c: Column) -> Column:
+        return F.replace(F.replace(c, F.lit("\1"), F.lit("\1\2")), F.lit("\0"), F.lit("\1\1"))
+
+    items = col(texts)
+    whole = F.array_join(items, "")
+    plain = ~(whole.contains("\0") | whole.contains("\1"))
+    return F.when(plain, F.array_join(items, "\0")).otherwise(F.array_join(F.transform(items, escaped), "\0"))
+
+
+def unpack(packed: Column | str) -> Column:
+    """The array of texts of `pack`."""
+    def restored(c: Column) -> Column:
+        return F.replace(F.replace(c, F.lit("\1\1"), F.lit("\0")), F.lit("\1\2"), F.lit("\1"))
+
+    text = col(packed)
+    items = F.when(text != "", F.split(text, "\0")).otherwise(F.array().cast("array<string>"))
+    return F.when(text.contains("\1"), F.transform(items, restored)).otherwise(items)
+
+
 def _double(c: Column) -> Column:
     text = strip(c)
     plain = F.when(text.rlike(_NUMBER), F.replace(text, F.lit("_"), F.lit("")))

@@ -11,7 +11,7 @@ from placegrid.functions.links import (
     href_place_id, href_point, id_form, long_ids,
 )
 from placegrid.functions.outcomes import cell_outcome, is_auth_error
-from placegrid.functions.values import fmt_coord
+from placegrid.functions.values import fmt_coord, pack, unpack
 from placegrid.operators.dedupe import first_seen
 from placegrid.operators.ordered import even_chunks, running_sum
 from placegrid.schemas import SEARCH_BODY
@@ -75,11 +75,14 @@ def parse_pages(responses: DataFrame) -> DataFrame:
     ok = F.col("status") == 200
     body = F.when(ok, F.from_json("body", SEARCH_BODY))
     ids = F.coalesce(F.col("_body.places.id"), F.array().cast("array<string>"))
+    filled_ids = F.array_remove(ids, "")
+    # a lambda per id is only needed where an id is null: without a text in common, the overlap is null then
+    some_null = F.arrays_overlap(filled_ids, F.array(F.lit(""))).isNull()
     return responses.withColumn("_body", body).select(
         *CALL, "page", "status",
         is_auth_error("status", "body").alias("auth_failed"),
         F.size(ids).alias("results"),
-        F.filter(ids, lambda i: i != "").alias("ids"),
+        F.when(some_null, F.array_compact(filled_ids)).otherwise(filled_ids).alias("ids"),
         F.coalesce(F.col("_body.nextPageToken") != "", F.lit(False)).alias("has_next"),
     )
 
@@ -92,13 +95,21 @@ def page_ids(responses: DataFrame) -> DataFrame:
     ).filter("pos IS NOT NULL")
 
 
-def call_pages(responses: DataFrame) -> DataFrame:
-    """Parsed pages, one of each: of a repeated page the least (status, results, ids), so good answers win."""
+def call_pages(responses: DataFrame, gather: bool = False) -> DataFrame:
+    """Parsed pages, one of each: of a repeated page the least (status, results, ids), so good answers win.
+
+    With `gather` the pages of a call are brought together first, the ids of each as one text, so that neither this
+    nor what then looks at whole calls moves ids again. Pages that lie together by (cell, query) need none of it.
+    """
+    pages = parse_pages(responses)
+    if gather:
+        pages = pages.withColumn("ids", pack("ids")).repartition(*CALL)
     return (
-        parse_pages(responses)
-        .groupBy(*CALL, "page")
+        pages.groupBy(*CALL, "page")
         .agg(F.min(F.struct("status", "results", "ids", "auth_failed", "has_next")).alias("r"))
-        .select(*CALL, "page", "r.status", "r.auth_failed", "r.results", "r.ids", "r.has_next")
+        .select(
+            *CALL, "page", "r.status", "r.auth_failed", "r.results",
+            unpack("r.ids").alias("ids") if gather else "r.ids", "r.has_next")
     )
 
 

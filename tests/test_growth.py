@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from placegrid.functions import values as V
 from placegrid.operators import discovery as C
 from placegrid.operators import monitor as M
 from placegrid.operators import ordered as R
@@ -52,6 +54,45 @@ def test_page_ids_parse_a_body_once(spark):
     assert [(r.page, r.results) for r in C.parse_pages(pages).orderBy("page").collect()] == [(0, 5), (1, 0), (2, 0), (3, 0), (9, 0)]
 
 
+def test_novelty_moves_ids_once(spark, sf_dir):
+    text = QUERIES["page_novelty"].run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    moves = [line for line in text.splitlines() if "Exchange hashpartitioning(cell_id" in line]
+    assert len(moves) == 1 and "page" not in moves[0] and text.count("from_json(") == 1
+    # what is moved is one text per page
+    assert "array_join(" in text[text.index("Exchange hashpartitioning(cell_id"):]
+
+
+def test_novelty_of_gathered_pages(spark):
+    rng, rows, want = random.Random(5), [], {}
+    letters = ["a", "b", "ab", "", None, "\0", "\1", "\0\1", "\1\0", "\1\1", "\1\2", "a\0b", "\u00e9\U0001f600", "\u00ff"]
+    for call in [*map(str, range(40)), None]:
+        seen = set()
+        for page in rng.sample([None, 0, 1, 2, 3, 4, 9], rng.randint(1, 7)):
+            copies = [(rng.choice([200, 200, 200, 500]), [rng.choice(letters) for _ in range(rng.randint(0, 6))]) for _ in range(rng.choice([1, 1, 3]))]
+            rows += [(call, "q", 1, page, status, json.dumps({"places": [{"id": i} for i in ids]})) for status, ids in copies]
+            # the least answer of a repeated page: by status, results, then ids
+            want[call, page] = min((s, len(i) * (s == 200), [x.encode() for x in i if x] * (s == 200)) for s, i in copies)[1:]
+        for page in sorted((p for c, p in want if c == call), key=lambda p: -1 if p is None else p):
+            n, ids = want[call, page]
+            want[call, page] = (n, len(set(ids) - seen))
+            seen |= set(ids)
+    rng.shuffle(rows)
+    responses = spark.createDataFrame(rows, "cell_id string, query string, attempt int, page int, status int, body string").repartition(5)
+    for gather in (True, False):
+        got = C.page_novelty(C.call_pages(responses, gather=gather))
+        assert {(r.cell_id, r.page): (r.results, r.new_ids) for r in got.collect()} == want
+    plain, gathered = (sorted(map(repr, C.call_pages(responses, gather=g).collect())) for g in (False, True))
+    assert plain == gathered
+
+
+def test_packed_texts_compare_as_their_array(spark):
+    rng = random.Random(6)
+    lists = [[]] + [["".join(rng.choice("\0\1\2ab") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 4))] for _ in range(300)]
+    rows = spark.createDataFrame([(x,) for x in lists], "x array<string>").withColumn("p", V.pack("x"))
+    assert rows.filter(V.unpack("p") != F.col("x")).count() == 0 and rows.filter("p IS NULL").count() == 0
+    assert [r.x for r in rows.orderBy("x").collect()] == [r.x for r in rows.orderBy("p").collect()]
+
+
 @pytest.fixture
 def small_parts(monkeypatch):
     monkeypatch.setattr(views, "SPREAD_ROWS", 50)
