@@ -146,6 +146,20 @@ def test_rows_of_one_language_are_not_one_task(spark, tmp_path):
     assert [(r.lang, r.rows) for r in got] == [("en", 800)] and written[0] > 1
 
 
+def test_files_of_grid_documents_follow_their_size_not_the_boundaries(spark, tmp_path, monkeypatch):
+    spark.range(40).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    want = sorted(map(tuple, QUERIES["grid_file"].run(spark, str(tmp_path)).collect()))
+    written, real = [], file_queries.R.read_grid
+    monkeypatch.setattr(file_queries.R, "read_grid", lambda s, p: written.append(s.read.text(p, wholetext=True).collect()) or real(s, p))
+    monkeypatch.setattr(file_queries, "DOCUMENT_FILE_BYTES", 30_000, raising=False)
+    assert sorted(map(tuple, QUERIES["grid_document"].run(spark, str(tmp_path)).collect())) == want
+    assert 3 < len(written[0]) < 20
+    # still a collection per boundary
+    collections = [c for f in written[0] for c in json.loads(f.value)]
+    held = [{x["properties"]["cell_id"].rsplit("_", 1)[0] for x in c["features"]} for c in collections]
+    assert all(c["type"] == "FeatureCollection" for c in collections) and sorted(held, key=min) == [{f"B{n}"} for n in sorted(map(str, range(40)))]
+
+
 def test_counts_call_python_per_group_not_per_key(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Y, "GROUPS", 3)
     root, out, seen = (str(tmp_path / n) for n in ("state", "counts", "seen"))
